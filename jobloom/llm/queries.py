@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as dc
+from jobloom.llm import jaccard_join, packing, sharding, topk_search, warc
 from jobloom.llm import language_id as li
-from jobloom.llm import packing
-from jobloom.llm.common import load
+from jobloom.llm.common import load, staging_path
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -19,6 +19,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk_search.scaled(load(spark, sf_dir, "embeddings"))
+    return topk_search.search(vectors, F.col("id") % 100 == 0, k=10)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "warc")
+    warc.write(load(spark, sf_dir, "pages"), path, min_bytes=0)
+    out = warc.read(spark, path)
+    return out.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "shards")
+    sharding.write_shards(load(spark, sf_dir, "documents"), path, shards=40)
+    out = sharding.read_shards(spark, path)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dc.decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -37,10 +56,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (li.fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(load(spark, sf_dir, "documents"), num=90, den=100, shingle=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
+    "op3_warc": op3_warc,
+    "op4_sharding": op4_sharding,
     "op5_decontaminate": op5_decontaminate,
     "op7_pack": op7_pack,
     "op8_language_id": op8_language_id,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}
