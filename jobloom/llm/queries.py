@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as dc
-from jobloom.llm import jaccard_join, packing, sharding, topk_search, warc
+from jobloom.llm import jaccard_join, packing, secrets, sharding, topk_search, toxicity, warc
 from jobloom.llm import language_id as li
 from jobloom.llm.common import load, staging_path
 
@@ -43,6 +43,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(load(spark, sf_dir, "documents"), keep=["doc_id"])
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(load(spark, sf_dir, "documents"), tokenizer_path(), keep=["doc_id"])
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -60,14 +67,24 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(load(spark, sf_dir, "documents"), num=90, den=100, shingle=3)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    held_out = F.coalesce(li.fold_of("doc_id", 4) == 2, F.lit(False))
+    index = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "text").where(~held_out), labels.select("doc_id", "toxic"))
+    out = toxicity.score(docs.select("doc_id", "text"), index, keep=["doc_id"])
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_decontaminate": op5_decontaminate,
+    "op6_secrets": op6_secrets,
     "op7_pack": op7_pack,
     "op8_language_id": op8_language_id,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
