@@ -18,6 +18,7 @@ lengths are interchangeable and are ranked in order of appearance.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,17 +32,21 @@ from jobloom.llm.common import map_arrow, stage, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct white-space separated strings whose ids a worker remembers.
-CACHE_WORDS = 600_000
-#: A special token of the vocabulary that separates strings encoded together.
-_CUT = "<|startoftext|>"
+#: Distinct parts of texts whose ids a worker remembers.
+CACHE_WORDS = 1_500_000
+_STOP = re.compile(rb"(?<=[a-z])[.,](?=\s|$)")
 
 
 class WordEncoder:
-    """Ids of whole texts, from the ids of their white-space separated strings.
+    """Ids of whole texts, from the ids of their words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its parts, one after another. Parts are encoded once and kept.
+    The tokenizer drops white space and never joins across it, so a text's ids are
+    those of its white-space separated parts, one after another. It also folds case
+    and starts anew at a full stop or comma that ends a part after an ASCII letter,
+    so those are split off and A-Z is folded first, which makes for fewer distinct
+    parts. Parts are encoded once and kept. Those of letters only are encoded
+    together: each yields one id that ends a word, which tells them apart (checked
+    by their number; else they are encoded one by one).
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS) -> None:
@@ -49,17 +54,33 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.limit = cache_words
         self.number: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)  # of each part in ids; the end is the next one's start
         self.used = 0
 
+    def _encode(self, parts: list[str]) -> Iterator[list[int] | np.ndarray]:
+        plain = [p for p in parts if p.isalpha()]
+        together = iter(())
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(plain):
+                together = iter(np.split(ids, cut[:-1]))
+            else:
+                plain = []
+        apart = iter(self.tokenizer.encode_batch_fast([p for p in parts if not plain or not p.isalpha()], add_special_tokens=False))
+        for p in parts:
+            yield next(together) if plain and p.isalpha() else next(apart).ids
+
     def _learn(self, parts: list[bytes]) -> None:
-        for lo in range(0, len(parts), 4096):
-            own = parts[lo : lo + 4096]
-            for p, e in zip(own, self.tokenizer.encode_batch([x.decode() for x in own], add_special_tokens=False)):
-                ids = e.ids
+        for lo in range(0, len(parts), 256):
+            own = parts[lo : lo + 256]
+            for p, ids in zip(own, self._encode([x.decode() for x in own])):
                 while self.used + len(ids) > len(self.ids):
                     self.ids = np.resize(self.ids, 2 * len(self.ids))
                 n = len(self.number)
@@ -72,23 +93,35 @@ class WordEncoder:
                 self.start[n + 1] = self.used
 
     def encode(self, text: bytes) -> np.ndarray:
+        if b"<|" not in text:  # else it may hold a special token, which must keep its case
+            text = _STOP.sub(rb" \g<0>", text.lower())
         parts = text.split()
         if not parts:
             return np.zeros(0, np.uint32)
-        get = self.number.get
-        at = np.fromiter((get(p, -1) for p in parts), np.int64, len(parts))
-        if (at < 0).any():
-            new = list(dict.fromkeys(p for p, i in zip(parts, at.tolist()) if i < 0))
+        try:
+            at = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        except KeyError:
+            new = list({p for p in parts if p not in self.number})
             if len(self.number) + len(new) > self.limit:
                 self.number, self.used = {}, 0
-                new = list(dict.fromkeys(parts))
+                new = list(set(parts))
             self._learn(new)
-            at = np.fromiter((self.number[p] for p in parts), np.int64, len(parts))
+            at = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
         first, size = self.start[at], self.start[at + 1] - self.start[at]
         ends = np.cumsum(size)
         return self.ids[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
 
 
+#: The encoder of this worker process, kept from task to task.
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """Cut every document's ids, the end id included, into pieces.
 
@@ -101,7 +134,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text_col: str = "text", capacit
     types = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(tokenizer_path), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
         counts = np.zeros(capacity + 1, np.int64)
         for b in batches:
             row, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
