@@ -3,10 +3,10 @@
 Candidates are dealt into blocks. In a block each dimension is a list sorted by
 its value, read from the end that a query's sign prefers, all lists to the same
 depth. A candidate's score has an upper bound (unread values count as the last
-value read from their list) and a lower bound (they count as the list's worst).
-Candidates whose upper bound is below the k-th lower bound are dropped; reading
-stops when no outsider can qualify, and the scores of those left are resolved by
-reading on to the end. Bounds and scores are integers, so results are exact.
+value read from their list); the k-th best score resolved so far is the lower bound
+that a place among the best needs. Candidates whose upper bound is below it cannot
+qualify and are dropped; the scores of those left are resolved by reading on to the
+end. All values are integers, so bounds and scores are exact.
 
 Queries and candidates meet block by block: each (query block, candidate block)
 is one group of bounded size, nothing is broadcast, and a block returns at most
@@ -27,9 +27,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_ROWS = 1024
-BLOCK_ROWS = 4096
-#: Depths, as shares of a list, at which bounds are drawn up.
-DEPTHS = (0.1, 0.3, 0.6)
+BLOCK_ROWS = 8192
+#: Candidates that are sorted into lists together, and the depths considered, in equal steps.
+LIST_ROWS = 2048
+STEPS = 32
 
 
 def scaled(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -73,43 +74,63 @@ def _table(q: np.ndarray, c: np.ndarray, s: np.ndarray) -> pa.Table:
     return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.int64())})
 
 
-def _nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, lists_rows: int = LIST_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The best ``k`` candidates of a block for each query, by sequential reads with bounds."""
-    if not len(qid) or not len(cid):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty
-    n, d = c.shape
-    reach = float(np.abs(c).max()) * float(np.abs(q).max()) * d
+    empty = np.zeros(0, np.int64)
+    best: list[tuple[np.ndarray, np.ndarray]] = [(empty, empty)] * len(qid)
+    reach = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1]
     kind = np.float64 if reach < 2**53 else object  # floats hold these integers exactly, else Python's own
-    c, q = c.astype(kind), q.astype(kind)
-    lists = np.sort(c, axis=0)
-    depths = sorted({min(n, max(1, int(n * x))) for x in DEPTHS}) if kind is np.float64 else []
-    out_q, out_c, out_s = [], [], []
-    for one, own in zip(qid, q):
-        rising = own < 0
-        left = np.flatnonzero(cid != one)
-        rows = c[left]
-        worst = np.where(rising, lists[-1], lists[0])
-        for depth in depths:
-            if len(left) <= k:
-                break
-            edge = np.where(rising, lists[depth - 1], lists[n - depth])
-            seen = np.where(rising, rows <= edge, rows >= edge)
-            upper = np.where(seen, rows, edge) @ own
-            lower = np.where(seen, rows, worst) @ own
-            kth = np.partition(lower, len(lower) - k)[len(lower) - k]
-            keep = upper >= kth
-            if not keep.all():
-                left, rows = left[keep], rows[keep]
-        score = rows @ own
-        if kind is object:
-            score = np.array([max(-(2**63), min(2**63 - 1, x)) for x in score], object)
-        if len(left) > k:
-            kth = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= kth
-            left, score = left[keep], score[keep]
-        best = np.lexsort((cid[left], -score))[:k]
-        out_q.append(np.full(len(best), one, np.int64))
-        out_c.append(cid[left][best])
-        out_s.append(score[best].astype(np.int64))
-    return np.concatenate(out_q), np.concatenate(out_c), np.concatenate(out_s)
+    q = q.astype(kind)
+    for lo in range(0, len(cid) if len(qid) else 0, lists_rows):
+        ids, rows = cid[lo : lo + lists_rows], c[lo : lo + lists_rows].astype(kind)
+        lists = _Lists(rows, q) if kind is np.float64 else None
+        for i, (one, own) in enumerate(zip(qid, q)):
+            had, score = best[i]
+            left = np.flatnonzero(ids != one)
+            if lists is not None and len(had) == k:
+                left = left[lists.may_qualify(i, own, float(score[-1]))[left]]
+                if not len(left):
+                    continue
+            got = rows[left] @ own  # what is left is read to the end
+            if kind is object:
+                got = np.array([max(-(2**63), min(2**63 - 1, x)) for x in got], object)
+            ids_, got = np.concatenate([had, ids[left]]), np.concatenate([score, got])
+            if len(got) > k:
+                keep = got >= np.partition(got, len(got) - k)[len(got) - k]
+                ids_, got = ids_[keep], got[keep]
+            order = np.lexsort((ids_, -got))[:k]
+            best[i] = ids_[order], got[order]
+    sizes = [len(b[0]) for b in best]
+    if not sum(sizes):
+        return empty, empty, empty
+    return np.repeat(qid, sizes), np.concatenate([b[0] for b in best]), np.concatenate([b[1].astype(np.int64) for b in best])
+
+
+class _Lists:
+    """Each dimension of some candidates as a sorted list, and how far to read for each query.
+
+    After ``depth`` reads of every list, a candidate's upper bound takes its own value
+    where it was read and the last value read elsewhere. The average of that bound over
+    all candidates follows from the lists' running sums, so the least depth at which
+    bounds begin to exclude is known before any candidate is looked at.
+    """
+
+    def __init__(self, rows: np.ndarray, q: np.ndarray) -> None:
+        n = len(rows)
+        self.rows = rows
+        lists = np.sort(rows, axis=0)
+        depth = np.unique(np.maximum(1, (n * np.arange(1, STEPS + 1)) // STEPS))
+        sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(lists, axis=0)])
+        self.low, self.high = lists[depth - 1], lists[n - depth]  # last values read, rising and falling
+        rest = (n - depth)[:, None]
+        low, high = sums[depth] + rest * self.low, sums[n] - sums[n - depth] + rest * self.high
+        self.average = (high @ np.maximum(q, 0).T + low @ np.minimum(q, 0).T) / n  # depth x query
+
+    def may_qualify(self, i: int, own: np.ndarray, kth: float) -> np.ndarray:
+        """Which candidates' upper bounds reach the k-th lower bound."""
+        below = np.flatnonzero(self.average[:, i] < kth)
+        if not len(below):
+            return np.ones(len(self.rows), bool)
+        step = below[0]
+        edge = np.where(own < 0, self.low[step], self.high[step]) * own
+        return np.maximum(self.rows * own, edge).sum(axis=1) >= kth
