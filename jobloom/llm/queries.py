@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import decontaminate as dc
-from jobloom.llm import jaccard_join, packing, secrets, sharding, topk_search, toxicity, warc
+from jobloom.llm import jaccard_join, oracles, packing, secrets, sharding, topk_search, toxicity, url_filter, warc
 from jobloom.llm import language_id as li
 from jobloom.llm.common import load, staging_path
 
@@ -24,6 +24,13 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(vectors, F.col("id") % 100 == 0, k=10)
 
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(load(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"])
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "warc")
     warc.write(load(spark, sf_dir, "pages"), path, min_bytes=0)
@@ -77,6 +84,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
+    "op2_url_filter": op2_url_filter,
     "op3_warc": op3_warc,
     "op4_sharding": op4_sharding,
     "op5_decontaminate": op5_decontaminate,
@@ -87,4 +95,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_topk_search": oracles.OP1,
+    "op2_url_filter": oracles.op2(URL_RULES),
+    "op3_warc": oracles.OP3,
+    "op5_decontaminate": oracles.OP5,
+    "op9_jaccard_join": oracles.OP9,
+}
