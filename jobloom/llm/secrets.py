@@ -154,3 +154,14 @@ def scan(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None)
     out = out.withColumn("_found", F.expr(f"filter(_found, r -> r._random and ({enough}) and not exists(base, b -> b.start < r.end and r.start < b.end))"))
     out = out.withColumn("spans", F.array_sort(F.concat("base", span("_found", 3))))
     return out.select(*(F.col(k).alias(c) for k, c in zip(kept, keep)), "base", "spans")
+
+
+def mask(text: Column, spans: Column, by: str = "[SECRET]") -> Column:
+    """The text with every span, or group of overlapping spans, replaced. Without spans the text stays as it is."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = lambda acc, s: F.struct(
+        F.greatest(acc["at"], s["end"]).alias("at"),
+        F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(by))).alias("out"),
+    )
+    masked = F.aggregate(spans, start, cut, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(spans) > 0, masked).otherwise(text)
