@@ -741,3 +741,48 @@ def flow_merge(spark, sf):
 def child_fan_out(spark, sf):
     parents = fx.jobs(spark, sf).where("state = 'Active'").select(F.col("id").alias("parent_id"), F.array(F.lit("parse"), F.lit("store")).alias("children"))
     return flows.fan_out_keys(parents)
+
+
+# ---- streams: the same questions, asked of a stream that is drained
+
+
+def _stream(spark, sf, shape, apply, name, mode="append"):
+    from jobloom.sources.paths import shared_path
+    from jobloom.streaming import wiring
+
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return wiring.drain(apply(shape(wiring.table_stream(spark, sf, "events"))), shared_path(spark, name), mode)
+
+
+def _request_shape(e):
+    return e.select(F.col("event_id").alias("seq"), fx.epoch_ms("ts").alias("t_ms"), F.col("event_type").alias("name"), F.col("event_type").alias("facet"), F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("idempotency_key"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("trace_id"), F.col("props").alias("request"))
+
+
+@register(ORACLES["ingress_admission"])
+def stream_ingress_admission(spark, sf):
+    from jobloom.streaming import state
+
+    return _stream(spark, sf, _request_shape, lambda r: state.sliding_admission(r.select("seq", "t_ms", "facet"), INGRESS_LIMIT, INGRESS_WINDOW), "ingress")
+
+
+@register(ORACLES["dedup_receipts"])
+def stream_dedup_receipts(spark, sf):
+    from jobloom.streaming import state
+
+    return _stream(spark, sf, _request_shape, lambda r: state.dedup_receipts(r.select("seq", "t_ms", "name", "idempotency_key", "request")), "receipts")
+
+
+@register(ORACLES["chain_quarantine"])
+def stream_chain_quarantine(spark, sf):
+    from jobloom.streaming import state
+
+    return _stream(spark, sf, _request_shape, lambda r: state.chain_quarantine(r.select("seq", "t_ms", "trace_id"), 25), "chain")
+
+
+@register(ORACLES["event_counters"])
+def stream_event_counters(spark, sf):
+    def shape(e):
+        event = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in fx.EVENT_OF.items()))
+        return e.select(F.concat(F.lit("q"), (F.col("user_id") % 8).cast("string")).alias("name"), event.alias("event"))
+
+    return _stream(spark, sf, shape, metrics.event_counts, "counters", "complete")
