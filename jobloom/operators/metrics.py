@@ -97,7 +97,3 @@ def exposition(samples: DataFrame, metric: str, labels: list[str], value: str =
     top = samples.sparkSession.createDataFrame([(f"# TYPE {metric} {kind}",)], "line string")
     return top.unionByName(body)
 
-
-def client_metrics(calls: DataFrame) -> DataFrame:
-    """A fleet's health: all connected, any draining, sums and the worst latency."""
-    return calls.groupBy("queue").agg(F.every("connected").alias("all_connected"), F.some("draining").alias("any_draining"), F.sum("completed").alias("completed"), F.sum("failed").alias("failed"), F.max("last_ms").alias("worst_ms"))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobloom.operators import admission, dispatch, flows, lifecycle, limits, loadreport, metrics, retention, schedulers, search, timeseries
+from jobloom.operators import admission, client, dispatch, flows, lifecycle, limits, loadreport, metrics, retention, schedulers, search, timeseries
 from jobloom.sources import fixtures as fx
 from jobloom.sources.fixtures import COUNTER_SQL, JOB_ALL_SQL, LIFECYCLE_SQL, NOW_MS, RECEIPTS_SQL, REQUESTS_SQL, RULES_SQL
 
@@ -743,6 +743,54 @@ def child_fan_out(spark, sf):
     return flows.fan_out_keys(parents)
 
 
+# ---- clients
+
+
+@register("WITH c AS (SELECT event_type AS queue, value < 300 AS connected, user_id % 97 = 0 AS draining, event_id % 5 AS completed, event_id % 3 AS failed, value AS last_ms FROM events) SELECT queue, bool_and(connected) AS all_connected, bool_or(draining) AS any_draining, sum(completed)::BIGINT AS completed, sum(failed)::BIGINT AS failed, max(last_ms) AS worst_ms, min(connected::INTEGER) AS connection_up FROM c GROUP BY queue")
+def client_fleet(spark, sf):
+    e = fx.load(spark, sf, "events")
+    c = e.select(F.col("event_type").alias("queue"), (F.col("value") < 300).alias("connected"), (F.col("user_id") % 97 == 0).alias("draining"), (F.col("event_id") % 5).alias("completed"), (F.col("event_id") % 3).alias("failed"), F.col("value").alias("last_ms"))
+    return client.fleet(c, ["queue"])
+
+
+@register(f"WITH c AS (SELECT user_id, max(epoch_us(ts) // 1000) AS last_seen, bool_or(event_type = 'purchase') AS connected, bool_or(value > 150) AS draining FROM events GROUP BY user_id) SELECT user_id, last_seen > {1_706_659_200_000 - 6 * HOUR} AS live, last_seen > {1_706_659_200_000 - 6 * HOUR} AND connected AND NOT draining AS ready FROM c")
+def client_health(spark, sf):
+    e = fx.load(spark, sf, "events")
+    c = e.groupBy("user_id").agg(F.max(fx.epoch_ms("ts")).alias("last_seen"), F.some(F.col("event_type") == "purchase").alias("connected"), F.some(F.col("value") > 150).alias("draining"))
+    return client.health(c, 1_706_659_200_000, 6 * HOUR).select("user_id", "live", "ready")
+
+
+@register("WITH b AS (SELECT event_id, event_id // 25 AS batch_id, event_id % 25 AS pos, CASE WHEN value > 200 THEN 'too large' END AS error FROM events), f AS (SELECT *, min(pos) FILTER (error IS NOT NULL) OVER (PARTITION BY batch_id) AS bad FROM b) SELECT event_id, coalesce(pos > bad, false) AS skipped, error IS NULL AND NOT coalesce(pos > bad, false) AS ok, CASE WHEN NOT coalesce(pos > bad, false) THEN error END AS error FROM f")
+def client_bulk_results(spark, sf):
+    e = fx.load(spark, sf, "events")
+    b = e.select("event_id", F.expr("event_id div 25").alias("batch_id"), (F.col("event_id") % 25).alias("pos"), F.when(F.col("value") > 200, "too large").alias("error"))
+    return client.bulk_results(b, stop_on_error=True).select("event_id", "skipped", "ok", "error")
+
+
+@register("SELECT event_id, 'level=warn ' || event_type || ' enqueue rejected' AS line FROM events WHERE event_type = 'error'")
+def log_filter(spark, sf):
+    e = fx.load(spark, sf, "events")
+    logs = e.select("event_id", F.concat(F.lit("level=warn "), "event_type", F.when(F.col("event_type") == "error", " enqueue rejected").otherwise(" enqueue accepted")).alias("line"))
+    return client.log_lines(logs, "enqueue rejected")
+
+
+@register(f"WITH {LIFECYCLE_SQL} SELECT name, event, 1706745600000 - max(ts) AS age_ms FROM lifecycle_events GROUP BY ALL")
+def series_staleness(spark, sf):
+    return client.staleness(fx.lifecycle_events(spark, sf), F.lit(1_706_745_600_000), ["name", "event"])
+
+
+@register("SELECT id, job_name, cron FROM (VALUES " + ", ".join(f"('{i}', '{n}', '{c}')" for i, n, c, _, _ in SCHEDULERS) + ") s(id, job_name, cron) ORDER BY id")
+def scheduler_list(spark, sf):
+    return _schedulers(spark).orderBy("id").select("id", "job_name", "cron")
+
+
+@register(_j("SELECT facet_key, last_served_seq FROM facet_dispatch WHERE facet_key <> 'tenant:furniture' UNION ALL SELECT 'tenant:furniture', (SELECT max(last_served_seq) + 1 FROM facet_dispatch)", RULES_SQL))
+def record_turn(spark, sf):
+    served = fx.rate_rules(spark)[2]
+    turn = served.agg((F.max("last_served_seq") + 1).alias("last_served_seq")).select(F.lit("tenant:furniture").alias("facet_key"), "last_served_seq", F.lit(NOW_MS).alias("last_served_at"))
+    return limits.upsert(served, turn, ["facet_key"]).select("facet_key", "last_served_seq")
+
+
 # ---- streams: the same questions, asked of a stream that is drained
 
 
@@ -786,3 +834,10 @@ def stream_event_counters(spark, sf):
         return e.select(F.concat(F.lit("q"), (F.col("user_id") % 8).cast("string")).alias("name"), event.alias("event"))
 
     return _stream(spark, sf, shape, metrics.event_counts, "counters", "complete")
+
+
+@register(ORACLES["fixed_window_claims"])
+def stream_fixed_window_claims(spark, sf):
+    from jobloom.streaming import state
+
+    return _stream(spark, sf, _request_shape, lambda r: state.fixed_window_admission(r.select("seq", "t_ms", "facet"), INGRESS_LIMIT, INGRESS_WINDOW), "fixed")

@@ -32,6 +32,24 @@ def sliding_admission(requests: DataFrame, limit: int, window_ms: int) -> DataFr
     return requests.groupBy("facet").applyInPandasWithState(step, "seq long, facet string, admitted boolean", "start long, current long, previous long", "append", GroupStateTimeout.NoTimeout)
 
 
+def fixed_window_admission(claims: DataFrame, limit: int, window_ms: int) -> DataFrame:
+    """``admitted`` for a stream of (seq, t_ms, facet), by a window that opens with its first claim."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, expires = state.get if state.exists else (0, 0)
+        rows = pd.concat(list(batches)).sort_values(["t_ms", "seq"])
+        admitted = []
+        for now in map(int, rows["t_ms"]):
+            ok = limit > 0 and not (expires > now and count >= limit)
+            if ok:
+                count, expires = (count + 1, expires) if expires > now else (1, now + window_ms)
+            admitted.append(ok)
+        state.update((count, expires))
+        yield pd.DataFrame({"seq": rows["seq"], "facet": key[0], "admitted": admitted})
+
+    return claims.groupBy("facet").applyInPandasWithState(step, "seq long, facet string, admitted boolean", "count long, expires long", "append", GroupStateTimeout.NoTimeout)
+
+
 def dedup_receipts(requests: DataFrame) -> DataFrame:
     """``outcome`` and ``first_seq`` for a stream of (seq, t_ms, name, idempotency_key, request)."""
 
