@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch. Documents can be 100 kB each, so a batch stays far
-#: below a worker's memory.
+#: Rows and bytes of one Arrow batch, far below a worker's memory for long documents too.
 BATCH_ROWS = 1000
+BATCH_BYTES = "8m"
 
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -52,7 +53,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = staging_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def release(spark: SparkSession, *staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let go of finished shuffles.
+
+    Spark drops a shuffle's files once its plan is garbage on the driver, so both
+    collectors run here, between the phases of a long operator.
+    """
+    for df in staged:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            _delete(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def clear_staging() -> None:
@@ -60,9 +82,7 @@ def clear_staging() -> None:
     while _STAGED:
         spark, path = _STAGED.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended before the interpreter
             return
 
@@ -70,6 +90,7 @@ def clear_staging() -> None:
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with batches small enough for long documents."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import stage
+from jobloom.llm.common import release, stage
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stage(edges, "links")
     state = _state(edges)
     while state[0]:
-        edges = stage(_small_star(_large_star(edges)), "stars")
+        before, edges = edges, stage(_small_star(_large_star(edges)), "stars")
+        release(links.sparkSession, before)
         after = _state(edges)
         if after == state:
             break
