@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_MADE: list[tuple[SparkSession, str]] = []
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="jobloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/jobloom/{name}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(clear)
+    _MADE.append((spark, path))
+    return path
+
+
+def clear() -> None:
+    """Delete all paths handed out; results that still read them become invalid."""
+    while _MADE:
+        spark, path = _MADE.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the session may have ended before the interpreter
+            return

@@ -25,6 +25,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from jobloom.sources.paths import clear
+
+    clear()
     session.stop()
 
 
