@@ -36,6 +36,6 @@ def summarize(runs: DataFrame, by: list[str], value: str = "completion_rate") ->
 
 def bracket(cells: DataFrame, rate: str = "target_rate") -> DataFrame:
     """(low, high): the greatest sustained rate, and the first one above it that is not."""
-    low = cells.agg(F.max(F.when(F.col("sustained"), F.col(rate))).alias("low"))
-    above = cells.join(F.broadcast(low), ~F.col("sustained") & (F.col(rate) > F.coalesce("low", F.lit(float("-inf")))))
-    return low.join(above.agg(F.min(rate).alias("high")))
+    low = cells.agg(F.max(F.when(F.col("sustained"), F.col(rate))).alias("low")).first().low
+    above = ~F.col("sustained") if low is None else ~F.col("sustained") & (F.col(rate) > low)
+    return cells.agg(F.max(F.when(F.col("sustained"), F.col(rate))).alias("low"), F.min(F.when(above, F.col(rate))).alias("high"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The fixed clock of the derived tables: 1998-01-01 UTC.
@@ -110,12 +110,10 @@ def counter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly samples of a counter per (name, event): events so far, restarted once in the middle."""
     e = lifecycle_events(spark, sf_dir)
     hourly = e.groupBy("name", "event", F.expr("ts div 3600000 * 3600000 + 3600000").alias("ts")).agg(F.count("*").alias("n"))
-    lo_hi = e.agg((F.min("ts") + F.max("ts")).alias("s")).select(F.expr("s div 2").alias("mid"))
-    from pyspark.sql import Window
-
-    # one row of totals, joined by broadcast
+    ends = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    mid = (ends.lo + ends.hi) // 2 if ends.lo is not None else 0
     w = Window.partitionBy("name", "event", "restarted").orderBy("ts")
-    return hourly.join(F.broadcast(lo_hi)).withColumn("restarted", F.col("ts") > F.col("mid")).select("name", "event", "ts", F.sum("n").over(w).cast("double").alias("value"))
+    return hourly.withColumn("restarted", F.col("ts") > mid).select("name", "event", "ts", F.sum("n").over(w).cast("double").alias("value"))
 
 
 COUNTER_SQL = (
