@@ -47,21 +47,22 @@ class SlidingBucket:
         return True, SlidingBucket(rolled.start, rolled.current + 1, rolled.previous)
 
 
-def _fold(requests: DataFrame, facet: str, order: list[str], step, out: str, kind: str) -> DataFrame:
-    """Add ``out`` by a fold over each facet's rows in order; state is kept from batch to batch."""
+def _fold(requests: DataFrame, facet: str, order: list[str], reads: list[str], step, out: str, kind: str) -> DataFrame:
+    """Add ``out`` by a fold over each facet's rows in order; state is kept from batch to batch.
+
+    ``step`` gets the row's ``reads`` and the facet's state, and gives a value and the next state.
+    """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, `{out}` {kind}"
     columns = [f.name for f in requests.schema] + [out]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[str, object] = {}
+        key, state = None, None
         for pdf in batches:
             values = []
-            for row in pdf.itertuples(index=False):
-                row = row._asdict()
-                key = row[facet]
-                if key not in state:
-                    state = {key: None}  # rows are sorted: a new facet ends the one before
-                value, state[key] = step(row, state[key])
+            for k, *row in zip(pdf[facet].tolist(), *(pdf[c].tolist() for c in reads)):
+                if k != key:
+                    key, state = k, None  # rows are sorted: a new facet ends the one before
+                value, state = step(row, state)
                 values.append(value)
             yield pdf.assign(**{out: values})[columns]
 
@@ -73,29 +74,33 @@ def sliding_admission(requests: DataFrame, limit: int | None = None, window_ms:
     """``admitted`` for each request, by the sliding-window counter of its facet.
 
     Limit and window are the same for all facets, or columns ``max_jobs`` and
-    ``window_duration_ms`` (null: no rule, always admitted).
+    ``window_duration_ms`` (null: no rule, always admitted). A null facet matches no rule.
     """
+    fixed = limit is not None
 
-    def step(row: dict, bucket: SlidingBucket | None):
-        most, window = (limit, window_ms) if limit is not None else (row["max_jobs"], row["window_duration_ms"])
-        if most is None or most != most or row[facet] is None:
+    def step(row: list, bucket: SlidingBucket | None):
+        now, most, window = (row[0], limit, window_ms) if fixed else row
+        if most is None or most != most:
             return True, bucket
-        return SlidingBucket.admit(bucket, int(row[time]), int(window), int(most))
+        return SlidingBucket.admit(bucket, int(now), int(window), int(most))
 
-    return _fold(requests, facet, [time, seq], step, "admitted", "boolean")
+    reads = [time] if fixed else [time, "max_jobs", "window_duration_ms"]
+    ruled = _fold(requests.where(F.col(facet).isNotNull()), facet, [time, seq], reads, step, "admitted", "boolean")
+    return ruled.unionByName(requests.where(F.col(facet).isNull()).withColumn("admitted", F.lit(True)))
 
 
 def fixed_window_admission(claims: DataFrame, limit: int, window_ms: int, facet: str = "facet", time: str = "t_ms", seq: str = "seq") -> DataFrame:
     """``admitted`` by a window that opens with its first claim: [t, t + window)."""
 
-    def step(row: dict, state: tuple[int, int] | None):
-        now = int(row[time])
+    def step(row: list, state: tuple[int, int] | None):
+        now = int(row[0])
         count, expires = state or (0, 0)
         if limit <= 0 or (expires > now and count >= limit):
             return False, state
         return True, (count + 1, expires) if expires > now else (1, now + window_ms)
 
-    return _fold(claims, facet, [time, seq], step, "admitted", "boolean")
+    ruled = _fold(claims.where(F.col(facet).isNotNull()), facet, [time, seq], [time], step, "admitted", "boolean")
+    return ruled.unionByName(claims.where(F.col(facet).isNull()).withColumn("admitted", F.lit(True)))
 
 
 def sliding_status(rules: DataFrame, counters: DataFrame, now_ms: int) -> DataFrame:
