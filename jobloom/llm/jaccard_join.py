@@ -40,6 +40,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -54,9 +55,10 @@ GRAM_CELLS = 1 << 24
 GRAM_LOAD = 24
 WORD_CELLS = 1 << 20
 FILTER_BITS = 1 << 24
+KEY_BITS = 1 << 25
 #: Sets of this size or more are never light.
 LIGHT_LIMIT = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _SLICES = 64
 #: The level of an n-gram expected once; those expected less often have lower ones.
 _ONE = 64
@@ -278,20 +280,15 @@ def _pairs(x: DataFrame, y: DataFrame, on: Column, num: int, den: int) -> DataFr
     return got.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _cells(d: np.ndarray) -> np.ndarray:
-    return (d.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _involved_filter(hashes: DataFrame) -> np.ndarray:
-    """Bits of all hashes in columns of longs: fixed size, may say yes too often, never no."""
+def _bits_of(longs: DataFrame, size: int) -> np.ndarray:
+    """Packed bits of all values in columns of longs: fixed size, may say yes too often, never no."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for b in batches:
             for i in range(b.num_columns):
-                bits[_cells(b.column(i).to_numpy())] = True
-        packed = np.packbits(bits)
-        for i, part in enumerate(np.split(packed, _SLICES)):
+                bits[(b.column(i).to_numpy().view(np.uint64) % np.uint64(size)).astype(np.int64)] = True
+        for i, part in enumerate(np.split(np.packbits(bits), _SLICES)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "data"])
 
@@ -299,19 +296,43 @@ def _involved_filter(hashes: DataFrame) -> np.ndarray:
         out = np.bitwise_or.reduce([np.frombuffer(d, np.uint8) for d in t.column("data").to_pylist()])
         return pa.table({"slice": pa.array(t.column("slice").to_pylist()[:1], pa.int32()), "data": pa.array([out.tobytes()], pa.binary())})
 
-    rows = map_arrow(hashes, run, "slice int, data binary").groupBy("slice").applyInArrow(either, "slice int, data binary").collect()
-    packed = np.zeros((_SLICES, FILTER_BITS // 8 // _SLICES), np.uint8)
+    rows = map_arrow(longs, run, "slice int, data binary").groupBy("slice").applyInArrow(either, "slice int, data binary").collect()
+    packed = np.zeros((_SLICES, size // 8 // _SLICES), np.uint8)
     for r in rows:
         packed[r["slice"]] = np.frombuffer(bytes(r["data"]), np.uint8)
     return packed.reshape(-1)
 
 
+def _has(packed: np.ndarray, values: np.ndarray) -> np.ndarray:
+    cell = (values.view(np.uint64) % np.uint64(8 * len(packed))).astype(np.int64)
+    return (packed[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _entries(whole: DataFrame, bits) -> DataFrame:
+    """(key, node, n, pos) of the keys that may be shared; ``pos`` is -1 for subset keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = bits.value
+        for b in batches:
+            node, n, listed = (b.column(i).to_numpy() for i in range(3))
+            keys = b.column(3).flatten().to_numpy()
+            sizes = pc.list_value_length(b.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(node)), sizes)
+            at = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = np.flatnonzero(_has(packed, keys))
+            row, at = row[keep], at[keep]
+            pos = np.where(at < listed[row], at, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(node[row]), pa.array(n[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["key", "node", "n", "pos"])
+
+    return map_arrow(whole.select("node", "n", "listed", "keys"), run, "key long, node long, n int, pos int")
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, rarity, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs that link, by the intersection of their whole sets."""
     spark = pairs.sparkSession
     ends = nodes.select("node", "d0", "d1", "text")
     named = stage(pairs.join(ends.toDF("a", "a0", "a1", "at"), "a").join(ends.toDF("b", "b0", "b1", "bt"), "b"), "pairs")
-    bits = spark.sparkContext.broadcast(_involved_filter(named.select("at", "bt")))
+    bits = spark.sparkContext.broadcast(_bits_of(named.select("at", "bt"), FILTER_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, order, packed = _WordHash(), rarity.value, bits.value
@@ -360,15 +381,19 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, shingle: int = 5, id_co
     nodes = stage(nodes, "nodes")
 
     whole = sets.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("listed").alias("listed"))
-    entries = whole.select("node", "n", "listed", F.posexplode("keys").alias("at", "key"))
-    in_list = F.col("at") < F.col("listed")
-    entries = entries.select("key", "node", F.col("n").cast("int").alias("n"), F.when(in_list, F.col("at")).otherwise(-1).alias("pos"))
-    shared = entries.groupBy("key").count().where(F.col("count") > 1).select("key")
-    lists = stage(entries.join(shared, "key"), "lists")
-    release(spark)
+    whole = stage(whole.select("node", "n", "listed", "keys"), "whole")
+    members = stage(signed.select("id", "n", "d0", "d1"), "members")
+    release(spark, signed)  # the keys of copies are not needed
+
+    shared = stage(whole.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > 1).select("key"), "shared")
+    bits = spark.sparkContext.broadcast(_bits_of(shared, KEY_BITS))
+    lists = stage(_entries(whole, bits).join(shared, "key"), "lists")
+    release(spark, shared)
     met = lists.select("node").distinct()
     prefixes = stage(whole.join(met, "node", "left_semi").select("node", "n", F.slice("keys", F.lit(1), F.col("listed").cast("int")).alias("prefix")), "prefixes")
 
+    release(spark, whole)
+
     head = lists.groupBy("key").agg(F.min(F.struct("pos", "node", "n")).alias("h")).select("key", "h.*")
     tried = _pairs(head, lists, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")), num, den)
     tried = stage(tried, "tried")
@@ -396,8 +421,8 @@ def join(docs: DataFrame, num: int = 80, den: int = 100, shingle: int = 5, id_co
     ids = nodes.join(found, "node", "left").select("d0", "d1", "first_id", F.coalesce("component", "node").alias("c"))
     ids = stage(ids, "classes")
     least = ids.groupBy("c").agg(F.min("first_id").alias("component_id"))
-    classes, ids = ids, stage(ids.join(least, "c").select("d0", "d1", "component_id"), "members")
+    classes, ids = ids, stage(ids.join(least, "c").select("d0", "d1", "component_id"), "classes")
     release(spark, classes, nodes, links, more)
-    out = sets.select("id", "n", "d0", "d1").join(ids, ["d0", "d1"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
-    alone = signed.where(F.col("n") == 0).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    out = members.where("n > 0").join(ids, ["d0", "d1"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    alone = members.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.unionByName(alone)
