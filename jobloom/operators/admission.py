@@ -101,24 +101,15 @@ def admit(requests: DataFrame, known: DataFrame, limit: int, window_ms: int, cha
     replays use no quota, and a request refused later has used its velocity quota back
     (its transaction was undone), so the counter runs over what the later gates accept.
     """
-    rows = dedup(validate(requests, max_depth))
-    rows = resolve_ancestry(rows, known, max_depth)
-    early = F.when(F.col("invalid").isNotNull(), "invalid").when(F.col("outcome").isin("replay", "conflict"), F.col("outcome"))
-    rows = rows.withColumn("_early", early)
-    fresh = quarantine_fold(rows.where(F.col("_early").isNull()), limit, window_ms, chain_cap)
-    done = rows.where(F.col("_early").isNotNull()).withColumn("status", F.col("_early"))
-    return done.unionByName(fresh).drop("_early")
-
-
-def quarantine_fold(rows: DataFrame, limit: int, window_ms: int, chain_cap: int) -> DataFrame:
-    """Velocity, ancestry and quota of requests that passed the receipts."""
-    counted = rows.where(F.col("rejection").isNull())
-    velocity = sliding_admission(counted, limit, window_ms)
-    passed = quarantine(velocity.where("admitted"), chain_cap, trace="trace")
-    passed = passed.withColumn("status", F.when(F.col("within_quota"), "accepted").otherwise("chain")).drop("within_quota", "admitted")
-    refused = velocity.where("not admitted").withColumn("status", F.lit("ingress")).drop("admitted")
-    broken = rows.where(F.col("rejection").isNotNull()).withColumn("status", F.col("rejection"))
-    return passed.unionByName(refused).unionByName(broken)
+    rows = resolve_ancestry(dedup(validate(requests, max_depth)), known, max_depth)
+    early = F.coalesce(F.when(F.col("invalid").isNotNull(), "invalid"), F.when(F.col("outcome").isin("replay", "conflict"), F.col("outcome")), F.col("rejection"))
+    rows = rows.withColumn("_early", early).withColumn("_counts", F.col("_early").isNull())
+    rows = sliding_admission(rows, limit, window_ms, counts="_counts")
+    taken = F.col("_counts") & F.col("admitted")
+    rank = F.count(F.when(taken, 1)).over(Window.partitionBy("trace").orderBy("t_ms", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    over = (rank > chain_cap) if chain_cap > 0 else F.lit(False)
+    status = F.coalesce(F.col("_early"), F.when(~F.col("admitted"), "ingress").when(over, "chain").otherwise("accepted"))
+    return rows.withColumn("status", status).drop("_early", "_counts", "admitted")
 
 
 def rejection_log(rows: DataFrame) -> DataFrame:

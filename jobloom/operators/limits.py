@@ -51,6 +51,7 @@ def _fold(requests: DataFrame, facet: str, order: list[str], reads: list[str], s
     """Add ``out`` by a fold over each facet's rows in order; state is kept from batch to batch.
 
     ``step`` gets the row's ``reads`` and the facet's state, and gives a value and the next state.
+    Rows without a facet match no rule: they are admitted, and spread over all tasks.
     """
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, `{out}` {kind}"
     columns = [f.name for f in requests.schema] + [out]
@@ -60,33 +61,39 @@ def _fold(requests: DataFrame, facet: str, order: list[str], reads: list[str], s
         for pdf in batches:
             values = []
             for k, *row in zip(pdf[facet].tolist(), *(pdf[c].tolist() for c in reads)):
+                if k is None:
+                    values.append(True)
+                    continue
                 if k != key:
                     key, state = k, None  # rows are sorted: a new facet ends the one before
                 value, state = step(row, state)
                 values.append(value)
             yield pdf.assign(**{out: values})[columns]
 
-    ordered = requests.repartition(facet).sortWithinPartitions(facet, *order)
+    home = F.coalesce(F.col(facet).cast("string"), F.col(order[-1]).cast("string"))
+    ordered = requests.repartition(home).sortWithinPartitions(facet, *order)
     return ordered.mapInPandas(run, schema)
 
 
-def sliding_admission(requests: DataFrame, limit: int | None = None, window_ms: int | None = None, facet: str = "facet", time: str = "t_ms", seq: str = "seq") -> DataFrame:
+def sliding_admission(requests: DataFrame, limit: int | None = None, window_ms: int | None = None, facet: str = "facet", time: str = "t_ms", seq: str = "seq", counts: str | None = None) -> DataFrame:
     """``admitted`` for each request, by the sliding-window counter of its facet.
 
     Limit and window are the same for all facets, or columns ``max_jobs`` and
     ``window_duration_ms`` (null: no rule, always admitted). A null facet matches no rule.
+    With ``counts``, a boolean column, other rows are passed over and use no quota.
     """
     fixed = limit is not None
 
     def step(row: list, bucket: SlidingBucket | None):
+        if counts and not row.pop():
+            return True, bucket
         now, most, window = (row[0], limit, window_ms) if fixed else row
         if most is None or most != most:
             return True, bucket
         return SlidingBucket.admit(bucket, int(now), int(window), int(most))
 
     reads = [time] if fixed else [time, "max_jobs", "window_duration_ms"]
-    ruled = _fold(requests.where(F.col(facet).isNotNull()), facet, [time, seq], reads, step, "admitted", "boolean")
-    return ruled.unionByName(requests.where(F.col(facet).isNull()).withColumn("admitted", F.lit(True)))
+    return _fold(requests, facet, [time, seq], reads + [counts] * bool(counts), step, "admitted", "boolean")
 
 
 def fixed_window_admission(claims: DataFrame, limit: int, window_ms: int, facet: str = "facet", time: str = "t_ms", seq: str = "seq") -> DataFrame:
@@ -99,8 +106,7 @@ def fixed_window_admission(claims: DataFrame, limit: int, window_ms: int, facet:
             return False, state
         return True, (count + 1, expires) if expires > now else (1, now + window_ms)
 
-    ruled = _fold(claims.where(F.col(facet).isNotNull()), facet, [time, seq], [time], step, "admitted", "boolean")
-    return ruled.unionByName(claims.where(F.col(facet).isNull()).withColumn("admitted", F.lit(True)))
+    return _fold(claims, facet, [time, seq], [time], step, "admitted", "boolean")
 
 
 def sliding_status(rules: DataFrame, counters: DataFrame, now_ms: int) -> DataFrame:
