@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -87,11 +89,43 @@ def clear_staging() -> None:
             return
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long documents."""
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` with batches small enough for long documents.
+
+    Worker processes outlive a stage: what another stage has kept there is dropped
+    (all but the cache named ``keeps``), and memory is given back after each task.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_caches(keeps)
+        yield from fn(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
+_CACHES: dict[str, object] = {}
+
+
+def cached(name: str, make: Callable[[], object]) -> object:
+    """An object that this worker process keeps for further tasks of a stage."""
+    if name not in _CACHES:
+        _CACHES[name] = make()
+    return _CACHES[name]
+
+
+def drop_caches(keeps: str | None) -> None:
+    for name in [n for n in _CACHES if n != keeps]:
+        del _CACHES[name]
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:

@@ -28,12 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import map_arrow, stage, text_bytes
+from jobloom.llm.common import cached, map_arrow, stage, text_bytes
 
 CAPACITY = 2048
 END_ID = 0
 #: Distinct parts of texts whose ids a worker remembers.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_200_000
 _STOP = re.compile(rb"(?<=[a-z])[.,](?=\s|$)")
 
 
@@ -112,14 +112,8 @@ class WordEncoder:
         return self.ids[np.arange(ends[-1]) + np.repeat(first - (ends - size), size)]
 
 
-#: The encoder of this worker process, kept from task to task.
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return cached(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
@@ -160,7 +154,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, text_col: str = "text", capacit
 
     kinds = ["int", "long", "long", "long", "int", "long", *["array<long>"] * with_ids]
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), *(f"{c} {k}" for c, k in zip(made, kinds))])
-    return map_arrow(docs.select(*keep, F.col(text_col).alias("_text")), run, schema)
+    return map_arrow(docs.select(*keep, F.col(text_col).alias("_text")), run, schema, keeps=f"encoder {tokenizer_path}")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
