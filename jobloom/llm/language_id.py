@@ -31,7 +31,7 @@ from jobloom.llm.common import flat_bytes, map_arrow
 #: those with the smallest hash of their id).
 SAMPLE_ROWS = 400
 #: Distinct byte classes; rarer bytes share the last one.
-ALPHABET = 48
+ALPHABET = 40
 #: Longest context in bytes, and the largest table of code lengths.
 MAX_ORDER = 3
 TABLE_BYTES = 64 << 20
@@ -145,11 +145,17 @@ def _code_table(counts: np.ndarray) -> np.ndarray:
 def bounded_sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
     """At most ``rows`` labelled texts a language, by the smallest hash of the id.
 
-    The ranking reads ids and languages only and is limited within each task
-    before its shuffle.
+    Counts by language give a bound on the hash first, so that what is ranked has a
+    bounded size whatever the number of documents.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col), F.lit(8)).alias("_h")).distinct()
+    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # one row for each language of the model
+    if not counts:
+        return []
+    # of a language's hashes, a share that holds some more than ``rows`` of them
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * (rows + 50) / n))))
+    h = F.xxhash64(F.col(id_col), F.lit(8))
+    keys = known.where(F.pmod(h, F.lit(10**9)) < F.try_element_at(share, F.col(lang_col)) * 1e9).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), h.alias("_h")).distinct()
     w = Window.partitionBy("_lang").orderBy("_h", "_id")
     picked = keys.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows).select("_id").collect()
     ids = [r[0] for r in picked if r[0] is not None]
@@ -161,12 +167,14 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", keep: lis
     """``keep`` columns of ``docs`` with ``lang_pred`` and ``score`` (posterior with equal priors)."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     types = dict(docs.dtypes)
+    read = keep if text_col in keep else [*keep, text_col]
+    at = read.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TABLE_BYTES and a little
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            text = b.column(len(keep))
+            text = b.column(at)
             flat, offsets = flat_bytes(text)
             letters = [bool(t) and _LETTER.search(t) is not None for t in text.to_pylist()]
             ok = np.array(letters, bool) & bool(m.langs)
@@ -180,7 +188,7 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", keep: lis
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "lang_pred string", "score double"])
-    return map_arrow(docs.select(*keep, F.col(text_col).alias("_text")), run, schema)
+    return map_arrow(docs.select(*read), run, schema)
 
 
 def fold_of(col: Column | str, folds: int) -> Column:

@@ -64,10 +64,10 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    held_out = li.fold_of("doc_id", 3) == 1
+    held_out = F.coalesce(li.fold_of("doc_id", 3) == 1, F.lit(False))
     model = li.fit(li.bounded_sample(docs.where(~held_out)))
     out = li.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return out.select("doc_id", (li.fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
