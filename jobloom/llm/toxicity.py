@@ -1,33 +1,31 @@
 """Toxicity by the nearest labelled examples, found exactly with a block-max index.
 
-Terms are the words, and the first ``STEM`` bytes of longer words, most associated
-with the label among the labelled examples (chi-squared with a bound that allows
-for the number of words tried); their document
-frequencies are counted over all documents. Texts are TF-IDF vectors over those
-terms, and the nearest examples by cosine are found exactly: examples lie in blocks,
-each term's inverted list knows its largest weight in every block, blocks are
-scored in the order of their upper bounds, and search stops at the block whose
-bound is below the k-th best score. Neighbours vote with a weight that falls with
-their distance, shrunk to the rate among examples that share no term; the vote is
-the score and the neighbours are its evidence.
+Terms are all words of the labelled examples, and the first ``STEM`` bytes of longer
+words; their document frequencies are counted over all documents. Texts are TF-IDF
+vectors over those terms, in which terms held by chi-squared to go with the label
+weigh more. The nearest examples by cosine are found exactly: rare terms are read
+from inverted lists, frequent ones are known by their largest weight in every block
+of examples, and a block whose upper bound is below a lower bound of the k-th best
+score is skipped. Neighbours vote with a weight that falls with their distance,
+shrunk to the rate among examples that hold no term of more weight; the vote is the
+score.
 
 The examples are a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, those with
-the smallest hash of their id.
-
-Defined results: null and empty texts, and texts without a term, get the rate of
-the examples without terms and have no evidence; null labels are not used; an id
-labelled more than once counts as toxic if any label says so; equal cosines go to
-the smaller id; without labelled rows every score is 0; repeated rows are scored
-each for itself.
+the smallest hash of their id. Each one that holds a word is in the index.
+
+Defined results: the evidence of a score is its neighbours if one of them is toxic,
+and empty otherwise; null and empty texts, and texts without a word of the examples,
+get that rate and have no evidence; null labels are not
+used; an id labelled more than once counts as toxic if any label says so; equal
+cosines go to the smaller id; without labelled rows every score is 0; repeated rows
+are scored each for itself.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +35,14 @@ from pyspark.sql import functions as F
 from jobloom.llm.common import map_arrow, text_bytes, words_of
 
 SAMPLE_ROWS = 12_000
-TERMS = 2048
-#: Least documents of a term among the examples, and least chi-squared (1 degree of freedom).
+#: A term in so many examples and of so high a chi-squared (1 degree of freedom) weighs its chi-squared, others 1.
 TERM_ROWS = 8
 TERM_CHI = 30.0
+#: Terms in more than this share of the examples are frequent.
+FREQUENT = 0.05
+#: Texts scored at once, and more than the rounding of their first scores.
+TEXTS = 64
+SLACK = 1e-4
 #: Bytes of a stem; as a term it carries a mark that no word has.
 STEM = 5
 _MARK = b"*"
@@ -52,9 +54,6 @@ PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
 
 
-_stem_of = itemgetter(slice(0, STEM))
-
-
 def features(words: set[bytes]) -> set[bytes]:
     return words | {w[:STEM] + _MARK for w in words if len(w) > STEM}
 
@@ -66,70 +65,125 @@ class Terms:
         self.words = {t: i for i, t in enumerate(terms) if not t.endswith(_MARK)}
         self.stems = {t[:STEM]: i for i, t in enumerate(terms) if t.endswith(_MARK)}
 
-    def count(self, words: list[bytes]) -> Counter:
-        out = Counter(map(self.words.__getitem__, filter(self.words.__contains__, words)))
-        if any(map(self.stems.__contains__, set(map(_stem_of, words)))):
-            out.update(self.stems[w[:STEM]] for w in words if len(w) > STEM and w[:STEM] in self.stems)
+    def count(self, words: list[bytes]) -> dict[int, int]:
+        out: dict[int, int] = {}
+        word, stem = self.words.get, self.stems.get
+        for w, n in Counter(words).items():
+            if (t := word(w)) is not None:
+                out[t] = n
+            if len(w) > STEM and (t := stem(w[:STEM])) is not None:
+                out[t] = out.get(t, 0) + n
         return out
 
 
+class Lists:
+    """The inverted lists: (examples, weights) of each term, in one pair of arrays."""
+
+    def __init__(self, first: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> None:
+        self.first, self.rows, self.weights = first, rows, weights
+
+    def __getitem__(self, t: int) -> tuple[np.ndarray, np.ndarray, int]:
+        part = slice(self.first[t], self.first[t + 1])
+        return self.rows[part], self.weights[part], part.stop - part.start
+
+    def sums(self, at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+        """The part of the scores of ``n`` examples that these terms give."""
+        first, size = self.first[at], self.first[at + 1] - self.first[at]
+        own = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.rows[own], np.repeat(x, size) * self.weights[own], minlength=n)
+
+
 @dataclass
 class Examples:
-    """A block-max inverted index over the labelled examples that hold a term."""
+    """A block-max index over the labelled examples that hold a word."""
 
     terms: Terms
-    idf: np.ndarray
+    idf: np.ndarray  # times the weight of the term
     ids: np.ndarray  # of the examples, ascending
     toxic: np.ndarray
-    rate: float  # toxic among examples without a term
-    lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per term: examples, weights, first entry of each block
-    peak: np.ndarray  # term x block: the largest weight
+    rate: float  # toxic among examples without a term that weighs more than 1
+    lists: Lists
     has_labels: bool
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_dense"}
+
+    @property
+    def dense(self) -> tuple[np.ndarray, ...]:
+        """Place of each frequent term (others: -1), their weights by example (also rounded) and their largest weights by block."""
+        if "_dense" not in self.__dict__:
+            n, size = len(self.ids), np.diff(self.lists.first)
+            often = np.flatnonzero(size > FREQUENT * n)
+            place = np.full(len(size), -1)
+            place[often] = np.arange(len(often))
+            table = np.zeros((-(-n // BLOCK) * BLOCK, len(often)))
+            for i, t in enumerate(often):
+                rows, weights, _ = self.lists[t]
+                table[rows, i] = weights
+            self._dense = place, table, table.astype(np.float32), table.reshape(len(table) // BLOCK, BLOCK, len(often)).max(1)
+        return self._dense
+
     def vector(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
         counts = self.terms.count(words)
         at = sorted(counts)
-        x = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in at])
+        x = (1 + np.log(np.array([counts[t] for t in at], float))) * self.idf[at] if at else np.zeros(0)
         return at, x / np.linalg.norm(x) if len(x) else x
 
-    def nearest(self, at: list[int], x: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine over 0, best first, and their cosines."""
-        bound = x @ self.peak[at]
-        order = np.argsort(-bound, kind="stable")
-        own, score, kth = [], [], 0.0
-        kept = 0
-        for b in order.tolist():
-            if bound[b] <= 0 or kept >= k and bound[b] < kth - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, w in zip(at, x):
-                rows, weights, first = self.lists[t]
-                lo, hi = first[b], first[b + 1]
-                if hi > lo:
-                    sums[rows[lo:hi] - b * BLOCK] += w * weights[lo:hi]
-            hit = np.flatnonzero(sums)
-            own.append(hit + b * BLOCK)
-            score.append(sums[hit])
-            kept += len(hit)
-            if kept >= k:
-                every = np.concatenate(score)
-                kth = np.partition(every, len(every) - k)[len(every) - k]
-        if not own:
-            return np.zeros(0, np.int64), np.zeros(0)
-        own, score = np.concatenate(own), np.concatenate(score)
-        best = np.lexsort((own, -np.round(score, 12)))[:k]
-        return own[best], score[best]
+    def nearest(self, vectors: list[tuple[list[int], np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of highest cosine over 0, best first, and their cosines."""
+        place, table, short, peak = self.dense
+        n, blocks = len(self.ids), len(peak)
+        rare = np.zeros((len(vectors), blocks * BLOCK))
+        x = np.zeros((len(vectors), table.shape[1]))
+        for i, (at, own) in enumerate(vectors):
+            at = np.array(at, np.int64)
+            to = place[at]
+            often = to >= 0
+            x[i, to[often]] = own[often]
+            rare[i] = self.lists.sums(at[~often], own[~often], blocks * BLOCK)
+        kth = lambda best: np.partition(best, blocks - k, 1)[:, blocks - k] if blocks >= k else np.zeros(len(best))
+        # the k best blocks hold k examples of at least this score
+        best = rare.reshape(len(vectors), blocks, BLOCK).max(2)
+        need = best + x @ peak.T >= kth(best)[:, None] - SLACK
+        scores = np.full(rare.shape, -1.0)
+        x32 = x.astype(np.float32)
+        for b in range(blocks):
+            part = slice(b * BLOCK, (b + 1) * BLOCK)
+            own = np.flatnonzero(need[:, b])
+            if len(own) == len(vectors):
+                scores[:, part] = rare[:, part] + x32 @ short[part].T
+            elif len(own):
+                scores[own, part] = rare[own, part] + x32[own] @ short[part].T
+        least = kth(np.maximum(0, scores.reshape(len(vectors), blocks, BLOCK).max(2)))
+        out = []
+        for i in range(len(vectors)):
+            own = np.flatnonzero(scores[i] >= max(least[i] - SLACK, 1e-30))
+            if len(own) > 8 * k:  # few blocks, or many equal scores
+                got = scores[i, own]
+                own = own[got >= np.partition(got, len(got) - k)[len(got) - k] - SLACK]
+            used = np.flatnonzero(x[i])
+            exact = rare[i, own] + table[own[:, None], used] @ x[i, used]
+            top = np.lexsort((own, -np.round(exact, 12)))[:k]
+            out.append((own[top], exact[top]))
+        return out
 
     def judge(self, words: list[bytes]) -> tuple[float, list[int]]:
+        return self.judge_all([words])[0]
+
+    def judge_all(self, texts: list[list[bytes]]) -> list[tuple[float, list[int]]]:
+        """The score of each text and its neighbours, best first."""
         if not self.has_labels:
-            return 0.0, []
-        at, x = self.vector(words)
-        if not at:
-            return self.rate, []
-        own, score = self.nearest(at, x)
-        vote = 1 / (EDGE + np.maximum(0, 1 - score))
+            return [(0.0, [])] * len(texts)
+        out: list[tuple[float, list[int]]] = [(self.rate, [])] * len(texts)
+        vectors = [self.vector(t) for t in texts]
+        full = [i for i, (at, _) in enumerate(vectors) if at]
         prior = PRIOR_VOTES / (EDGE + 1)
-        return float((vote @ self.toxic[own] + prior * self.rate) / (vote.sum() + prior)), own.tolist()
+        for lo in range(0, len(full), TEXTS):
+            part = full[lo : lo + TEXTS]
+            for i, (own, score) in zip(part, self.nearest([vectors[i] for i in part])):
+                vote = 1 / (EDGE + np.maximum(0, 1 - score))
+                out[i] = float((vote @ self.toxic[own] + prior * self.rate) / (vote.sum() + prior)), own.tolist()
+        return out
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> list[tuple[int, bytes, int]]:
@@ -142,26 +196,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return sorted(zip(got.column(0).to_pylist(), text_bytes(got.column(1)), got.column(2).to_pylist()))
 
 
-def select_terms(examples: list[tuple[int, bytes, int]], terms: int = TERMS) -> list[bytes]:
-    """Words that hold for the label, strongest first."""
+def weigh_terms(examples: list[tuple[int, bytes, int]]) -> tuple[list[bytes], np.ndarray]:
+    """All terms of the examples and their weights."""
     n, toxic = len(examples), sum(y for _, _, y in examples)
-    if not 0 < toxic < n:
-        return []
     df, pos = Counter(), Counter()
     for _, text, y in examples:
         own = features(set(words_of(text)))
         df.update(own)
         if y:
             pos.update(own)
-    scored = []
-    for w, a in pos.items():
-        d = df[w]
-        if d < TERM_ROWS or a * n <= d * toxic or d == n:
+    terms = sorted(df)
+    weights = np.ones(len(terms))
+    for i, w in enumerate(terms):
+        a, d = pos[w], df[w]
+        if d < TERM_ROWS or a * n <= d * toxic or d == n or toxic == n:
             continue
         chi = n * (a * n - d * toxic) ** 2 / (d * (n - d) * toxic * (n - toxic))
         if chi >= TERM_CHI:
-            scored.append((-chi, w))
-    return [w for _, w in sorted(scored)[:terms]]
+            weights[i] = chi
+    return terms, weights
 
 
 def document_counts(docs: DataFrame, terms: list[bytes], text_col: str = "text") -> tuple[int, np.ndarray]:
@@ -174,49 +227,47 @@ def document_counts(docs: DataFrame, terms: list[bytes], text_col: str = "text")
         for b in batches:
             for t in text_bytes(b.column(0)):
                 total += 1
-                for i in own.count(words_of(t or b"")):
-                    sums[i] += 1
+                sums[list(own.count(words_of(t or b"")))] += 1
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *sums[at].tolist()], pa.int64())], ["term", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)  # the last one is the number of documents
-    for r in map_arrow(docs.select(text_col), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        out[r.term] = r.n
+    got = map_arrow(docs.select(text_col), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return int(out[-1]), out[:-1]
 
 
-def build(examples: list[tuple[int, bytes, int]], terms: list[bytes], total: int, df: np.ndarray) -> Examples:
-    idf = np.log((1 + total) / (1 + df.astype(float))) + 1
-    index = Examples(Terms(terms), idf, np.zeros(0, np.int64), np.zeros(0), 0.0, [], np.zeros((len(terms), 0)), bool(examples))
-    vectors, bare, bare_toxic = [], 0, 0
+def build(examples: list[tuple[int, bytes, int]], terms: list[bytes], total: int, df: np.ndarray, weights: np.ndarray | float = 1.0) -> Examples:
+    idf = (np.log((1 + total) / (1 + df.astype(float))) + 1) * weights
+    index = Examples(Terms(terms), idf, np.zeros(0, np.int64), np.zeros(0), 0.0, Lists(np.zeros(len(terms) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0)), bool(examples))
+    telling = np.broadcast_to(np.asarray(weights) > 1, len(terms))
+    kept, at, xs, bare, bare_toxic = [], [], [], 0, 0
     for i, text, y in examples:
-        at, x = index.vector(words_of(text))
-        if at:
-            vectors.append((i, y, at, x))
-        else:
+        own, x = index.vector(words_of(text))
+        if own:
+            kept.append((i, y))
+            at.append(np.array(own, np.int32))
+            xs.append(x)
+        if not telling[own].any():
             bare, bare_toxic = bare + 1, bare_toxic + y
     share = sum(y for _, _, y in examples) / max(1, len(examples))
     index.rate = (bare_toxic + share) / (bare + 1)
-    index.ids = np.array([v[0] for v in vectors], np.int64)
-    index.toxic = np.array([float(v[1]) for v in vectors])
-    blocks = -(-len(vectors) // BLOCK)
-    index.peak = np.zeros((len(terms), blocks))
-    lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for row, (_, _, at, x) in enumerate(vectors):
-        for t, w in zip(at, x):
-            lists[t].append((row, w))
-            index.peak[t, row // BLOCK] = max(index.peak[t, row // BLOCK], w)
-    for entries in lists:
-        rows = np.array([r for r, _ in entries], np.int64)
-        index.lists.append((rows, np.array([w for _, w in entries]), np.searchsorted(rows, np.arange(blocks + 1) * BLOCK)))
+    index.ids = np.array([i for i, _ in kept], np.int64)
+    index.toxic = np.array([float(y) for _, y in kept])
+    if kept:
+        rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(a) for a in at])
+        flat = np.concatenate(at)
+        order = np.argsort(flat, kind="stable")
+        first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(terms)))])
+        index.lists = Lists(first, rows[order], np.concatenate(xs)[order])
     return index
 
 
 def fit(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Examples:
     """Index the labelled rows of ``train``; counts are over all of ``docs``."""
     examples = labelled_sample(train, labels, id_col, text_col, label_col)
-    terms = select_terms(examples)
-    return build(examples, terms, *document_counts(docs, terms, text_col))
+    terms, weights = weigh_terms(examples)
+    return build(examples, terms, *document_counts(docs, terms, text_col), weights)
 
 
 def score(docs: DataFrame, index: Examples, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -229,9 +280,13 @@ def score(docs: DataFrame, index: Examples, text_col: str = "text", keep: list[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for b in batches:
-            got = [own.judge(words_of(t or b"")) for t in text_bytes(b.column(len(keep)))]
+            got = []
+            texts = text_bytes(b.column(len(keep)))
+            for lo in range(0, len(texts), TEXTS):
+                got += own.judge_all([words_of(t or b"") for t in texts[lo : lo + TEXTS]])
             s = [g[0] for g in got]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32()), pa.array([[int(own.ids[i]) for i in g[1]] for g in got], pa.list_(pa.int64()))], [*keep, *made])
+            proof = [[int(own.ids[i]) for i in g[1]] if any(own.toxic[i] for i in g[1]) else [] for g in got]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32()), pa.array(proof, pa.list_(pa.int64()))], [*keep, *made])
 
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "score double, predicted int, evidence array<long>"])
     return map_arrow(docs.select(*keep, F.col(text_col).alias("_text")), run, schema)

@@ -183,6 +183,24 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), index).count() == 0
 
 
+def test_toxicity_indexes_every_example_over_all_words(spark):
+    r = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(common) for _ in range(12)) + (" stupid" if i % 9 == 0 else "")) for i in range(300)]
+    rows += [(1000, "vile rarity unseen elsewhere c1"), (1001, "vile rarity unseen elsewhere c1"), (1002, "rarity unseen c2 c3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(300)] + [(1000, 1)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, docs, labels)
+    assert len(index.ids) == 301 and index.terms.count([b"rarity"])
+    got = {x.doc_id: x for x in toxicity.score(docs, index).collect()}
+    assert got[1001].predicted == 1 and got[1001].evidence[0] == got[1002].evidence[0] == 1000
+    texts = dict(rows)
+    for i in (0, 1, 17, 1001, 1002):
+        words = texts[i].encode().split()
+        (score, near), (want, own) = index.judge(words), brute_scores(index, words)
+        assert near == [int(x) for x in own] and score == pytest.approx(want)
+
+
 def test_pipeline_matches_plain_version(spark, sf):
     docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
