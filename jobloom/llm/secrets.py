@@ -5,10 +5,14 @@ overlap. The battery looks at long runs of code characters that mix character
 classes, infers their encoding (hex, base32, base64), and puts the symbols to
 three tests: chi-squared uniformity over the alphabet, runs above and below its
 middle, and serial correlation. A run of characters is random if none of the three
-rejects uniformity (Bonferroni). How likely ordinary text is to look so is
-bounded by the number of changes between character classes for its length
-(Chernoff); within each band of lengths, over all candidates of all documents, the
-Benjamini-Hochberg rule on that bound controls the share of false discoveries.
+rejects uniformity (Bonferroni). How likely ordinary text is to look so comes from
+the same tests: each statistic's likelihood under random symbols over that under a
+text model of the encoding, which grows with length (chi-squared of a text's
+coincidences; shifted runs and correlation), and the same ratio for the changes
+between character classes, whose mean with the runs and the correlation multiplies
+that of chi-squared. By Markov's inequality 1 over this ratio is a p-value of text;
+within each band of lengths, over all candidates of all documents, the
+Benjamini-Hochberg rule on it controls the share of false discoveries.
 Discoveries that overlap a base span are left out; base spans always stay.
 
 Positions are code points, ends exclusive. Defined results: a null text is empty
@@ -34,8 +38,13 @@ KINDS = ("assign", "access", "hex", "random")
 #: Level of each test of randomness, and the share of false discoveries.
 TEST_LEVEL = 0.01
 FALSE_SHARE = 0.01
-#: Changes between character classes a character, in ordinary identifiers and words.
+#: Changes between character classes a character, in ordinary identifiers and words, and in random symbols.
 TEXT_CHANGES = 0.08
+RANDOM_CHANGES = {"hex": 0.469, "base32": 0.305, "base64": 0.645}
+#: In text: two symbols are the same (hex: as for random ones; base64: words of both cases with digits).
+TEXT_SAME = {"hex": 1 / 16, "base32": 0.066, "base64": 0.044}
+#: In text: runs and serial correlation, over the root of the length, are off by this to one side.
+TEXT_ORDER = 0.13
 BANDS = (32, 64)
 MAX_BITS = 400
 _ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
@@ -62,6 +71,15 @@ def _p_two_sided(z: str) -> str:
     return f"(1 - tanh(sqrt(2 / pi()) * (abs({z}) + 0.044715 * pow(abs({z}), 3))))"
 
 
+def _per_code(values: dict[str, float]) -> str:
+    return "case _code " + " ".join(f"when '{k}' then {v}D" for k, v in values.items()) + " end"
+
+
+def _order_bits(z: str) -> str:
+    """SQL: bits for random over text of a normal statistic, against the nearer side."""
+    return f"({TEXT_ORDER**2 / 2} * _n - {TEXT_ORDER} * sqrt(_n) * abs({z})) / ln(2D)"
+
+
 _HALF = "concat(repeat('0', cast(_a / 2 as int)), repeat('1', cast(_a / 2 as int)))"
 _CLASSES = "translate(_token, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_', '" + "L" * 26 + "U" * 26 + "D" * 10 + "S" * 4 + "')"
 for _k in "LUDS":
@@ -91,9 +109,15 @@ STEPS = {
     "_z3": "case when _q <= 0 then 99D else (_lag / _q + 1 / _n) * sqrt(_n) end",
     "_p": f"least({_p_two_sided('_z1')}, {_p_two_sided('_z2')}, {_p_two_sided('_z3')})",
     "_random": f"3 * _p >= {TEST_LEVEL}",
-    # how likely ordinary text changes between character classes as often
-    "_share": f"least((length({_CLASSES}) - 1) / (_n - 1), 1 - 1e-9D)",
-    "_bits": f"case when _share <= {TEXT_CHANGES} then 0 else cast(least(floor((_n - 1) * (_share * log2(_share / {TEXT_CHANGES}) + (1 - _share) * log2((1 - _share) / (1 - {TEXT_CHANGES})))), {MAX_BITS}) as int) end",
+    # bits for random symbols over text, by each test and by changes between character classes
+    "_over": f"greatest(_a * {_per_code(TEXT_SAME)} - 1, 0D) * (_n - 1)",
+    "_b1": "(0.5 * ln(1 + 2 * _over / (_a - 1)) - pow(_chi - (_a - 1), 2) / (4 * (_a - 1)) + pow(_chi - (_a - 1) - _over, 2) / (4 * (_a - 1 + 2 * _over))) / ln(2D)",
+    "_b2": _order_bits("_z2"),
+    "_b3": _order_bits("_z3"),
+    "_rate": _per_code(RANDOM_CHANGES),
+    "_changes": f"cast(length({_CLASSES}) - 1 as double)",
+    "_b4": f"_changes * log2(_rate / {TEXT_CHANGES}) + (_n - 1 - _changes) * log2((1 - _rate) / (1 - {TEXT_CHANGES}))",
+    "_bits": f"cast(greatest(0, least({MAX_BITS}, floor(_b1 + log2((pow(2D, least(_b2, {MAX_BITS})) + pow(2D, least(_b3, {MAX_BITS})) + pow(2D, least(_b4, {MAX_BITS}))) / 3)))) as int)",
 }
 #: Fields that later steps still need, besides the token and its place.
 _LAST_USE = {n: max([i for i, e in enumerate(STEPS.values()) if re.search(rf"{n}\b", e)], default=len(STEPS)) for n in STEPS}

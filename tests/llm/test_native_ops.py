@@ -88,6 +88,26 @@ def test_secrets_tests_tell_random_from_repeated(spark):
     assert not any(got[t][0] for t in bad)
 
 
+def test_secrets_evidence_comes_from_the_battery(spark):
+    r = random.Random(6)
+    b32, b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    of = lambda abc, n: ["".join(r.choice(abc) for _ in range(n)) for _ in range(400)]
+    words = "parse store query window report account customer service request handler version backup archive release daily index table column record value".split()
+    text = ["".join(r.choice(words).capitalize() for _ in range(r.randint(4, 8))) + str(r.randint(1, 2030)) for _ in range(2000)]
+    sets = {"20": of(b32, 20), "32": of(b32, 32), "40": of(b32, 40), "text": text}
+    # as many changes between classes, but symbols that are not uniform
+    plain = of(b64, 48)
+    rows = spark.createDataFrame([(t,) for ts in sets.values() for t in ts if len(t) >= 20] + [(t,) for t in plain], "_text string")
+    got = {x.r._token: x.r.asDict() for x in secrets._tested(rows).select(F.explode("_found").alias("r")).collect()}
+    bits = {k: [got[t]["_bits"] if got[t]["_random"] else -1 for t in ts if t in got] for k, ts in sets.items()}
+    low = {k: sum(b < 7 for b in v) / len(v) for k, v in bits.items()}
+    assert low["20"] < 0.58 and low["32"] < 0.33 and low["40"] < 0.19 and low["text"] >= 0.93
+    one = "q7Rk" * 12
+    uneven = spark.createDataFrame([(one,), (plain[0],)], "_text string")
+    by = {x.r._token: x.r._bits for x in secrets._tested(uneven).select(F.explode("_found").alias("r")).collect()}
+    assert by[one] < by[plain[0]]
+
+
 def test_mask(spark):
     rows = spark.createDataFrame([("aéb token=abcdef x",), ("plain",), (None,), ("token=0123456789abcdef0123456789abcdef",)], "text string")
     got = [r[0] for r in secrets.scan(rows).select(secrets.mask(F.col("text"), F.col("spans"))).collect()]
