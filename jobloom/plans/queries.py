@@ -245,6 +245,14 @@ def fail_parent_cascade(spark, sf):
     return lifecycle.fail_parents(nodes, nodes.where("k % 1000 = 11").select("id"))
 
 
+@register()
+def fail_parent_cascade_all(spark, sf):
+    """Every failed job takes its parents along."""
+    failed = fx.job_all(spark, sf).where("state = 'Failed'").select("id")
+    nodes = _waiting_parents(spark, sf).join(failed.withColumn("_failed", F.lit(True)), "id", "left").withColumn("state", F.when(F.col("_failed"), "Failed").otherwise(F.col("state"))).drop("_failed")
+    return lifecycle.fail_parents(nodes, failed)
+
+
 def _backoff(jobs):
     return jobs.withColumns({"retry_backoff_ms": F.col("k") % 3 * 250, "retry_backoff_max_ms": F.lit(600).cast("long"), "retry_jitter": F.lit(0.5)})
 
@@ -368,9 +376,19 @@ e AS (SELECT *, CASE WHEN window_start IS NULL THEN 0 ELSE prev * greatest(0.0::
 SELECT facet_pattern, max_jobs, w AS window_duration_ms, window_start, round(est)::BIGINT AS estimated_count, max_jobs <= 0 OR est >= max_jobs AS throttled FROM e"""
 )
 def ingress_status(spark, sf):
+    return _ingress_status(spark, sf, "user_id < 20")
+
+
+@register()
+def ingress_status_all(spark, sf):
+    """Counters of all events."""
+    return _ingress_status(spark, sf, "true")
+
+
+def _ingress_status(spark, sf, counted):
     e = fx.load(spark, sf, "events")
     odd = F.when(F.col("user_id") % 2 == 1, 1)
-    counters = e.where("user_id < 20").groupBy(F.col("event_type").alias("facet_key")).agg(F.min(fx.epoch_ms("ts")).alias("current_window_start"), F.count(F.when(F.col("user_id") % 2 == 0, 1)).alias("current_count"), F.count(odd).alias("previous_count"))
+    counters = e.where(counted).groupBy(F.col("event_type").alias("facet_key")).agg(F.min(fx.epoch_ms("ts")).alias("current_window_start"), F.count(F.when(F.col("user_id") % 2 == 0, 1)).alias("current_count"), F.count(odd).alias("previous_count"))
     rules = e.select(F.col("event_type").alias("facet_pattern")).distinct().withColumn("max_jobs", F.lit(12).cast("long")).unionByName(spark.createDataFrame([("none", 0)], "facet_pattern string, max_jobs long")).withColumn("window_duration_ms", F.lit(43_200_000).cast("long"))
     return limits.sliding_status(rules, counters, _STATUS_AT)
 
@@ -730,9 +748,19 @@ FROM (SELECT id FROM job_all WHERE k % 50 = 1) t LEFT JOIN (SELECT jobs.id, stat
     )
 )
 def flow_merge(spark, sf):
+    return _flow_merge(spark, sf, "k % 50 = 1")
+
+
+@register()
+def flow_merge_all(spark, sf):
+    """Every job as a target."""
+    return _flow_merge(spark, sf, "true")
+
+
+def _flow_merge(spark, sf, wanted):
     d = flows.depths(fx.job_all(spark, sf), max_height=12)
     live = fx.jobs(spark, sf).join(d, "id").select("id", "state", F.col("root").alias("tree_id"), F.col("depth").alias("tree_depth"))
-    targets = fx.job_all(spark, sf).where("k % 50 = 1").select(F.col("id").alias("target_id"))
+    targets = fx.job_all(spark, sf).where(wanted).select(F.col("id").alias("target_id"))
     added = targets.select("target_id", F.explode(F.array(F.lit(1), F.lit(1), F.lit(2))).alias("rel_depth"))
     return flows.validate_merge(targets, live, added, max_height=8, max_nodes=400)
 

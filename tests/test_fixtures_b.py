@@ -1,6 +1,7 @@
 """Expected results on small tables."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from jobloom import schemas
 from jobloom.functions import cron, scheduling, text
 from jobloom.operators import admission, dispatch, flows, lifecycle, limits, loadreport, metrics, retention, schedulers, search, timeseries
 from jobloom.operators.limits import SlidingBucket
+from jobloom.plans import queries as q
+from jobloom.sources import fixtures as fx
 from jobloom.sources import outbox, store, workload
 
 
@@ -236,6 +239,47 @@ def test_flow_release_and_cascade(spark):
     assert lifecycle.parent_release(nodes, both, 5).first().state == "Delayed" and lifecycle.parent_release(nodes, both, 9000).first().state == "Waiting"
 
 
+def test_whole_merge_status_and_cascade(spark, sf):
+    jobs = {r.id: r for r in fx.job_all(spark, sf).collect()}
+
+    def way_up(i):
+        out = [i]
+        while (i := jobs[i].parent_id) is not None:
+            if i not in jobs:
+                return None
+            out.append(i)
+        return out
+
+    ways = {i: way_up(i) for i in jobs}
+    live = {i for i, r in jobs.items() if r.state not in ("Completed", "Failed") and ways[i]}
+    have = Counter(ways[i][-1] for i in live)
+    want = {}
+    for i in jobs:
+        r = jobs[i]
+        want[i] = "not live" if i not in live else "active" if r.state == "Active" else "too high" if len(ways[i]) + 1 > 8 else "too many nodes" if have[ways[i][-1]] + 3 > 400 else None
+    assert {r.target_id: r.error for r in q.flow_merge_all(spark, sf).collect()} == want
+
+    state = {i: "Failed" if r.state == "Failed" else "Completed" if r.k % 5 == 0 else "Waiting" for i, r in jobs.items()}
+    cause = {}
+    for i in (i for i in jobs if state[i] == "Failed"):
+        at = i
+        while jobs[at].k % 3 and (up := jobs[at].parent_id) in jobs and state[up] == "Waiting":
+            cause[up], at = min(cause.get(up, i), i), up
+    assert cause and {r.id: r.cause for r in q.fail_parent_cascade_all(spark, sf).collect()} == cause
+
+    events = fx.load(spark, sf, "events").select("event_type", "user_id", fx.epoch_ms("ts").alias("ms")).collect()
+    now, w = 1_704_078_000_000, 43_200_000
+    got = {r.facet_pattern: r for r in q.ingress_status_all(spark, sf).collect()}
+    assert got.keys() == {e.event_type for e in events} | {"none"}
+    for f in got.keys() - {"none"}:
+        own = [e for e in events if e.event_type == f]
+        start, cur, prev = min(e.ms for e in own), sum(e.user_id % 2 == 0 for e in own), sum(e.user_id % 2 == 1 for e in own)
+        steps = max(0, (now - start) // w)
+        start, cur, prev = (start, cur, prev) if steps == 0 else (start + w, 0, cur) if steps == 1 else (now - (now - start) % w, 0, 0)
+        est = prev * max(0.0, min(1.0, (w - (now - start)) / w)) + cur
+        assert (got[f].window_start, got[f].throttled) == (start, est >= 12) and abs(got[f].estimated_count - est) <= 0.5
+
+
 def test_flow_validation(spark):
     trees = [{"name": "a", "children": [{"name": "b", "key": "k"}, {"name": "c", "children": [{"name": "d"}]}]}, {"name": "b", "key": "k"}, {"name": "e", "key": "taken"}]
     rows = store.flatten_flows(trees)
