@@ -10,9 +10,10 @@ the same tests: each statistic's likelihood under random symbols over that under
 text model of the encoding, which grows with length (chi-squared of a text's
 coincidences; shifted runs and correlation), and the same ratio for the changes
 between character classes, whose mean with the runs and the correlation multiplies
-that of chi-squared. By Markov's inequality 1 over this ratio is a p-value of text;
+that of chi-squared. 1 over this ratio stands for the p-value of text, which holds as
+far as the model does (normal statistics, composition independent of order);
 within each band of lengths, over all candidates of all documents, the
-Benjamini-Hochberg rule on it controls the share of false discoveries.
+Benjamini-Hochberg rule on it controls the share of false discoveries under that model.
 Discoveries that overlap a base span are left out; base spans always stay.
 
 Positions are code points, ends exclusive. Defined results: a null text is empty
