@@ -5,10 +5,11 @@ words; their document frequencies are counted over all documents. Texts are TF-I
 vectors over those terms, in which terms held by chi-squared to go with the label
 weigh more. The nearest examples by cosine are found exactly: rare terms are read
 from inverted lists, frequent ones are known by their largest weight in every block
-of examples, and a block whose upper bound is below a lower bound of the k-th best
-score is skipped. Neighbours vote with a weight that falls with their distance,
-shrunk to the rate among examples that hold no term of more weight; the vote is the
-score.
+of examples; the blocks of the highest bounds are read first, and a block whose upper
+bound is below the k-th best score so far is skipped. Neighbours vote with a weight that falls with their distance,
+shrunk to the rate among examples that hold no term of more weight. The score is
+the vote, calibrated by logistic regression on the votes that examples get from the
+others.
 
 The examples are a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, those with
 the smallest hash of their id. Each one that holds a word is in the index.
@@ -23,12 +24,15 @@ are scored each for itself.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +44,14 @@ TERM_ROWS = 8
 TERM_CHI = 30.0
 #: Terms in more than this share of the examples are frequent.
 FREQUENT = 0.05
-#: Texts scored at once, and more than the rounding of their first scores.
+#: Texts counted at once, texts scored at once, and more than the rounding of their first scores.
+COUNTED = 512
 TEXTS = 64
 SLACK = 1e-4
+#: Blocks of the highest bounds that are read first.
+BEGIN = 4
+#: Examples whose votes calibrate the score.
+CALIBRATION_ROWS = 2_000
 #: Bytes of a stem; as a term it carries a mark that no word has.
 STEM = 5
 _MARK = b"*"
@@ -59,21 +68,29 @@ def features(words: set[bytes]) -> set[bytes]:
 
 
 class Terms:
-    """Finds the terms in a list of words."""
+    """Finds the terms in lists of words."""
 
     def __init__(self, terms: list[bytes]) -> None:
         self.words = {t: i for i, t in enumerate(terms) if not t.endswith(_MARK)}
         self.stems = {t[:STEM]: i for i, t in enumerate(terms) if t.endswith(_MARK)}
-
-    def count(self, words: list[bytes]) -> dict[int, int]:
-        out: dict[int, int] = {}
-        word, stem = self.words.get, self.stems.get
-        for w, n in Counter(words).items():
-            if (t := word(w)) is not None:
-                out[t] = n
-            if len(w) > STEM and (t := stem(w[:STEM])) is not None:
-                out[t] = out.get(t, 0) + n
-        return out
+        self.size = len(terms)
+
+    def counts(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, occurrences), sorted by text and term.
+
+        A term is looked up once for each distinct word of all these texts.
+        """
+        found = pa.array(list(chain.from_iterable(texts)), pa.binary()).dictionary_encode()
+        words = found.dictionary.to_pylist()
+        word = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        stems = pc.binary_slice(found.dictionary, 0, STEM).dictionary_encode()
+        stem = np.fromiter((self.stems.get(w, -1) for w in stems.dictionary.to_pylist()), np.int64, len(stems.dictionary))[stems.indices.to_numpy()]
+        stem[pc.binary_length(found.dictionary).to_numpy() <= STEM] = -1
+        text = np.repeat(np.arange(len(texts)) * self.size, [len(t) for t in texts])
+        at = found.indices.to_numpy()
+        pairs = np.concatenate([(text + t[at])[t[at] >= 0] for t in (word, stem)]) if len(words) else np.zeros(0, np.int64)
+        pairs, n = np.unique(pairs, return_counts=True)
+        return *np.divmod(pairs, max(1, self.size)), n
 
 
 class Lists:
@@ -95,96 +112,169 @@ class Lists:
 
 @dataclass
 class Examples:
-    """A block-max index over the labelled examples that hold a word."""
+    """A block-max index over the labelled examples that hold a word.
+
+    Examples are arranged so that a block holds like ones: blocks of other languages
+    and topics then have low bounds.
+    """
 
     terms: Terms
     idf: np.ndarray  # times the weight of the term
-    ids: np.ndarray  # of the examples, ascending
+    ids: np.ndarray  # of the examples
     toxic: np.ndarray
     rate: float  # toxic among examples without a term that weighs more than 1
     lists: Lists
     has_labels: bool
+    #: A vote's log odds, times the slope and plus the bias, are the score's.
+    slope: float = 1.0
+    bias: float = 0.0
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_dense"}
 
     @property
-    def dense(self) -> tuple[np.ndarray, ...]:
-        """Place of each frequent term (others: -1), their weights by example (also rounded) and their largest weights by block."""
+    def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each frequent term (others: -1), their weights by example and their largest weights by block."""
         if "_dense" not in self.__dict__:
-            n, size = len(self.ids), np.diff(self.lists.first)
-            often = np.flatnonzero(size > FREQUENT * n)
-            place = np.full(len(size), -1)
-            place[often] = np.arange(len(often))
-            table = np.zeros((-(-n // BLOCK) * BLOCK, len(often)))
-            for i, t in enumerate(often):
-                rows, weights, _ = self.lists[t]
-                table[rows, i] = weights
-            self._dense = place, table, table.astype(np.float32), table.reshape(len(table) // BLOCK, BLOCK, len(often)).max(1)
+            place, table = _frequent(self.lists, len(self.ids))
+            table = np.concatenate([table, np.zeros((-len(table) % BLOCK, table.shape[1]), np.float32)])
+            self._dense = place, table, table.reshape(len(table) // BLOCK, BLOCK, table.shape[1]).max(1)
         return self._dense
 
-    def vector(self, words: list[bytes]) -> tuple[list[int], np.ndarray]:
-        counts = self.terms.count(words)
-        at = sorted(counts)
-        x = (1 + np.log(np.array([counts[t] for t in at], float))) * self.idf[at] if at else np.zeros(0)
-        return at, x / np.linalg.norm(x) if len(x) else x
-
-    def nearest(self, vectors: list[tuple[list[int], np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each vector the k examples of highest cosine over 0, best first, and their cosines."""
-        place, table, short, peak = self.dense
-        n, blocks = len(self.ids), len(peak)
-        rare = np.zeros((len(vectors), blocks * BLOCK))
-        x = np.zeros((len(vectors), table.shape[1]))
-        for i, (at, own) in enumerate(vectors):
-            at = np.array(at, np.int64)
-            to = place[at]
+    def vectors(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The unit vectors of some texts: bounds of each in (terms, weights)."""
+        text, at, n = self.terms.counts(texts)
+        x = (1 + np.log(n)) * self.idf[at]
+        norm = np.sqrt(np.bincount(text, x * x, minlength=len(texts)))
+        return np.searchsorted(text, np.arange(len(texts) + 1)), at, x / norm[text]
+
+    def nearest(self, vectors: tuple[np.ndarray, np.ndarray, np.ndarray], k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of highest cosine over 0, best first, and their cosines.
+
+        ``without`` names one example for each vector that is no neighbour of it.
+        """
+        first, at, weights = vectors
+        place, table, peak = self.dense
+        m, n, blocks = len(first) - 1, len(table), len(peak)
+        rare, x = np.zeros((m, n)), np.zeros((m, table.shape[1]))
+        for i in range(m):
+            own, w = at[first[i] : first[i + 1]], weights[first[i] : first[i + 1]]
+            to = place[own]
             often = to >= 0
-            x[i, to[often]] = own[often]
-            rare[i] = self.lists.sums(at[~often], own[~often], blocks * BLOCK)
-        kth = lambda best: np.partition(best, blocks - k, 1)[:, blocks - k] if blocks >= k else np.zeros(len(best))
-        # the k best blocks hold k examples of at least this score
-        best = rare.reshape(len(vectors), blocks, BLOCK).max(2)
-        need = best + x @ peak.T >= kth(best)[:, None] - SLACK
-        scores = np.full(rare.shape, -1.0)
+            x[i, to[often]] = w[often]
+            rare[i] = self.lists.sums(own[~often], w[~often], n)
         x32 = x.astype(np.float32)
-        for b in range(blocks):
-            part = slice(b * BLOCK, (b + 1) * BLOCK)
-            own = np.flatnonzero(need[:, b])
-            if len(own) == len(vectors):
-                scores[:, part] = rare[:, part] + x32 @ short[part].T
-            elif len(own):
-                scores[own, part] = rare[own, part] + x32[own] @ short[part].T
-        least = kth(np.maximum(0, scores.reshape(len(vectors), blocks, BLOCK).max(2)))
+        bound = rare.reshape(m, blocks, BLOCK).max(2) + x32 @ peak.T
+        scores = np.full(rare.shape, -1.0)
+
+        def read(need: np.ndarray) -> None:
+            for b in np.flatnonzero(need.any(0)):
+                part, own = slice(b * BLOCK, (b + 1) * BLOCK), np.flatnonzero(need[:, b])
+                scores[own, part] = rare[own, part] + x32[own] @ table[part].T
+            if without is not None:
+                scores[np.arange(m), without] = -1.0
+
+        # the blocks of the highest bounds give a lower bound of the k-th best score
+        begun = np.argsort(-bound, 1)[:, :BEGIN]
+        need = np.zeros((m, blocks), bool)
+        np.put_along_axis(need, begun, True, 1)
+        read(need)
+        known = np.take_along_axis(scores.reshape(m, blocks, BLOCK), begun[:, :, None], 1).reshape(m, -1)
+        least = np.maximum(0, np.partition(known, -k, 1)[:, -k]) if known.shape[1] >= k else np.zeros(m)
+        read(~need & (bound >= least[:, None] - SLACK))
         out = []
-        for i in range(len(vectors)):
+        for i in range(m):
             own = np.flatnonzero(scores[i] >= max(least[i] - SLACK, 1e-30))
-            if len(own) > 8 * k:  # few blocks, or many equal scores
+            if len(own) > k:
                 got = scores[i, own]
                 own = own[got >= np.partition(got, len(got) - k)[len(got) - k] - SLACK]
             used = np.flatnonzero(x[i])
             exact = rare[i, own] + table[own[:, None], used] @ x[i, used]
-            top = np.lexsort((own, -np.round(exact, 12)))[:k]
+            top = np.lexsort((self.ids[own], -np.round(exact, 12)))[:k]
             out.append((own[top], exact[top]))
         return out
 
-    def judge(self, words: list[bytes]) -> tuple[float, list[int]]:
-        return self.judge_all([words])[0]
-
-    def judge_all(self, texts: list[list[bytes]]) -> list[tuple[float, list[int]]]:
-        """The score of each text and its neighbours, best first."""
-        if not self.has_labels:
-            return [(0.0, [])] * len(texts)
-        out: list[tuple[float, list[int]]] = [(self.rate, [])] * len(texts)
-        vectors = [self.vector(t) for t in texts]
-        full = [i for i, (at, _) in enumerate(vectors) if at]
+    def votes(self, texts: list[list[bytes]], without: list[int] | None = None) -> list[tuple[float | None, list[int]]]:
+        """The vote of each text's neighbours, and these, best first; None for a text without a term."""
+        out: list[tuple[float | None, list[int]]] = [(None, [])] * len(texts)
         prior = PRIOR_VOTES / (EDGE + 1)
+        first, at, x = self.vectors(texts)
+        full = np.flatnonzero(np.diff(first)) if len(self.ids) else []
+        bounds = np.append(first[full], first[-1]) if len(full) else []  # texts without a term take no entries
         for lo in range(0, len(full), TEXTS):
             part = full[lo : lo + TEXTS]
-            for i, (own, score) in zip(part, self.nearest([vectors[i] for i in part])):
+            for i, (own, score) in zip(part, self.nearest((bounds[lo : lo + TEXTS + 1], at, x), without=None if without is None else np.array(without)[part])):
                 vote = 1 / (EDGE + np.maximum(0, 1 - score))
                 out[i] = float((vote @ self.toxic[own] + prior * self.rate) / (vote.sum() + prior)), own.tolist()
         return out
 
+    def judge_all(self, texts: list[list[bytes]]) -> list[tuple[float, list[int]]]:
+        """The score of each text and its neighbours, best first."""
+        if not self.has_labels:
+            return [(0.0, [])] * len(texts)
+        return [(self.rate if v is None else self.calibrated(v), own) for v, own in self.votes(texts)]
+
+    def judge(self, words: list[bytes]) -> tuple[float, list[int]]:
+        return self.judge_all([words])[0]
+
+    def calibrated(self, vote: float) -> float:
+        return 1 / (1 + math.exp(-self.slope * _log_odds(vote) - self.bias))
+
+
+def _log_odds(p: float) -> float:
+    p = min(max(p, 1e-6), 1 - 1e-6)
+    return math.log(p / (1 - p))
+
+
+def calibrate(index: Examples, texts: list[list[bytes]], rows: list[int]) -> None:
+    """Fit slope and bias (Platt) to the votes of the other examples on each of these ``rows`` of the index."""
+    z, y = [], []
+    for (v, _), row in zip(index.votes(texts, without=rows), rows):
+        if v is not None:
+            z.append(_log_odds(v))
+            y.append(index.toxic[row])
+    z, y = np.array(z), np.array(y)
+    pos = y.sum()
+    if not 0 < pos < len(y):
+        return
+    goal = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
+    a = np.stack([z, np.ones(len(z))], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(50):  # Newton's method with a weak prior on the identity
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        slope = a.T @ (p - goal) + 1e-3 * (w - [1, 0])
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), slope)
+        w = w - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    if w[0] > 0:
+        index.slope, index.bias = float(w[0]), float(w[1])
+
+
+def _frequent(lists: Lists, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each frequent term (others: -1), and their weights by example."""
+    size = np.diff(lists.first)
+    often = np.flatnonzero(size > FREQUENT * n)
+    place = np.full(len(size), -1)
+    place[often] = np.arange(len(often))
+    table = np.zeros((n, len(often)), np.float32)
+    for i, t in enumerate(often):
+        rows, weights, _ = lists[t]
+        table[rows, i] = weights
+    return place, table
+
+
+def _arranged(table: np.ndarray) -> np.ndarray:
+    """An order of the examples in which like ones are neighbours: spherical k-means on the frequent terms."""
+    n = len(table)
+    k = max(1, n // (8 * BLOCK))
+    centre = table[:: max(1, n // k)][:k]
+    for _ in range(5):
+        own = (table @ centre.T).argmax(1)
+        centre = np.stack([table[own == c].sum(0) if (own == c).any() else centre[c] for c in range(len(centre))])
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+    return np.argsort(own, kind="stable")
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> list[tuple[int, bytes, int]]:
     """At most ``rows`` examples (id, text, label) from the labelled documents, by hash of the id."""
@@ -219,47 +309,64 @@ def weigh_terms(examples: list[tuple[int, bytes, int]]) -> tuple[list[bytes], np
 
 def document_counts(docs: DataFrame, terms: list[bytes], text_col: str = "text") -> tuple[int, np.ndarray]:
     """(documents, documents that hold each term), over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shared.value, 0
         sums = np.zeros(len(terms), np.int64)
         for b in batches:
-            for t in text_bytes(b.column(0)):
-                total += 1
-                sums[list(own.count(words_of(t or b"")))] += 1
+            texts = text_bytes(b.column(0))
+            total += len(texts)
+            for lo in range(0, len(texts), COUNTED):
+                found = own.counts([words_of(t or b"") for t in texts[lo : lo + COUNTED]])[1]
+                np.add.at(sums, found, 1)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *sums[at].tolist()], pa.int64())], ["term", "n"])
 
     out = np.zeros(len(terms) + 1, np.int64)  # the last one is the number of documents
     got = map_arrow(docs.select(text_col), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    shared.destroy()
     return int(out[-1]), out[:-1]
 
 
-def build(examples: list[tuple[int, bytes, int]], terms: list[bytes], total: int, df: np.ndarray, weights: np.ndarray | float = 1.0) -> Examples:
+def build(examples: list[tuple[int, bytes, int]], terms: list[bytes], total: int, df: np.ndarray, weights: np.ndarray | float = 1.0, calibration: int = CALIBRATION_ROWS) -> Examples:
+    """The index; weights of examples are kept as single floats, and scores are exact for these."""
     idf = (np.log((1 + total) / (1 + df.astype(float))) + 1) * weights
-    index = Examples(Terms(terms), idf, np.zeros(0, np.int64), np.zeros(0), 0.0, Lists(np.zeros(len(terms) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0)), bool(examples))
+    none = Lists(np.zeros(len(terms) + 1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+    index = Examples(Terms(terms), idf, np.zeros(0, np.int64), np.zeros(0), 0.0, none, bool(examples))
     telling = np.broadcast_to(np.asarray(weights) > 1, len(terms))
-    kept, at, xs, bare, bare_toxic = [], [], [], 0, 0
-    for i, text, y in examples:
-        own, x = index.vector(words_of(text))
-        if own:
-            kept.append((i, y))
-            at.append(np.array(own, np.int32))
-            xs.append(x)
-        if not telling[own].any():
-            bare, bare_toxic = bare + 1, bare_toxic + y
-    share = sum(y for _, _, y in examples) / max(1, len(examples))
-    index.rate = (bare_toxic + share) / (bare + 1)
-    index.ids = np.array([i for i, _ in kept], np.int64)
-    index.toxic = np.array([float(y) for _, y in kept])
-    if kept:
-        rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(a) for a in at])
-        flat = np.concatenate(at)
-        order = np.argsort(flat, kind="stable")
-        first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(terms)))])
-        index.lists = Lists(first, rows[order], np.concatenate(xs)[order])
+    sizes, at, xs, bare = [], [], [], np.ones(len(examples), bool)
+    for lo in range(0, len(examples), TEXTS):
+        first, own, x = index.vectors([words_of(t) for _, t, _ in examples[lo : lo + TEXTS]])
+        sizes.append(np.diff(first))
+        at.append(own.astype(np.int32))
+        xs.append(x.astype(np.float32))
+        bare[lo + np.repeat(np.arange(len(first) - 1), np.diff(first))[telling[own]]] = False
+    toxic = np.array([float(y) for _, _, y in examples])
+    share = toxic.sum() / max(1, len(examples))
+    index.rate = float((toxic[bare].sum() + share) / (bare.sum() + 1))
+    if not examples:
+        return index
+    sizes, flat, x = np.concatenate(sizes), np.concatenate(at), np.concatenate(xs)
+    kept = np.flatnonzero(sizes)
+
+    def lists(rank: np.ndarray) -> Lists:
+        rows = np.repeat(rank, sizes[kept]).astype(np.int32)
+        order = np.lexsort((rows, flat))
+        return Lists(np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(terms)))]), rows[order], x[order])
+
+    if len(kept):
+        order = _arranged(_frequent(lists(np.arange(len(kept))), len(kept))[1])
+        rank = np.empty(len(kept), np.int64)
+        rank[order] = np.arange(len(kept))
+        index.lists = lists(rank)
+        kept = kept[order]
+    index.ids = np.array([examples[i][0] for i in kept], np.int64)
+    index.toxic = toxic[kept]
+    if len(kept) > 1 and calibration:
+        rows = np.arange(0, len(kept), max(1, -(-len(kept) // calibration)))
+        calibrate(index, [words_of(examples[i][1]) for i in kept[rows]], rows.tolist())
     return index
 
 
@@ -282,8 +389,8 @@ def score(docs: DataFrame, index: Examples, text_col: str = "text", keep: list[s
         for b in batches:
             got = []
             texts = text_bytes(b.column(len(keep)))
-            for lo in range(0, len(texts), TEXTS):
-                got += own.judge_all([words_of(t or b"") for t in texts[lo : lo + TEXTS]])
+            for lo in range(0, len(texts), COUNTED):
+                got += own.judge_all([words_of(t or b"") for t in texts[lo : lo + COUNTED]])
             s = [g[0] for g in got]
             proof = [[int(own.ids[i]) for i in g[1]] if any(own.toxic[i] for i in g[1]) else [] for g in got]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(s, pa.float64()), pa.array([int(x >= THRESHOLD) for x in s], pa.int32()), pa.array(proof, pa.list_(pa.int64()))], [*keep, *made])

@@ -1,6 +1,7 @@
 """URL filter, secret scan, toxicity and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -154,17 +155,21 @@ def test_url_templates_learn_from_rules(spark):
 
 
 def brute_scores(index, words):
-    at, x = index.vector(words)
-    if not at:
+    counts = Counter()
+    for w in words:
+        counts.update(t for t in (index.terms.words.get(w), index.terms.stems.get(w[: toxicity.STEM]) if len(w) > toxicity.STEM else None) if t is not None)
+    if not counts:
         return index.rate, []
+    x = {t: (1 + math.log(n)) * index.idf[t] for t, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in x.values()))
     sims = np.zeros(len(index.ids))
-    for t, w in zip(at, x):
+    for t, w in x.items():
         rows, weights, _ = index.lists[t]
-        sims[rows] += w * weights
-    own = [i for i in np.lexsort((np.arange(len(sims)), -np.round(sims, 12))) if sims[i] > 0][: toxicity.NEIGHBOURS]
+        sims[rows] += w / norm * weights
+    own = [i for i in np.lexsort((index.ids, -np.round(sims, 6))) if sims[i] > 0][: toxicity.NEIGHBOURS]
     vote = [1 / (toxicity.EDGE + max(0, 1 - sims[i])) for i in own]
     prior = toxicity.PRIOR_VOTES / (toxicity.EDGE + 1)
-    return (sum(v * index.toxic[i] for v, i in zip(vote, own)) + prior * index.rate) / (sum(vote) + prior), own
+    return index.calibrated((sum(v * index.toxic[i] for v, i in zip(vote, own)) + prior * index.rate) / (sum(vote) + prior)), own
 
 
 def test_toxicity_neighbours_are_exact():
@@ -176,7 +181,33 @@ def test_toxicity_neighbours_are_exact():
     for _ in range(200):
         own = [r.choice(terms) for _ in range(r.randint(0, 5))]
         got, want = index.judge(own), brute_scores(index, own)
-        assert got[1] == [int(i) for i in want[1]] and got[0] == pytest.approx(want[0])
+        assert got[0] == pytest.approx(want[0], abs=1e-4) and len(got[1]) == len(want[1])
+        assert got[1] == [int(i) for i in want[1]]
+
+
+def test_toxicity_scores_are_calibrated():
+    r = random.Random(9)
+    common, bad = [f"c{i}" for i in range(60)], [f"b{i}" for i in range(6)]
+
+    def example(i):  # the more bad words, the likelier the label
+        n = r.choice([0, 0, 0, 1, 2, 4])
+        return i, " ".join([r.choice(common) for _ in range(10)] + [r.choice(bad) for _ in range(n)]).encode(), int(r.random() < (0.02, 0.3, 0.7, 0, 0.95)[n])
+
+    train, held = [example(i) for i in range(1500)], [example(i) for i in range(1500)]
+    terms, weights = toxicity.weigh_terms(train)
+    index = toxicity.build(train, terms, 5000, np.full(len(terms), 50), weights)
+    plain = toxicity.build(train, terms, 5000, np.full(len(terms), 50), weights, calibration=0)
+    y = np.array([x[2] for x in held])
+
+    def judged(ix):
+        s = np.array([ix.judge(toxicity.words_of(t))[0] for _, t, _ in held])
+        bins = np.minimum(4, (s * 5).astype(int))
+        error = sum(abs(s[bins == b].mean() - y[bins == b].mean()) * (bins == b).mean() for b in range(5) if (bins == b).any())
+        return error, -np.log(np.clip(np.where(y, s, 1 - s), 1e-6, 1)).mean()
+
+    assert (plain.slope, plain.bias) == (1.0, 0.0) != (index.slope, index.bias)
+    error, loss = judged(index)
+    assert error <= 0.05 and loss <= judged(plain)[1]
 
 
 def test_toxicity_held_out(spark):
@@ -211,7 +242,7 @@ def test_toxicity_indexes_every_example_over_all_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(300)] + [(1000, 1)], "doc_id long, toxic int")
     index = toxicity.fit(docs, docs, labels)
-    assert len(index.ids) == 301 and index.terms.count([b"rarity"])
+    assert len(index.ids) == 301 and len(index.terms.counts([[b"rarity"]])[1]) == 2
     got = {x.doc_id: x for x in toxicity.score(docs, index).collect()}
     assert got[1001].predicted == 1 and got[1001].evidence[0] == got[1002].evidence[0] == 1000
     texts = dict(rows)
