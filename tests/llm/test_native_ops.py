@@ -166,7 +166,7 @@ def brute_scores(index, words):
     for t, w in x.items():
         rows, weights, _ = index.lists[t]
         sims[rows] += w / norm * weights
-    own = [i for i in np.lexsort((index.ids, -np.round(sims, 6))) if sims[i] > 0][: toxicity.NEIGHBOURS]
+    own = [i for i in np.lexsort((index.ids, -np.round(sims, 12))) if sims[i] > 0][: toxicity.NEIGHBOURS]
     vote = [1 / (toxicity.EDGE + max(0, 1 - sims[i])) for i in own]
     prior = toxicity.PRIOR_VOTES / (toxicity.EDGE + 1)
     return index.calibrated((sum(v * index.toxic[i] for v, i in zip(vote, own)) + prior * index.rate) / (sum(vote) + prior)), own
