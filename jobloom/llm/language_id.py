@@ -1,17 +1,23 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has a byte context tree of variable order. A symbol that a context
-has not seen escapes to the next shorter context (method C: the escape count is
-the number of distinct symbols seen there, seen symbols are excluded below). The
-trees are frozen after training, so the code length of each symbol in each
-context is a constant; the trees are flattened to one table of code lengths and a
-document's exact code length is the sum of its entries. The language with the
-shortest code wins.
+Each language has a byte context tree of variable order: the contexts of up to
+``ORDER`` bytes that its training texts hold, over all 256 byte values (A-Z are read
+as a-z). A byte that a context has not seen escapes to the next shorter context, with
+the escape probability of method C (distinct bytes over occurrences and distinct
+bytes), and below the empty context to one of 256 equal bytes; seen bytes are not
+excluded there. The trees are frozen after training, so a document's exact code length
+is a sum of constants. The language with the shortest code wins.
+
+All trees share their nodes. A node is a string of up to ``ORDER`` + 1 bytes that some
+language has seen; the code length of a byte follows from the longest node that ends at
+it and the longest one that ends before it, so one node is looked up for each byte,
+whatever the number of languages.
 
 Defined results: a null text, an empty text and a text without letters give
 ``und`` with score 0. Ties go to the language that sorts first. Whole texts are
-scored. Rows are independent, so repeated rows, skewed sources and extra columns
-make no difference. With no training rows every text is ``und``.
+scored. Rows are independent, so repeated rows and skewed sources make no difference.
+With no training rows every text is ``und``. Columns of the input named ``lang_pred``
+or ``score`` are replaced; other extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -27,139 +33,184 @@ from pyspark.sql import functions as F
 
 from jobloom.llm.common import flat_bytes, map_arrow
 
-#: Labelled rows of each language that the model is fitted on (a bounded sample:
-#: those with the smallest hash of their id).
+#: The model is fitted on a bounded sample: at most SAMPLE_ROWS distinct labelled texts of
+#: each language, those with the smallest hash of their text, as far as they come to
+#: SAMPLE_BYTES together. Texts of over LONG_BYTES come last, and the first text always counts.
 SAMPLE_ROWS = 400
-#: Distinct byte classes; rarer bytes share the last one.
-ALPHABET = 40
-#: Longest context in bytes, and the largest table of code lengths.
-MAX_ORDER = 3
-TABLE_BYTES = 64 << 20
-#: Code lengths are kept in units of 1 / 512 bit.
-UNIT = 512
-_SLICE = 1 << 21
+SAMPLE_BYTES = 4 << 20
+LONG_BYTES = 64 << 10
+#: Longest context in bytes.
+ORDER = 4
+_SLICE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+
+
+def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _named(codes: np.ndarray, m: int) -> np.ndarray:
+    """A string of ``m`` bytes as one number; no two strings have the same."""
+    return codes | np.uint64(m << 56)
+
+
+class Strings:
+    """An open hash table from strings to the rows of the model."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.bits = max(4, int(len(keys) * 3).bit_length())
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), _slot(keys, self.bits)
+        while len(left):
+            free = self.rows[at] < 0
+            slots, first = np.unique(at[free], return_index=True)
+            own = left[free][first]
+            self.keys[slots], self.rows[slots] = keys[own], own
+            again = np.ones(len(left), bool)
+            again[np.flatnonzero(free)[first]] = False
+            left, at = left[again], (at[again] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        at = _slot(keys, self.bits)
+        out = self.rows[at]
+        wrong = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & ((1 << self.bits) - 1)
+            out[wrong] = self.rows[at[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.keys[at[wrong]] != keys[wrong])]
+        return out
 
 
 @dataclass
 class PpmModel:
     langs: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    size: int
     order: int
-    table: np.ndarray  # (size ** (order + 1), languages), code lengths
+    strings: Strings
+    #: By string (the last one is the empty string) and language: what a byte that ends the
+    #: string adds, with the escapes of the byte after it; and these escapes alone.
+    bits: np.ndarray
+    escapes: np.ndarray
+
+    def nodes(self, flat: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """The longest known string that ends at each byte of a slice, within its document."""
+        head = max(0, lo - self.order)
+        s = _FOLD[flat[head:hi]].astype(np.uint64)
+        s = np.concatenate([np.zeros(self.order - (lo - head), np.uint64), s])
+        n = hi - lo
+        first = np.searchsorted(offsets, [lo, hi - 1], "right") - 1
+        sizes = np.minimum(offsets[first[0] + 1 : first[1] + 2], hi) - np.maximum(offsets[first[0] : first[1] + 1], lo)
+        room = np.arange(lo, hi) - np.repeat(offsets[first[0] : first[1] + 1], sizes) + 1
+        codes = [s[self.order :]]
+        for j in range(1, self.order + 1):
+            codes.append(codes[-1] | s[self.order - j : self.order - j + n] << np.uint64(8 * j))
+        out = np.full(n, -1, np.int32)
+        left = np.arange(n)
+        for m in range(self.order + 1, 0, -1):
+            able = left[room[left] >= m]
+            out[able] = self.strings.find(_named(codes[m - 1][able], m))
+            left = left[out[left] < 0]
+        out[left] = len(self.bits) - 1
+        return out
 
     def code_lengths(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each document (rows) under each language (columns).
 
         Works through slices of bounded size, so a document may have any length.
         """
-        docs, k, size = len(offsets) - 1, self.order, self.size
-        out = np.zeros((docs, len(self.langs)), np.int64)
-        blank = int(self.symbol[32])
+        out = np.zeros((len(offsets) - 1, len(self.langs)))
         for lo in range(0, len(flat), _SLICE):
             hi = min(lo + _SLICE, len(flat))
-            head = max(0, lo - k)
-            s = self.symbol[flat[head:hi]].astype(np.int32)
-            s = np.concatenate([np.full(k - (lo - head), blank, np.int32), s])
-            n = hi - lo
-            ctx = np.zeros(n, np.int32)
-            for j in range(k + 1):
-                ctx *= size
-                ctx += s[j : j + n]
+            node = self.nodes(flat, offsets, lo, hi)
             first, last = np.searchsorted(offsets, [lo, hi - 1], "right") - 1
-            starts = offsets[first : last + 1]
-            # the first bytes of a document see blanks, not the document before
-            for i in range(k):
-                at = starts + i
-                at = at[(at >= lo) & (at < hi) & (at < offsets[first + 1 : last + 2])] - lo
-                code = np.zeros(len(at), np.int64)
-                for j in range(k + 1):
-                    code = code * size + (s[at + j] if k - j <= i else blank)
-                ctx[at] = code
-            cut = np.maximum(starts, lo) - lo
-            keep = np.flatnonzero(np.minimum(offsets[first + 1 : last + 2], hi) > np.maximum(starts, lo))
-            sums = np.add.reduceat(np.take(self.table, ctx, axis=0), cut[keep], axis=0, dtype=np.int64)
-            out[first + keep] += sums
-        return out / UNIT
-
-
-def fit(samples: list[tuple[str, str]], alphabet: int = ALPHABET, max_order: int = MAX_ORDER, table_bytes: int = TABLE_BYTES) -> PpmModel:
+            starts, ends = np.maximum(offsets[first : last + 1], lo), np.minimum(offsets[first + 1 : last + 2], hi)
+            keep = np.flatnonzero(ends > starts)
+            out[first + keep] += np.add.reduceat(self.bits[node], starts[keep] - lo, axis=0)
+            over = keep[ends[keep] == offsets[first + keep + 1]]  # documents that end here
+            out[first + over] += self.escapes[-1] - self.escapes[node[ends[over] - 1 - lo]]
+        return out
+
+
+def fit(samples: list[tuple[str, str]], order: int = ORDER) -> PpmModel:
     """Fit from (text, language) pairs held in memory."""
     by_lang: dict[str, list[bytes]] = {}
     for text, lang in samples:
         if text and lang is not None:
             by_lang.setdefault(lang, []).append(text.encode())
     langs = sorted(by_lang)
-    fold = np.arange(256, dtype=np.uint8)
-    fold[65:91] += 32
-    fold[48:58] = 48
-    fold[[9, 10, 11, 12, 13]] = 32
-    seen = np.zeros(256, np.int64)
-    for parts in by_lang.values():
-        share = np.zeros(256)
-        for p in parts:
-            share += np.bincount(fold[np.frombuffer(p, np.uint8)], minlength=256)
-        seen += (1e9 * share / max(1, share.sum())).astype(np.int64)
-    seen[32] += 1
-    top = np.argsort(-seen, kind="stable")[: alphabet - 1]
-    top = top[seen[top] > 0]
-    size = len(top) + 1
-    symbol = np.full(256, size - 1, np.uint8)
-    symbol[top] = np.arange(len(top))
-    symbol = symbol[fold]
-    order = max_order
-    while order > 1 and size ** (order + 1) * max(1, len(langs)) * 2 > table_bytes:
-        order -= 1
-    table = np.zeros((size ** (order + 1), len(langs)), np.int16)
-    for i, lang in enumerate(langs):
-        counts = np.zeros(size ** (order + 1), np.int64)
-        for p in by_lang[lang]:
-            s = symbol[np.frombuffer(b" " * order + p, np.uint8)].astype(np.int64)
-            code = np.zeros(len(s) - order, np.int64)
-            for j in range(order + 1):
-                code = code * size + s[j : len(s) - order + j]
-            counts += np.bincount(code, minlength=len(counts))
-        table[:, i] = _code_table(counts.reshape((size,) * (order + 1)))
-    return PpmModel(langs, symbol, size, order, table)
-
-
-def _code_table(counts: np.ndarray) -> np.ndarray:
-    """Code lengths of all symbols in all contexts of the longest order."""
-    size, order = counts.shape[-1], counts.ndim - 1
-    lower = np.full((1, size), 1.0 / size)
-    for k in range(order + 1):
-        c = counts.sum(axis=tuple(range(order - k))).reshape(-1, size).astype(float)
-        lower = np.tile(lower, (len(c) // len(lower), 1))  # the suffix of a context varies fastest
-        new = c == 0
-        rest = np.where(new, lower, 0.0)
-        left = rest.sum(1, keepdims=True)
-        distinct = np.where(left > 0, (~new).sum(1, keepdims=True), 0)
-        total = c.sum(1, keepdims=True)
+    known, counts = [], []  # of the strings of 1 to order + 1 bytes
+    for m in range(1, order + 2):
+        found = [_strings(by_lang[lang], m) for lang in langs]
+        known.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *(f[0] for f in found)])))
+        counts.append(np.zeros((len(known[-1]), len(langs))))
+        for i, (codes, n) in enumerate(found):
+            counts[-1][np.searchsorted(known[-1], codes), i] = n
+    code = np.full((1, len(langs)), 8.0)  # below the empty context, any of 256 bytes
+    down = np.zeros((1, len(langs)))  # escapes from a context to that of no byte
+    bits, escapes = [], []
+    for m, (codes, n) in enumerate(zip(known, counts)):
+        # a string's context is all but its last byte; one context down, it loses its first byte
+        if m:
+            context = np.searchsorted(known[m - 1], codes >> np.uint64(8))
+            shorter = np.searchsorted(known[m - 1], codes & np.uint64((1 << 8 * m) - 1))
+        else:
+            context = shorter = np.zeros(len(codes), np.int64)
+        total, distinct = np.zeros(down.shape), np.zeros(down.shape)
+        np.add.at(total, context, n)
+        np.add.at(distinct, context, n > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(new, distinct / (total + distinct) * rest / left, c / (total + distinct))
-        lower = np.where(total > 0, p, lower)
-    return np.minimum(np.round(-np.log2(np.maximum(lower, 1e-12)) * UNIT), 32767).astype(np.int16).reshape(-1)
-
-
-def bounded_sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled texts a language, by the smallest hash of the id.
-
-    Counts by language give a bound on the hash first, so that what is ranked has a
-    bounded size whatever the number of documents.
+            leave = np.where(total > 0, -np.log2(distinct / (total + distinct)), 0.0)
+            stay = -np.log2(n / (total + distinct)[context])
+        below = code[shorter] if m else code[context]
+        down = down + leave  # by context, now as seen from it
+        escapes.append(down)
+        if m:
+            bits[-1] = bits[-1] + down
+        code = np.where(n > 0, stay, leave[context] + below)
+        bits.append(code - down[context])
+        down = down[shorter] if m else np.repeat(down, len(codes), 0)
+    escapes.append(down)  # of the longest strings: those of their context
+    bits[-1] = bits[-1] + down
+    names = np.concatenate([_named(codes, m + 1) for m, codes in enumerate(known)])
+    empty = escapes.pop(0)
+    return PpmModel(langs, order, Strings(names), np.concatenate([*bits, 8.0 + empty]), np.concatenate([*escapes, empty]))
+
+
+def _strings(texts: list[bytes], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(strings of ``m`` bytes, their counts), none across two texts."""
+    parts = []
+    for t in texts:
+        s = _FOLD[np.frombuffer(t, np.uint8)].astype(np.uint64)
+        code = np.zeros(max(0, len(s) - m + 1), np.uint64)
+        for j in range(m):
+            code = code << np.uint64(8) | s[j : j + len(code)]
+        parts.append(code)
+    return np.unique(np.concatenate(parts), return_counts=True)
+
+
+def bounded_sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
+    """The labelled texts that a model is fitted on, at most ``SAMPLE_ROWS`` and ``SAMPLE_BYTES`` a language.
+
+    Texts are told apart by hash, so rows of one text or one id count once. Counts of
+    distinct hashes bound the hash first, so that what is ranked has a bounded size
+    whatever the number of documents.
     """
-    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # one row for each language of the model
+    h = F.xxhash64(F.col(text_col), F.lit(8))
+    known = labelled.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), h.alias("_h"))
+    counts = {r[0]: r[1] for r in known.groupBy("_lang").agg(F.approx_count_distinct("_h")).collect()}  # one row for each language of the model
     if not counts:
         return []
-    # of a language's hashes, a share that holds some more than ``rows`` of them
-    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2.0 * (rows + 50) / n))))
-    h = F.xxhash64(F.col(id_col), F.lit(8))
-    keys = known.where(F.pmod(h, F.lit(10**9)) < F.try_element_at(share, F.col(lang_col)) * 1e9).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), h.alias("_h")).distinct()
-    w = Window.partitionBy("_lang").orderBy("_h", "_id")
-    picked = keys.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= rows).select("_id").collect()
-    ids = [r[0] for r in picked if r[0] is not None]
-    got = known.where(F.col(id_col).isin(ids)).select(text_col, lang_col).collect() if ids else []
+    # of a language's hashes, a share that holds some more than enough of them
+    share = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 3.0 * (SAMPLE_ROWS + 50) / max(1, n)))))
+    some = known.where(F.pmod("_h", F.lit(10**9)) < F.try_element_at(share, F.col("_lang")) * 1e9)
+    keys = some.groupBy("_lang", "_h").agg(F.max(F.octet_length("_text")).alias("_n"))
+    w = Window.partitionBy("_lang").orderBy(F.col("_n") > LONG_BYTES, "_h")
+    ranked = keys.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= SAMPLE_ROWS).withColumn("_sum", F.sum("_n").over(w))
+    picked = ranked.where((F.col("_sum") <= SAMPLE_BYTES) | (F.col("_rn") == 1)).select("_lang", "_h")
+    # at most SAMPLE_ROWS rows a language are broadcast and as many texts come back
+    got = some.join(F.broadcast(picked), ["_lang", "_h"]).groupBy("_lang", "_h").agg(F.min("_text").alias("_text")).select("_text", "_lang").collect()
     return sorted((r[0], r[1]) for r in got)
 
 
@@ -169,7 +220,7 @@ def identify(docs: DataFrame, model: PpmModel, text_col: str = "text", keep: lis
     types = dict(docs.dtypes)
     read = keep if text_col in keep else [*keep, text_col]
     at = read.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most TABLE_BYTES and a little
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

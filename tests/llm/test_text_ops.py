@@ -1,9 +1,12 @@
 """Decontamination, packing and language identification against plain versions."""
 
 import hashlib
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import regex
 from tokenizers import Tokenizer
@@ -135,26 +138,64 @@ def test_language_id_held_out(spark, sf):
     assert sum(r.lang_pred == truth[r.doc_id] for r in out) >= 0.95 * len(out)
 
 
-def test_language_id_code_lengths_are_exact():
-    import math
-
-    import numpy as np
-
-    model = li.fit([("abab abac " * 9, "x"), ("ccdd ddcc a" * 9, "y")], alphabet=6)
-    texts = [b"abac dd", b"", b"a", b"zz \xc3\xa9 ab" * 400_000]
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    got = model.code_lengths(flat, np.cumsum([0, *map(len, texts)]))
-    for t, row in zip(texts[:3], got):
-        s = model.symbol[np.frombuffer(b" " * model.order + t, np.uint8)].astype(int)
-        want = np.zeros(2)
-        for i in range(len(t)):
-            code = 0
-            for x in s[i : i + model.order + 1]:
-                code = code * model.size + int(x)
-            want += model.table[code] / li.UNIT
-        assert np.allclose(row, want)
-    table = np.exp2(-model.table.astype(float) / li.UNIT).reshape(-1, model.size, 2).sum(1)
-    assert np.allclose(table, 1, atol=0.02) and math.isfinite(got[3, 0])
+class PlainPpm:
+    """Escape method C over byte contexts, byte by byte, from counts in dictionaries."""
+
+    def __init__(self, texts, order):
+        self.order, self.seen = order, {}
+        for t in texts:
+            for i, b in enumerate(t):
+                for k in range(min(order, i) + 1):
+                    own = self.seen.setdefault(t[i - k : i], {})
+                    own[b] = own.get(b, 0) + 1
+
+    def probability(self, context, b):
+        p = 1.0
+        for k in range(min(self.order, len(context)), -1, -1):
+            own = self.seen.get(context[len(context) - k :])
+            if own is None:
+                continue
+            total = sum(own.values()) + len(own)
+            if b in own:
+                return p * own[b] / total
+            p *= len(own) / total
+        return p / 256
+
+    def bits(self, text):
+        return sum(-math.log2(self.probability(text[max(0, i - self.order) : i], b)) for i, b in enumerate(text))
+
+
+@pytest.mark.parametrize("order", [1, 3, li.ORDER])
+def test_language_id_code_lengths_are_exact(order):
+    r = random.Random(order)
+    texts = {lang: ["".join(r.choice(abc) for _ in range(r.randint(1, 120))) for _ in range(6)] for lang, abc in {"x": "ab c", "y": "cd eé", "z": "日本 語abAB"}.items()}
+    model = li.fit([(t, lang) for lang, own in texts.items() for t in own], order)
+    asked = [*texts["x"], *texts["z"][:2], "", "a", "zz é ab", "日本語\x00", "AbBa"] + ["".join(r.choice("abcdeé 日語q") for _ in range(60)) for _ in range(10)]
+    flat = np.frombuffer(b"".join(t.encode() for t in asked), np.uint8)
+    got = model.code_lengths(flat, np.cumsum([0, *(len(t.encode()) for t in asked)]))
+    fold = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+    for i, lang in enumerate(model.langs):
+        plain = PlainPpm([t.encode().translate(fold) for t in texts[lang]], order)
+        assert got[:, i] == pytest.approx([plain.bits(t.encode().translate(fold)) for t in asked])
+        # without exclusion the probabilities of all bytes come to no more than 1
+        assert sum(plain.probability(b"ab", b) for b in range(256)) <= 1 + 1e-9
+
+
+def test_language_id_long_text_and_many_languages():
+    texts = [(f"{chr(97 + i)}{chr(98 + i)} " * 40, f"l{i:02}") for i in range(20)]
+    model = li.fit(texts)
+    assert model.order == li.ORDER and len(model.langs) == 20
+    long = ("ab " * 300_000).encode()
+    one = model.code_lengths(np.frombuffer(long, np.uint8), np.array([0, len(long)]))
+    cut = model.code_lengths(np.frombuffer(long * 2, np.uint8), np.array([0, len(long), 2 * len(long)]))
+    assert one[0] == pytest.approx(cut[0]) and one[0] == pytest.approx(cut[1]) and one[0].argmin() == 0
+
+
+def test_language_id_sample_is_bounded(spark):
+    rows = [(1, f"text number {i} of one id", "en") for i in range(900)] + [(None, "texte sans nom", "fr")] * 700 + [(i, "x" * (li.LONG_BYTES + i), "de") for i in range(80)]
+    sample = li.bounded_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: [t for t, own in sample if own == lang] for lang in ("en", "fr", "de")}
+    assert len(counts["en"]) == li.SAMPLE_ROWS and counts["fr"] == ["texte sans nom"] and 1 < sum(map(len, counts["de"])) <= li.SAMPLE_BYTES
 
 
 def test_language_id_odd_rows(spark):
