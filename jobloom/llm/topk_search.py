@@ -1,36 +1,46 @@
 """Exact top-k inner-product search by no-random-access aggregation (NRA).
 
-Candidates are dealt into blocks. In a block each dimension is a list sorted by
-its value, read from the end that a query's sign prefers, all lists to the same
-depth. A candidate's score has an upper bound (unread values count as the last
-value read from their list); the k-th best score resolved so far is the lower bound
-that a place among the best needs. Candidates whose upper bound is below it cannot
-qualify and are dropped; the scores of those left are resolved by reading on to the
-end. All values are integers, so bounds and scores are exact.
-
-Queries and candidates meet block by block: each (query block, candidate block)
-is one group of bounded size, nothing is broadcast, and a block returns at most
-``k`` rows a query.
+Queries come in blocks of bounded size, each of which is sent to all tasks; candidates
+stay where they are and are read in blocks. In a block every dimension is a list
+sorted by its value. For a query the lists are read step by step, in equal depth, from
+the end that the query's sign prefers. What has been read of a candidate gives bounds
+for its score: unread values count as the last one read from their list (upper) or as
+the list's other end (lower). The k-th best among the lower bounds and the scores
+that earlier blocks have left is what a place needs; a candidate whose upper bound is
+below it cannot qualify and is dropped, also from later reads. Reading stops as soon
+as only contenders, a few times k, are left; their final scores are resolved from
+their vectors. All values are integers, so bounds and scores are exact.
+
+A task returns at most ``k`` rows a query, and a window ranks these. Where values are
+so large that floats don't hold the scores, candidates are scored in full with whole
+numbers of any size.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite
 component take no part, nor do rows without an id; only vectors of equal length
 are compared; repeated candidate rows each count; a repeated query id is asked
 once, with its smallest vector; ties go to the smaller id; scores beyond a long
-are its largest or smallest value; an empty table gives no rows.
+are its largest or smallest value; ids are cast to long; other columns are not read;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_ROWS = 1024
+from jobloom.llm.common import map_arrow, stage
+
+#: Queries that are sent to the tasks at once; candidates whose lists are read together.
+QUERY_ROWS = 4096
 BLOCK_ROWS = 8192
-#: Candidates that are sorted into lists together, and the depths considered, in equal steps.
-LIST_ROWS = 2048
-STEPS = 32
+#: Depths of the steps, as shares of the lists.
+DEPTHS = (1 / 32, 1 / 4, 1 / 2, 11 / 16, 13 / 16, 7 / 8, 15 / 16, 1)
+#: Reading stops when so many times k candidates are left.
+CONTENDERS = 4
 
 
 def scaled(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -44,93 +54,130 @@ def scaled(vectors: DataFrame, scale: int = 1024, id_col: str = "vec_id", vector
 def search(vectors: DataFrame, is_query: Column, k: int = 10, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) over a table of ``scaled`` vectors."""
     asked = vectors.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    n, m = vectors.count(), asked.count()
-    blocks, parts = max(1, -(-n // block_rows)), max(1, -(-m // query_rows))
-    groups = blocks * parts
-    grid = ["qb", "cb", "dim"]
-    left = asked.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("qb"), F.explode(_numbers(blocks)).alias("cb"))
-    right = vectors.select("id", "v", F.size("v").alias("dim"), F.explode(_numbers(parts)).alias("qb"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("cb"))
-    left, right = (x.select("id", "v", *grid).repartition(groups, *grid) for x in (left, right))
-
-    def block(q: pa.Table, c: pa.Table) -> pa.Table:
-        return _table(*_nra_block(*_matrix(q), *_matrix(c), k))
-
-    found = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(block, "query_id long, vec_id long, score long")
+    parts = max(1, -(-asked.count() // query_rows))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-
-
-def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = t.column("id").to_numpy()
-    col = t.column("v").combine_chunks()
-    return ids, col.flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.int64)
-
-
-def _table(q: np.ndarray, c: np.ndarray, s: np.ndarray) -> pa.Table:
-    return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(c, pa.int64()), "score": pa.array(s, pa.int64())})
-
-
-def _nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, lists_rows: int = LIST_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best ``k`` candidates of a block for each query, by sequential reads with bounds."""
-    empty = np.zeros(0, np.int64)
-    best: list[tuple[np.ndarray, np.ndarray]] = [(empty, empty)] * len(qid)
-    reach = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * c.shape[1]
-    kind = np.float64 if reach < 2**53 else object  # floats hold these integers exactly, else Python's own
-    q = q.astype(kind)
-    for lo in range(0, len(cid) if len(qid) else 0, lists_rows):
-        ids, rows = cid[lo : lo + lists_rows], c[lo : lo + lists_rows].astype(kind)
-        lists = _Lists(rows, q) if kind is np.float64 else None
-        for i, (one, own) in enumerate(zip(qid, q)):
-            had, score = best[i]
-            left = np.flatnonzero(ids != one)
-            if lists is not None and len(had) == k:
-                left = left[lists.may_qualify(i, own, float(score[-1]))[left]]
-                if not len(left):
-                    continue
-            got = rows[left] @ own  # what is left is read to the end
-            if kind is object:
-                got = np.array([max(-(2**63), min(2**63 - 1, x)) for x in got], object)
+    out = None
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()  # about query_rows rows
+        found = _against(vectors, own, k, block_rows)
+        found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = stage(found, "topk") if parts > 1 else found  # one block of queries after another
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _against(vectors: DataFrame, asked: list, k: int, block_rows: int) -> DataFrame:
+    """The best ``k`` candidates of every task for each of some queries."""
+    groups: dict[int, list] = {}
+    for r in asked:
+        groups.setdefault(len(r.v), []).append(r)
+    queries = {d: (np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows], np.int64)) for d, rows in groups.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast(queries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {d: Best(ids, v, k) for d, (ids, v) in shared.value.items()}
+        held: dict[int, list] = {d: [] for d in best}
+        for b in batches:
+            ids, v = b.column(0).to_numpy(), b.column(1)
+            first, flat = v.offsets.to_numpy(), v.values.to_numpy(zero_copy_only=False)
+            size = np.diff(first)
+            for d in set(size.tolist()) & best.keys():
+                own = np.flatnonzero(size == d)
+                held[d].append((ids[own], flat[first[own][:, None] + np.arange(d)]))
+                if sum(len(x[0]) for x in held[d]) >= block_rows:
+                    best[d].read(held.pop(d), block_rows)
+                    held[d] = []
+        for d, rest in held.items():
+            best[d].read(rest, block_rows)
+            yield best[d].table()
+
+    return map_arrow(vectors.select("id", "v"), run, "query_id long, vec_id long, score long")
+
+
+class Best:
+    """The best candidates so far for each of some queries of one length."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, k: int) -> None:
+        self.ids, self.v, self.k = ids, v, k
+        none = np.zeros(0, np.int64)
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(none, none)] * len(ids)  # (vec_ids, scores), best first
+        self.reads = self.resolved = 0  # list entries read, and candidates whose scores were resolved
+
+    def read(self, parts: list[tuple[np.ndarray, np.ndarray]], block_rows: int) -> None:
+        if not parts or not len(self.ids):
+            return
+        ids, v = (np.concatenate(x) for x in zip(*parts))
+        for lo in range(0, len(ids), block_rows):
+            self._block(ids[lo : lo + block_rows], v[lo : lo + block_rows])
+
+    def _block(self, ids: np.ndarray, v: np.ndarray) -> None:
+        reach = float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(self.v.astype(float)).max(initial=0)) * v.shape[1]
+        lists = Lists(v) if reach < 2**52 else None  # floats hold these integers and their sums exactly
+        for i, one in enumerate(self.ids):
+            had, score = self.found[i]
+            others = ids != one
+            if lists is None:
+                left = np.flatnonzero(others)
+                got = v[left].astype(object) @ self.v[i].astype(object)
+                got = np.array([max(-(2**63), min(2**63 - 1, x)) for x in got], np.int64)
+            else:
+                left, reads = lists.contenders(self.v[i], others, score, self.k)
+                got = (lists.rows[left] @ self.v[i].astype(float)).astype(np.int64)
+                self.reads += reads
+            self.resolved += len(left)
             ids_, got = np.concatenate([had, ids[left]]), np.concatenate([score, got])
-            if len(got) > k:
-                keep = got >= np.partition(got, len(got) - k)[len(got) - k]
-                ids_, got = ids_[keep], got[keep]
-            order = np.lexsort((ids_, -got))[:k]
-            best[i] = ids_[order], got[order]
-    sizes = [len(b[0]) for b in best]
-    if not sum(sizes):
-        return empty, empty, empty
-    return np.repeat(qid, sizes), np.concatenate([b[0] for b in best]), np.concatenate([b[1].astype(np.int64) for b in best])
-
-
-class _Lists:
-    """Each dimension of some candidates as a sorted list, and how far to read for each query.
-
-    After ``depth`` reads of every list, a candidate's upper bound takes its own value
-    where it was read and the last value read elsewhere. The average of that bound over
-    all candidates follows from the lists' running sums, so the least depth at which
-    bounds begin to exclude is known before any candidate is looked at.
-    """
-
-    def __init__(self, rows: np.ndarray, q: np.ndarray) -> None:
-        n = len(rows)
-        self.rows = rows
-        lists = np.sort(rows, axis=0)
-        depth = np.unique(np.maximum(1, (n * np.arange(1, STEPS + 1)) // STEPS))
-        sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(lists, axis=0)])
-        self.low, self.high = lists[depth - 1], lists[n - depth]  # last values read, rising and falling
-        rest = (n - depth)[:, None]
-        low, high = sums[depth] + rest * self.low, sums[n] - sums[n - depth] + rest * self.high
-        self.average = (high @ np.maximum(q, 0).T + low @ np.minimum(q, 0).T) / n  # depth x query
-
-    def may_qualify(self, i: int, own: np.ndarray, kth: float) -> np.ndarray:
-        """Which candidates' upper bounds reach the k-th lower bound."""
-        below = np.flatnonzero(self.average[:, i] < kth)
-        if not len(below):
-            return np.ones(len(self.rows), bool)
-        step = below[0]
-        edge = np.where(own < 0, self.low[step], self.high[step]) * own
-        return np.maximum(self.rows * own, edge).sum(axis=1) >= kth
+            order = np.lexsort((ids_, -got.astype(object) if lists is None else -got))[: self.k]
+            self.found[i] = ids_[order], got[order]
+
+    def table(self) -> pa.RecordBatch:
+        sizes = [len(f[0]) for f in self.found]
+        join = lambda j: np.concatenate([np.zeros(0, np.int64), *(f[j] for f in self.found)])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.repeat(self.ids, sizes), join(0), join(1))], ["query_id", "vec_id", "score"])
+
+
+class Lists:
+    """Every dimension of a block of candidates as a sorted list."""
+
+    def __init__(self, v: np.ndarray) -> None:
+        self.rows = v.astype(float)
+        self.order = np.argsort(self.rows, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(self.rows, self.order, 0)
+
+    def contenders(self, query: np.ndarray, allowed: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+        """The candidates that may be among the ``k`` best, beside ``scores`` found before, and the entries read."""
+        n = len(self.rows)
+        own = np.flatnonzero(query)  # other dimensions add nothing
+        q = query[own].astype(float)
+        falling = q > 0
+        few = CONTENDERS * k
+        left, alive = np.flatnonzero(allowed), allowed.copy()
+        if len(left) <= few or not len(own):
+            return left, 0
+        order, values = self.order[:, own], self.values[:, own]
+        least = np.where(falling, values[0], values[-1]) * q  # the other end of each list
+        total, seen = np.zeros(n), np.zeros((n, len(own)))
+        dims = np.arange(len(own))
+        depth = 0
+        for share in DEPTHS:
+            to = max(depth + 1, int(n * share))
+            at = np.where(falling, order[n - to : n - depth], order[depth:to])
+            add = np.where(falling, values[n - to : n - depth], values[depth:to]) * q
+            if len(left) < n // 2:
+                still = np.nonzero(alive[at])
+                at, add, to_dims = at[still], add[still], still[1]
+            else:
+                to_dims = dims
+            total += np.bincount(at.ravel(), add.ravel(), minlength=n)
+            seen[at, to_dims] = 1.0
+            depth = to
+            last = np.where(falling, values[n - depth], values[depth - 1]) * q
+            unread = np.stack([last, least], 1)
+            upper, lower = total[left] + (unread.sum(0) - (seen if len(left) == n else seen[left]) @ unread).T
+            lower = np.concatenate([scores, lower])
+            needed = np.partition(lower, len(lower) - k)[len(lower) - k]
+            kept = upper >= needed
+            alive[left[~kept]] = False
+            left = left[kept]
+            if len(left) <= few or depth == n:
+                break
+        return left, depth * len(own)

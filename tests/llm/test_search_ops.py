@@ -52,16 +52,32 @@ def test_topk_odd_rows(spark, block_rows):
     assert topk_search.search(topk_search.scaled(df.limit(0)), F.col("id") % 10 == 0, 4).count() == 0
 
 
-def test_topk_drops_outsiders_early():
-    """Bounds drop candidates, and what they leave is what full scores give."""
+def test_topk_stops_before_the_lists_end():
+    """Bounds drop candidates, reading stops early, and what is left is what full scores give."""
     rng = np.random.default_rng(0)
     c = np.concatenate([rng.integers(-3, 3, (500, 4)), rng.integers(900, 999, (12, 4))])
-    qs = rng.integers(1, 9, (5, 4))
-    got = topk_search._nra_block(np.arange(1000, 1005), qs, np.arange(512), c, 5)
-    for i, own in enumerate(qs):
-        s = c @ own
-        want = np.lexsort((np.arange(512), -s))[:5]
-        assert got[1][5 * i : 5 * i + 5].tolist() == want.tolist() and got[2][5 * i : 5 * i + 5].tolist() == s[want].tolist()
+    qs = rng.integers(-9, 9, (6, 4))
+    qs[0] = 0
+    best = topk_search.Best(np.arange(1000, 1006), qs, 5)
+    best.read([(np.arange(512), c)], 512)
+    assert best.reads < 0.7 * 6 * c.size and best.resolved < 6 * 512 / 4
+    for block in (64, 200):  # scores that earlier blocks have left are bounds for later ones
+        parts = topk_search.Best(np.arange(1000, 1006), qs, 5)
+        parts.read([(np.arange(512), c)], block)
+        for i, own in enumerate(qs):
+            s = c @ own
+            want = np.lexsort((np.arange(512), -s))[:5]
+            for b in (best, parts):
+                assert b.found[i][0].tolist() == want.tolist() and b.found[i][1].tolist() == s[want].tolist()
+
+
+def test_topk_stops_early_on_the_given_vectors(spark):
+    rows = topk_search.scaled(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("id").collect()
+    ids, v = np.array([r.id for r in rows]), np.array([r.v for r in rows])
+    best = topk_search.Best(ids[ids % 100 == 0], v[ids % 100 == 0], 10)
+    best.read([(ids, v)], topk_search.BLOCK_ROWS)
+    asked = len(best.ids)
+    assert best.reads < asked * v.size and best.resolved <= asked * topk_search.CONTENDERS * 10
 
 
 def b32(x):
