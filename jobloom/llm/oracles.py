@@ -59,36 +59,45 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(r) AS r FROM rea
 """
 
 
-def op2(rules: list[tuple[str, str, str]]) -> str:
-    """The template tree, level by level."""
+def op2(rules: list[tuple[str, str, str]], levels: int = 6) -> str:
+    """The template trees of paths of up to ``levels`` segments, level by level."""
     ordered = sorted(rules, key=lambda r: (-len(r[0]) - len(r[1]), r))
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     case = lambda f: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{f(h, p, v)}'" for h, p, v in ordered) + " END"
-    n = uf.LEVELS
-    s = [f"s{i}" for i in range(1, n + 1)]
+
+    def chi(size: str, *kinds: str) -> str:
+        c, p = f"c{size}::DOUBLE", f"p{size}::DOUBLE"
+        term = lambda k: (f"(({k.replace('#', 'c')}) * {p} - ({k.replace('#', 'p')}) * {c})", f"({c} * ({p} - {c}) * ({k.replace('#', 'p')}))")
+        return " + ".join(f"CASE WHEN {s} <> 0 THEN {x} * {x} / {s} ELSE 0 END" for x, s in map(term, kinds))
+
     sql = f"""
 WITH u AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
 p AS (SELECT page_id, {_FOLD.format("raw")} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
-r AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS verdict, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
-g AS (SELECT *, {", ".join(f"CASE WHEN regexp_matches(parts[{i}], '[0-9]') THEN '*' ELSE parts[{i}] END AS s{i}" for i in range(1, n + 1))}, len(parts) > {n} AS tail FROM r),
-x0 AS (SELECT host, {", ".join(s)}, tail, count(*) AS n, count(rule) AS l, count(*) FILTER (verdict = 'block') AS b FROM g GROUP BY ALL)"""
-    for i in range(1, n + 1):
-        above = ["host", *(f"t{j}" for j in range(1, i))]
-        on = lambda cols: " AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in cols)
-        spread = "(cl::DOUBLE * (pl - cl) * pb * (pl - pb))"
-        chi = f"CASE WHEN {spread} > 0 THEN pl::DOUBLE * (cb * pl - pb * cl) * (cb * pl - pb * cl) / {spread} ELSE 0 END"
+g AS (SELECT *, {case(lambda h, p, v: h + p)} AS rule, {case(lambda h, p, v: v)} AS verdict,
+  array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+    lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' WHEN x = '*' THEN '%2A' ELSE x END), '/') AS shape FROM p),
+x0 AS (SELECT host, shape, count(*) AS n, count(verdict) AS l, count(*) FILTER (verdict = 'block') AS b, '' AS pre,
+  CASE WHEN shape = '' THEN [] ELSE string_split(shape, '/') END AS below FROM g GROUP BY ALL)"""
+    for i in range(1, levels + 1):
+        sums = lambda to, of="": ", ".join(f"sum({of}{c})::BIGINT AS {to}{c}" for c in uf._SUMS)
         sql += f""",
-c{i} AS (SELECT {", ".join(above)}, s{i}, sum(n)::BIGINT AS cn, sum(l)::BIGINT AS cl, sum(b)::BIGINT AS cb FROM x{i - 1} WHERE s{i} IS NOT NULL GROUP BY ALL),
-q{i} AS (SELECT {", ".join(above)}, sum(cl)::BIGINT AS pl, sum(cb)::BIGINT AS pb, count(*) AS branches FROM c{i} GROUP BY ALL),
-k{i} AS (SELECT {", ".join(f"x.{c}" for c in above)}, s{i}, CASE WHEN (branches > {uf.MANY} AND cn < {uf.FEW}) OR (cl > 0 AND pl - cl > 0 AND {chi} <= {uf.SIMILAR}) THEN '*' ELSE s{i} END AS t{i} FROM c{i} x JOIN q{i} y ON {on(above)}),
-x{i} AS (SELECT x.*, y.t{i} FROM x{i - 1} x LEFT JOIN k{i} y ON {on([*above, f"s{i}"])})"""
-    parts = ", ".join(f"t{i}" for i in range(1, n + 1))
+r{i} AS (SELECT *, below[1] AS seg, CASE WHEN len(below) = 1 THEN n ELSE 0 END AS e, CASE WHEN below[2] = '*' THEN n ELSE 0 END AS v FROM x{i - 1} WHERE len(below) > 0),
+c{i} AS (SELECT host, pre, seg, {sums("c")}, count(*) AS shapes FROM r{i} GROUP BY ALL),
+q{i} AS (SELECT host, pre, {sums("p", "c")}, count(*) AS branches FROM c{i} GROUP BY ALL),
+k{i} AS (SELECT host, pre, seg, shapes, CASE WHEN seg = '*' OR (branches > {uf.MANY} AND cn < {uf.FEW}) OR (branches > 1 AND
+    CASE WHEN cl >= {uf.LEAST} AND pl - cl >= {uf.LEAST} THEN {chi("l", "#b", "#l - #b")} <= {uf.SIMILAR} ELSE {chi("n", "#e", "#v", "#n - #e - #v")} <= {uf.ALIKE} END)
+  THEN '*' ELSE seg END AS step FROM c{i} JOIN q{i} USING (host, pre)),
+o{i} AS (SELECT *, shapes = 1 AND step <> '*' AND len(below) > 1 AS own FROM r{i} JOIN k{i} USING (host, pre, seg)),
+x{i} AS (SELECT host, shape, n, l, b, concat_ws('/', pre, step, CASE WHEN own THEN array_to_string(below[2:], '/') END) AS pre, CASE WHEN own THEN [] ELSE below[2:] END AS below FROM o{i}
+  UNION ALL SELECT host, shape, n, l, b, pre, below FROM x{i - 1} WHERE len(below) = 0)"""
     return sql + f""",
-z AS (SELECT *, concat_ws('/', '', {parts}, CASE WHEN tail THEN '**' END) AS template FROM x{n}),
-share AS (SELECT coalesce(sum(b) / sum(l), 0) AS share FROM z),
-tot AS (SELECT host, template, CASE WHEN sum(l) >= {uf.LEAST} AND (sum(b) + {uf.PRIOR} * any_value(share)) / (sum(l) + {uf.PRIOR}) >= {uf.PURITY} THEN 'block' ELSE 'allow' END AS learned FROM z, share GROUP BY ALL),
-y AS (SELECT z.host, {", ".join(s)}, tail, template, learned FROM z JOIN tot USING (host, template))
-SELECT page_id, x.host, path, rule, coalesce(verdict, learned) AS verdict, CASE WHEN rule IS NULL THEN template END AS template
-FROM g x LEFT JOIN y ON {" AND ".join(f"x.{c} IS NOT DISTINCT FROM y.{c}" for c in ["host", *s, "tail"])}
+z AS (SELECT host, shape, l, b, CASE WHEN pre = '' THEN '/' ELSE pre END AS template FROM x{levels}),
+share AS (SELECT coalesce(sum(b) / nullif(sum(l), 0), 0) AS share FROM z),
+tot AS (SELECT host, template, sum(l) AS tl, sum(b) AS tb FROM z GROUP BY ALL),
+hosts AS (SELECT host, sum(tl) AS hl, sum(tb) AS hb FROM tot GROUP BY ALL),
+y AS (SELECT host, template, CASE WHEN tl >= {uf.LEAST} AND (tb + {uf.PRIOR}::DOUBLE * ((hb + {uf.PRIOR}::DOUBLE * share) / (hl + {uf.PRIOR}::DOUBLE))) / (tl + {uf.PRIOR}::DOUBLE) >= {uf.PURITY}
+  THEN 'block' ELSE 'allow' END AS learned FROM tot JOIN hosts USING (host), share)
+SELECT page_id, g.host, path, rule, coalesce(verdict, learned) AS verdict, template, learned
+FROM g JOIN z USING (host, shape) JOIN y USING (host, template)
 """

@@ -5,19 +5,25 @@ and all subdomains where the path starts with the rule's path, and the longest
 rule wins. Urls that no rule fits are judged by what the rules teach about the
 templates of their host:
 
-* each host has a tree of path segments; a segment that varies (it holds a digit,
-  or it is one of many rare ones at its place) is generalised to a wildcard;
-* branches at the same place whose labelled share of blocked urls does not differ
-  from that of the others (two-proportion chi-squared) are merged into the wildcard;
-* a template whose smoothed share of blocked urls among its labelled ones reaches
-  ``PURITY`` is rejected: its unlabelled urls are blocked, all others allowed.
+* each host has a tree of path segments, as deep as its paths; a segment that varies
+  (it holds a digit, or it is one of many rare ones at its place) is generalised to a
+  wildcard;
+* branches at the same place that are like the others are merged into the wildcard. If
+  rules judge enough urls of a branch and of the others, their shares of blocked urls
+  are compared (chi-squared); else what all urls show: how many of them end there, go on
+  with a variable segment, or go on with another one (chi-squared, 2 degrees of freedom);
+* a template is rejected if its share of blocked urls among its labelled ones, smoothed
+  towards that of its host, reaches ``PURITY``; its urls without a rule are blocked, all
+  others allowed.
 
 All statistics are aggregated with map-side combining over the distinct shapes of
-paths, so a host with any number of urls costs its distinct shapes.
+paths, so a host with any number of urls costs its distinct shapes. The tree grows level
+by level; a shape leaves it where no other shape shares its branch.
 
 Defined results: a null url and one without ``://`` have an empty host and path, fit
 no rule and are allowed; repeated rows are judged alike and count as often as they
-occur; an empty table gives no rows.
+occur; whole paths are read; a segment ``*`` is written ``%2A`` in templates; columns of
+the input named like those made here are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,19 +33,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import stage
+from jobloom.llm.common import release, stage
 
-#: Levels of the tree that templates tell apart; deeper segments are one tail.
-LEVELS = 4
 #: A place with more than MANY branches is variable; its branches with fewer than FEW urls are generalised.
 MANY = 20
 FEW = 5
-#: Chi-squared (1 degree of freedom) up to which branches are similar.
+#: Chi-squared up to which branches are similar: of labels (1 degree of freedom), and of what urls show (2).
 SIMILAR = 3.84
-#: Weight of the global share in a template's purity, the purity to reject, and the least labelled urls.
+ALIKE = 5.99
+#: The least labelled urls of a branch or template that say something.
+LEAST = 3
+#: Weight of the host's share in a template's purity and of all hosts' in the host's, and the purity to reject.
 PRIOR = 2.0
 PURITY = 0.8
-LEAST = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 Rule = tuple[str, str, str]
@@ -64,73 +70,88 @@ def apply_rules(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Colu
     return name, verdict
 
 
-def _shapes(pages: DataFrame) -> DataFrame:
-    """Segment columns s1..sLEVELS (null beyond the path's end) and ``tail``."""
-    parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    out = pages.withColumn("_parts", parts)
-    for i in range(1, LEVELS + 1):
-        s = F.get("_parts", F.lit(i - 1))
-        out = out.withColumn(f"s{i}", F.when(s.rlike("[0-9]"), "*").otherwise(s))
-    return out.withColumn("tail", F.size("_parts") > LEVELS).drop("_parts")
+_SUMS = ("n", "l", "b", "e", "v")
+
 
+def _segments(path: Column) -> Column:
+    """The segments of a path, those with a digit as wildcards."""
+    parts = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.transform(parts, lambda s: F.when(s.rlike("[0-9]"), "*").when(s == "*", "%2A").otherwise(s))
 
-def judge(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``pages`` with ``host``, ``path``, ``rule``, ``verdict`` and ``template`` (null where a rule judged)."""
-    made = ["host", "path", "rule", "verdict", "template"]
+
+def judge(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", keep: list[str] | None = None, teaches: Column | None = None) -> DataFrame:
+    """``keep`` columns of ``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``learned``.
+
+    ``learned`` is the verdict of the template, also where a rule judges. Rows for which
+    ``teaches`` does not hold are judged, but their rules teach nothing.
+    """
+    made = ["host", "path", "rule", "verdict", "template", "learned"]
     keep = [c for c in (pages.columns if keep is None else keep) if c not in made]
     host, path = split_url(F.col(url_col))
-    rows = pages.select(*(F.col(c).alias(f"k_{c}") for c in keep), host.alias("host"), path.alias("path"))
+    rows = pages.select(*(F.col(c).alias(f"k_{c}") for c in keep), host.alias("host"), path.alias("path"), (F.lit(True) if teaches is None else teaches).alias("_teaches"))
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "verdict": verdict})
+    rows = rows.withColumns({"rule": rule, "verdict": verdict, "shape": F.array_join(_segments(F.col("path")), "/")})
+    learned = _learn(rows.select("host", "shape", F.when(F.col("_teaches"), F.col("verdict")).alias("label")))
+    out = rows.join(learned, ["host", "shape"], "left")
     kept = [F.col(f"k_{c}").alias(c) for c in keep]
-
-    names = [f"s{i}" for i in range(1, LEVELS + 1)]
-    shapes = _shapes(rows.select("host", "path", "rule", "verdict"))
-    labelled = F.when(F.col("rule").isNotNull(), 1).otherwise(0)
-    blocked = F.when(F.col("verdict") == "block", 1).otherwise(0)
-    shapes = stage(shapes.groupBy("host", *names, "tail").agg(F.count("*").alias("n"), F.sum(labelled).alias("l"), F.sum(blocked).alias("b")), "shapes")
-    for i in range(1, LEVELS + 1):
-        shapes = _generalise(shapes, i)
-    template = F.concat_ws("/", F.lit(""), *(f"t{i}" for i in range(1, LEVELS + 1)), F.when(F.col("tail"), "**"))
-    shapes = shapes.withColumn("template", template)
-    totals = shapes.groupBy("host", "template").agg(F.sum("l").alias("tl"), F.sum("b").alias("tb"))
-    share = shapes.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("l")), F.lit(0.0)).alias("share")).first().share
-    purity = (F.col("tb") + PRIOR * share) / (F.col("tl") + PRIOR)
-    totals = totals.select("host", "template", F.when((F.col("tl") >= LEAST) & (purity >= PURITY), "block").otherwise("allow").alias("learned"))
-    learned = stage(shapes.join(totals, ["host", "template"]).select("host", *names, "tail", "template", "learned"), "learned")
-
-    ruled = rows.where(F.col("rule").isNotNull()).select(*kept, "host", "path", "rule", "verdict", F.lit(None).cast("string").alias("template"))
-    rest = _shapes(rows.where(F.col("rule").isNull()))
-    same = (F.col("x.host") == F.col("y.host")) & (F.col("x.tail") == F.col("y.tail"))
-    for s in names:
-        same &= F.col(f"x.{s}").eqNullSafe(F.col(f"y.{s}"))
-    found = rest.alias("x").join(learned.alias("y"), same, "left")
-    found = found.select(*(F.col(f"x.k_{c}").alias(c) for c in keep), "x.host", "x.path", "x.rule", F.coalesce("y.learned", F.lit("allow")).alias("verdict"), "y.template")
-    return ruled.unionByName(found)
-
-
-def _generalise(shapes: DataFrame, level: int) -> DataFrame:
-    """Add ``t<level>``: the segment, or a wildcard where it varies or its branch is like the others."""
-    above = ["host", *(f"t{i}" for i in range(1, level))]
-    s, t = f"s{level}", f"t{level}"
-    same = lambda cols: [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in cols]
-    sums = lambda p: [F.sum(c).alias(f"{p}{c}") for c in "nlb"]
-    branch = shapes.where(F.col(s).isNotNull()).groupBy(*above, s).agg(*sums("c"))
-    place = branch.groupBy(*above).agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"), F.count("*").alias("branches"))
-    both = branch.alias("x").join(place.alias("y"), _all(same(above))).select("x.*", "pl", "pb", "branches")
+    return out.select(*kept, "host", "path", "rule", F.coalesce("verdict", "learned").alias("verdict"), "template", "learned")
+
+
+def _learn(urls: DataFrame) -> DataFrame:
+    """(host, shape, template, learned) of all distinct shapes of (host, shape, label)."""
+    count = lambda c: F.count(F.when(c, 1))
+    shapes = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("label").alias("l"), count(F.col("label") == "block").alias("b"))
+    # ``at``: the template so far; ``left``: the segments below it
+    shapes = shapes.withColumns({"at": F.lit(""), "left": F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/"))})
+    shapes = stage(shapes, "shapes")
+    done = []
+    while True:
+        ended = shapes.where(F.size("left") == 0)
+        done.append(ended.select("host", "shape", "l", "b", F.when(F.col("at") == "", "/").otherwise(F.col("at")).alias("template")))
+        shapes = shapes.where(F.size("left") > 0)
+        if shapes.isEmpty():
+            break
+        shapes = stage(_level(shapes), "level")
+    templates = done[0]
+    for d in done[1:]:
+        templates = templates.unionByName(d)
+    templates = stage(templates, "templates")
+    release(urls.sparkSession, *done)
+    totals = templates.groupBy("host", "template").agg(F.sum("l").alias("tl"), F.sum("b").alias("tb"))
+    hosts = totals.groupBy("host").agg(F.sum("tl").alias("hl"), F.sum("tb").alias("hb"))
+    share = templates.agg(F.coalesce(F.try_divide(F.sum("b"), F.sum("l")), F.lit(0.0)).alias("share")).first().share
+    above = (F.col("hb") + PRIOR * share) / (F.col("hl") + PRIOR)
+    purity = (F.col("tb") + PRIOR * above) / (F.col("tl") + PRIOR)
+    judged = totals.join(hosts, "host").select("host", "template", F.when((F.col("tl") >= LEAST) & (purity >= PURITY), "block").otherwise("allow").alias("learned"))
+    return templates.join(judged, ["host", "template"]).select("host", "shape", "template", "learned")
+
+
+def _level(shapes: DataFrame) -> DataFrame:
+    """One segment of every shape goes from ``left`` to ``at``: as it is, or as a wildcard."""
+    after = F.when(F.size("left") > 1, F.col("left")[1])
+    rows = shapes.withColumns({"seg": F.col("left")[0], "e": F.when(after.isNull(), F.col("n")).otherwise(0), "v": F.when(after == "*", F.col("n")).otherwise(0)})
+    branch = rows.groupBy("host", "at", "seg").agg(*(F.sum(c).alias(f"c{c}") for c in _SUMS), F.count("*").alias("shapes"))
+    place = branch.groupBy("host", "at").agg(*(F.sum(f"c{c}").alias(f"p{c}") for c in _SUMS), F.count("*").alias("branches"))
+    both = branch.join(place, ["host", "at"])
     rare = (F.col("branches") > MANY) & (F.col("cn") < FEW)
-    # the branch against the others at its place: n * (ad - bc)^2 / (row and column sums)
-    others = F.col("pl") - F.col("cl")
-    spread = F.col("cl").cast("double") * others * F.col("pb") * (F.col("pl") - F.col("pb"))
-    apart = F.col("cb") * F.col("pl") - F.col("pb") * F.col("cl")
-    chi = F.coalesce(F.try_divide(F.col("pl").cast("double") * apart * apart, spread), F.lit(0.0))
-    similar = (F.col("cl") > 0) & (others > 0) & (chi <= SIMILAR)
-    both = both.select(*above, s, F.when(rare | similar | (F.col(s) == "*"), "*").otherwise(F.col(s)).alias(t))
-    return shapes.alias("x").join(both.alias("y"), _all(same([*above, s])), "left").select("x.*", f"y.{t}")
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = conditions[0]
-    for c in conditions[1:]:
-        out &= c
-    return out
+    # the branch against the others at its place, by labels or by what urls show
+    told = (F.col("cl") >= LEAST) & (F.col("pl") - F.col("cl") >= LEAST)
+    both_of = lambda f: (f("c"), f("p"))
+    labels = _chi("l", both_of(lambda x: F.col(f"{x}b")), both_of(lambda x: F.col(f"{x}l") - F.col(f"{x}b")))
+    shows = _chi("n", both_of(lambda x: F.col(f"{x}e")), both_of(lambda x: F.col(f"{x}v")), both_of(lambda x: F.col(f"{x}n") - F.col(f"{x}e") - F.col(f"{x}v")))
+    like = F.when(told, labels <= SIMILAR).otherwise(shows <= ALIKE)
+    wild = (F.col("seg") == "*") | rare | ((F.col("branches") > 1) & like)
+    step = both.select("host", "at", "seg", F.when(wild, "*").otherwise(F.col("seg")).alias("step"), (F.col("shapes") == 1).alias("alone"))
+    out = rows.join(step, ["host", "at", "seg"])
+    rest = F.slice("left", 2, F.size("left"))
+    # a shape that has its branch for itself keeps the segments below it
+    own = F.col("alone") & ~F.col("step").eqNullSafe("*") & (F.size("left") > 1)
+    at = F.concat_ws("/", "at", "step", F.when(own, F.array_join(rest, "/")))
+    return out.select("host", "shape", "n", "l", "b", at.alias("at"), F.when(own, F.array().cast("array<string>")).otherwise(rest).alias("left"))
+
+
+def _chi(size: str, *kinds: tuple[Column, Column]) -> Column:
+    """Chi-squared of a branch against the others; ``kinds``: how many of the branch, and of all, are of each kind."""
+    c, p = F.col(f"c{size}").cast("double"), F.col(f"p{size}").cast("double")
+    parts = [F.coalesce(F.try_divide((own * p - all_ * c) * (own * p - all_ * c), c * (p - c) * all_), F.lit(0.0)) for own, all_ in kinds]
+    return sum(parts[1:], parts[0])

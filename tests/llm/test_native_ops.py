@@ -154,6 +154,38 @@ def test_url_templates_learn_from_rules(spark):
     assert learned.where("rule is null").first().template == "/c"
 
 
+def test_url_templates_judge_branches_without_labels(spark):
+    # blocked and unlabelled branches look alike; the one that does not keeps out
+    rules = [("e.org", "/es/", "block"), ("e.org", "/fr/", "block")]
+    urls = [f"x://e.org/{s}/{i}" for s in ("es", "fr", "en", "de") for i in range(9)] + [f"x://e.org/about/{w}" for w in ("us", "you", "them") * 4] + ["x://f.org/en/1"] * 9
+    learned = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules)
+    got = {(r.host, r.template, r.verdict) for r in learned.where("rule is null").collect()}
+    assert got == {("e.org", "/*/*", "block"), ("e.org", "/about/us", "allow"), ("e.org", "/about/you", "allow"), ("e.org", "/about/them", "allow"), ("f.org", "/en/*", "allow")} or got == {("e.org", "/*/*", "block"), ("e.org", "/about/*", "allow"), ("f.org", "/en/*", "allow")}
+    # rules of rows that do not teach are unknown to the templates
+    blind = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, teaches=F.lit(False))
+    assert {r.learned for r in blind.collect()} == {"allow"} and blind.where("verdict = 'block'").count() == 18
+
+
+def test_url_trees_match_sql(spark):
+    import duckdb
+
+    from jobloom.llm import oracles
+
+    r = random.Random(12)
+    segments = ["en", "fr", "a1", "*", "x", "y", "z", "news", "2024"]
+    rules = [("h.org", "/en/", "block"), ("h.org", "/fr/x", "allow"), ("g.h.org", "/news/", "block"), ("g.h.org", "/en/y", "allow"), ("k.com", "/x/y/", "block")]
+    urls = ["x://" + r.choice(["h.org", "g.h.org", "k.com", "n.net"]) + "".join("/" + (r.choice(segments) if r.random() < 0.9 else f"s{r.choice('abcdefghijklmnopqrstuvwxyz')}{r.choice('abcdef')}") for _ in range(min(6, int(r.expovariate(0.5))))) for _ in range(1500)]
+    pages = spark.createDataFrame([*enumerate(urls), (9000, None), (9001, "x://deep.org" + "/s" * 5000)], "page_id long, url string")
+    want = url_filter.judge(pages, rules, keep=["page_id"]).toPandas()
+    assert want[want.page_id == 9001].template.item() == "/s" * 5000
+    db = duckdb.connect()
+    shallow = pages.where("page_id <> 9001").toPandas()
+    db.register("pages", shallow)
+    got = db.sql(oracles.op2(rules)).df()
+    text = lambda d: sorted(tuple(None if v is None or v != v else v for v in row) for row in d[d.page_id != 9001][sorted(d.columns)].itertuples(index=False))
+    assert text(got) == text(want) and len(got) == 1501 and (got.learned == "block").any()
+
+
 def brute_scores(index, words):
     counts = Counter()
     for w in words:
