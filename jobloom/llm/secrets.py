@@ -1,24 +1,27 @@
 """Secret scan: fixed patterns, and a randomness test battery. DataFrame functions only.
 
 Base patterns (``assign``, ``access``, ``hex``) are matched leftmost and without
-overlap. The battery looks at long runs of code characters that mix character
-classes, infers their encoding (hex, base32, base64), and puts the symbols to
-three tests: chi-squared uniformity over the alphabet, runs above and below its
-middle, and serial correlation. A run of characters is random if none of the three
-rejects uniformity (Bonferroni). How likely ordinary text is to look so comes from
-the same tests: each statistic's likelihood under random symbols over that under a
-text model of the encoding, which grows with length (chi-squared of a text's
-coincidences; shifted runs and correlation), and the same ratio for the changes
-between character classes, whose mean with the runs and the correlation multiplies
-that of chi-squared. 1 over this ratio stands for the p-value of text, which holds as
-far as the model does (normal statistics, composition independent of order);
-within each band of lengths, over all candidates of all documents, the
-Benjamini-Hochberg rule on it controls the share of false discoveries under that model.
-Discoveries that overlap a base span are left out; base spans always stay.
+overlap. The battery looks at all long runs of code characters, infers their encoding
+(hex, base32 and base36 in one case, else base64), and puts the symbols to three tests:
+chi-squared uniformity over the alphabet, runs above and below its middle, and serial
+correlation. A run of characters is random if none of the three rejects uniformity
+(Bonferroni). How likely ordinary text is to look so comes from the same tests: each
+statistic's likelihood under random symbols over that under a text model of the
+encoding, which grows with length (chi-squared of a text's coincidences; shifted runs
+and correlation), and the same ratio for the changes between character classes, whose
+mean with the runs and the correlation multiplies that of chi-squared. Under a text
+model such a ratio exceeds x with a chance of at most 1 / x, so 1 over it is ranked as
+the p-value of text; this holds as far as the model does (normal statistics,
+composition independent of order). Within each band of lengths, over all candidates of
+all documents, the Benjamini-Hochberg rule on it controls the share of false
+discoveries under that model. Discoveries that overlap a base span are left out; base
+spans always stay.
 
 Positions are code points, ends exclusive. Defined results: a null text is empty
-and has no spans; whole texts are scanned; repeated rows are scanned each for
-itself; with no candidate nothing is discovered.
+and has no spans; whole texts are scanned, and the work on one text grows with its
+matches to the power of 1.5 at most; repeated rows are scanned each for itself; with no
+candidate nothing is discovered; columns of the input named ``base`` or ``spans`` are
+replaced, others are kept as they are.
 """
 
 from __future__ import annotations
@@ -41,24 +44,32 @@ TEST_LEVEL = 0.01
 FALSE_SHARE = 0.01
 #: Changes between character classes a character, in ordinary identifiers and words, and in random symbols.
 TEXT_CHANGES = 0.08
-RANDOM_CHANGES = {"hex": 0.469, "base32": 0.305, "base64": 0.645}
-#: In text: two symbols are the same (hex: as for random ones; base64: words of both cases with digits).
-TEXT_SAME = {"hex": 1 / 16, "base32": 0.066, "base64": 0.044}
+RANDOM_CHANGES = {"hex": 0.469, "base32": 0.305, "base36": 0.401, "base64": 0.645}
+#: In text: two symbols are the same (hex: as for random ones; base36: words with digits; base64: words of both cases with digits).
+TEXT_SAME = {"hex": 1 / 16, "base32": 0.066, "base36": 0.06, "base64": 0.044}
 #: In text: runs and serial correlation, over the root of the length, are off by this to one side.
 TEXT_ORDER = 0.13
 BANDS = (32, 64)
 MAX_BITS = 400
-_ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+_ALPHABET = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
 def _matches(text: str, pattern: str) -> str:
-    """SQL: an array of (start, end, token) of all matches of a pattern."""
+    """SQL: an array of (start, end, token) of all matches of a pattern.
+
+    A fold that appends copies its array, so it runs over pieces of about the root of the
+    number of matches, which are then moved to their places.
+    """
     p = "r'" + pattern.replace("'", r"\x27") + "'"
-    return f"""aggregate(
-      zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), (gap, hit) -> struct(gap, hit)),
-      named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,token:string>>)),
-      (acc, x) -> named_struct('at', acc.at + char_length(x.gap) + char_length(x.hit), 'out', array_append(acc.out, named_struct('start', acc.at + char_length(x.gap), 'end', acc.at + char_length(x.gap) + char_length(x.hit), 'token', x.hit))),
-      acc -> acc.out)"""
+    none = "cast(array() as array<struct<start:int,end:int,token:string>>)"
+    pairs = f"zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), (gap, hit) -> struct(gap, hit))"
+    fold = f"""aggregate(piece, named_struct('at', 0, 'out', {none}),
+      (acc, x) -> named_struct('at', acc.at + char_length(x.gap) + char_length(x.hit), 'out', array_append(acc.out, named_struct('start', acc.at + char_length(x.gap), 'end', acc.at + char_length(x.gap) + char_length(x.hit), 'token', x.hit))))"""
+    let = lambda name, value, then: f"transform(array({value}), {name} -> {then})[0]"
+    pieces = "transform(sequence(0, (size(all) - 1) div c), j -> slice(all, j * c + 1, c))"
+    moved = let("base", "aggregate(slice(folded, 1, j), 0, (acc, y) -> acc + y.at)", "transform(x.out, m -> named_struct('start', m.start + base, 'end', m.end + base, 'token', m.token))")
+    placed = let("folded", f"transform({pieces}, piece -> {fold})", f"flatten(transform(folded, (x, j) -> {moved}))")
+    return let("all", pairs, f"case when size(all) > 0 then {let('c', 'cast(ceil(sqrt(size(all))) as int)', placed)} else {none} end")
 
 
 def _found(pattern: str) -> Column:
@@ -88,9 +99,9 @@ for _k in "LUDS":
 #: The tests, step by step: each names a field and the SQL that gives it from the fields before.
 STEPS = {
     # encoding and symbols
-    "_code": "case when _token rlike '^[0-9a-f]+$' or _token rlike '^[0-9A-F]+$' then 'hex' when _token rlike '^[A-Z2-7]+$' then 'base32' else 'base64' end",
+    "_code": "case when _token rlike '^[0-9a-f]+$' or _token rlike '^[0-9A-F]+$' then 'hex' when _token rlike '^[A-Z2-7]+$' or _token rlike '^[a-z2-7]+$' then 'base32' when _token rlike '^[A-Z0-9]+$' or _token rlike '^[a-z0-9]+$' then 'base36' else 'base64' end",
     "_abc": "case _code " + " ".join(f"when '{k}' then '{v}'" for k, v in _ALPHABET.items()) + " end",
-    "_sym": "case _code when 'hex' then lower(_token) else translate(_token, '-_', '+/') end",
+    "_sym": "case _code when 'hex' then lower(_token) when 'base64' then translate(_token, '-_', '+/') else upper(_token) end",
     "_n": "cast(length(_sym) as double)",
     "_a": "cast(length(_abc) as double)",
     # chi-squared uniformity over the alphabet
@@ -125,9 +136,8 @@ _LAST_USE = {n: max([i for i, e in enumerate(STEPS.values()) if re.search(rf"{n}
 
 
 def _tested(text: DataFrame) -> DataFrame:
-    """``_found``: the mixed runs of code characters of each text, with their tests."""
-    mixed = "x -> cast(x.token rlike '[a-z]' as int) + cast(x.token rlike '[A-Z]' as int) + cast(x.token rlike '[0-9]' as int) > 1"
-    out = text.withColumn("_found", _found(CANDIDATE)).withColumn("_found", F.expr(f"filter(_found, {mixed})"))
+    """``_found``: the long runs of code characters of each text, with their tests."""
+    out = text.withColumn("_found", _found(CANDIDATE))
     out = out.withColumn("_found", F.expr("transform(_found, r -> named_struct('start', r.start, 'end', r.end, '_token', r.token))"))
     have = ["start", "end", "_token"]
     for i, (name, sql) in enumerate(STEPS.items()):

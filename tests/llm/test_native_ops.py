@@ -109,6 +109,88 @@ def test_secrets_evidence_comes_from_the_battery(spark):
     assert by[one] < by[plain[0]]
 
 
+ABC = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+ABC["base64"] = ABC["base36"][:26] + ABC["base36"][:26].lower() + "0123456789+/"
+
+
+def plain_battery(token):
+    """(encoding, whether no test rejects random symbols, bits for random symbols over text) of one token."""
+    one_case = token in (token.lower(), token.upper())
+    fits = lambda abc: set(token.upper()) <= set(abc) and one_case
+    code = "hex" if fits("0123456789ABCDEF") else "base32" if fits(ABC["base32"]) else "base36" if fits(ABC["base36"]) else "base64"
+    abc = ABC[code]
+    x = [abc.index(c) for c in (token.lower() if code == "hex" else token.replace("-", "+").replace("_", "/") if code == "base64" else token.upper())]
+    n, a = len(x), len(abc)
+    chi = sum((x.count(i) - n / a) ** 2 / (n / a) for i in range(a))
+    z1 = max(0, (chi - (a - 1)) / math.sqrt(2 * (a - 1) * (1 - 1 / n)))
+    side = [v >= a // 2 for v in x]
+    ones, runs = sum(side), 1 + sum(u != v for u, v in zip(side, side[1:]))
+    mean = 2 * ones * (n - ones) / n + 1
+    z2 = (runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9)) if 0 < ones < n else 99
+    m = sum(x) / n
+    var = sum((v - m) ** 2 for v in x)
+    z3 = (sum((u - m) * (v - m) for u, v in zip(x, x[1:])) / var + 1 / n) * math.sqrt(n) if var > 0 else 99
+    p = min(1 - math.tanh(math.sqrt(2 / math.pi) * (abs(z) + 0.044715 * abs(z) ** 3)) for z in (z1, z2, z3))
+    over = max(0, a * secrets.TEXT_SAME[code] - 1) * (n - 1)
+    gap = chi - (a - 1)
+    b1 = (math.log(1 + 2 * over / (a - 1)) / 2 - gap**2 / (4 * (a - 1)) + (gap - over) ** 2 / (4 * (a - 1 + 2 * over))) / math.log(2)
+    order = lambda z: (secrets.TEXT_ORDER**2 / 2 * n - secrets.TEXT_ORDER * math.sqrt(n) * abs(z)) / math.log(2)
+    kind = ["L" if c.islower() else "U" if c.isupper() else "D" if c.isdigit() else "S" for c in token]
+    changes, rate = sum(u != v for u, v in zip(kind, kind[1:])), secrets.RANDOM_CHANGES[code]
+    b4 = changes * math.log2(rate / secrets.TEXT_CHANGES) + (n - 1 - changes) * math.log2((1 - rate) / (1 - secrets.TEXT_CHANGES))
+    most = secrets.MAX_BITS
+    total = b1 + math.log2(sum(2 ** min(b, most) for b in (order(z2), order(z3), b4)) / 3)
+    return code, 3 * p >= secrets.TEST_LEVEL, max(0, min(most, total))
+
+
+def plain_discoveries(texts):
+    """{(text, start, end)} of the battery, without regard to base spans."""
+    tests = [(i, m.start(), m.end(), *plain_battery(m[0])[1:]) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t)]
+    out = set()
+    for low, high in zip((0, *secrets.BANDS), (*secrets.BANDS, 10**9)):
+        band = [t for t in tests if low <= t[2] - t[1] < high]
+        # the largest set of discoveries whose weakest p-value allows for them all
+        ranked = sorted((math.floor(t[4]) for t in band if t[3]), reverse=True)
+        least = [b for k, b in enumerate(ranked, 1) if len(band) * 2.0**-b <= secrets.FALSE_SHARE * sum(x >= b for x in ranked)]
+        if least:
+            out |= {t[:3] for t in band if t[3] and math.floor(t[4]) >= min(least)}
+    return out
+
+
+def test_secrets_match_a_plain_battery(spark):
+    r = random.Random(8)
+    of = lambda abc, n: "".join(r.choice(abc) for _ in range(n))
+    words = "parse store query window report account customer service request handler version backup".split()
+    tokens = [of(abc, r.choice([20, 26, 32, 40, 64, 90])) for _ in range(40) for abc in (ABC["hex"].upper(), ABC["base32"], ABC["base32"].lower(), ABC["base36"].lower(), ABC["base64"])]
+    tokens += ["".join(r.choice(words).capitalize() for _ in range(r.randint(4, 9))) for _ in range(60)] + ["-".join(r.choice(words) for _ in range(6)) for _ in range(60)]
+    tokens += ["aaaaaaaaaaaaaaaaaaaaaaaa", "0" * 30, "01" * 20, "antidisestablishmentarianism", "/usr/local/share/documentation", "12345678901234567890"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "_text string")
+    got = {x.r._token: x.r for x in secrets._tested(rows).select(F.explode("_found").alias("r")).collect()}
+    for t in set(tokens) & got.keys():
+        code, random_, bits = plain_battery(t)
+        assert got[t]._random == random_ and abs(got[t]._bits - bits) <= 1.000001 and (got[t]._bits == math.floor(bits) or abs(bits - round(bits)) < 1e-6)
+    assert len(got) == len({t for t in tokens if len(t) >= 20})
+    # whole texts, and the false-discovery rule over them
+    r.shuffle(tokens)
+    texts = ["é " + " ".join(tokens[i : i + 4]) + " end" for i in range(0, len(tokens), 4)]
+    scanned = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    base = {x.doc_id: base_spans(texts[x.doc_id]) for x in scanned}
+    want = {f for f in plain_discoveries(texts) if not any(s < f[2] and f[1] < e for s, _, e, _ in base[f[0]])}
+    assert {(x.doc_id, s.start, s.end) for x in scanned for s in x.spans if s.kind == "random"} == want
+    # random tokens of one case are found as well as others
+    found = {texts[i][s:e] for i, s, e in want}
+    for abc in (ABC["base32"], ABC["base32"].lower(), ABC["base36"].lower(), ABC["base64"]):
+        own = [t for t in tokens[:] if len(t) >= 40 and set(t) <= set(abc) and not set(t) <= set(ABC["hex"] + "ABCDEF")]
+        assert sum(t in found for t in own) >= 0.6 * len(own)
+    assert not any(w.lower() in t.lower() for t in found for w in words)
+
+
+def test_secrets_many_matches_of_one_text(spark):
+    text = "é" + " token=abcdef" * 30_000
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base").alias("n"), F.expr("base[29999]").alias("last")).first()
+    assert row.n == 30_000 and (row.last.start, row.last.end) == (1 + 13 * 29_999 + 1, len(text))
+
+
 def test_mask(spark):
     rows = spark.createDataFrame([("aéb token=abcdef x",), ("plain",), (None,), ("token=0123456789abcdef0123456789abcdef",)], "text string")
     got = [r[0] for r in secrets.scan(rows).select(secrets.mask(F.col("text"), F.col("spans"))).collect()]
