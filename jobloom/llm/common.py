@@ -29,14 +29,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (local
-    tests), a temporary folder of this machine is set once for the session.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset and all runs in
+    one process (tests), a temporary folder of this machine is set once for the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     found = spark.conf.get("spark.jobloom.staging.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="jobloom-")
         spark.conf.set("spark.jobloom.staging.dir", found)
     return found
@@ -89,14 +92,21 @@ def clear_staging() -> None:
             return
 
 
+def small_batches(spark: SparkSession) -> None:
+    have = spark.conf.getAll
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if f"spark.sql.execution.arrow.{name}" not in have:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, keeps: str | None = None) -> DataFrame:
     """``mapInArrow`` with batches small enough for long documents.
 
     Worker processes outlive a stage: what another stage has kept there is dropped
     (all but the cache named ``keeps``), and memory is given back after each task.
+    The size of a batch is a setting of the session; one that is set already stays.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_caches(keeps)

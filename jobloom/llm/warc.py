@@ -12,7 +12,8 @@ scan) and a range owns the records that start inside it. The magic can also occu
 within compressed data: a candidate member is only taken for one if its header
 decodes to a WARC header, otherwise its bytes continue the member before. Where a
 member's rest lies behind such a false magic in a later range, both pieces are
-kept as fragments and put together afterwards.
+kept as fragments and put together afterwards. A file whose name ends in ``.gz`` is read
+in the same way, but by one task, as Spark cuts no file of that name into ranges.
 
 Defined results: null payloads are empty; a null id or url leaves its header out;
 control characters in a url are percent-encoded; of equal ids with equal payloads
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import map_arrow
+from jobloom.llm.common import map_arrow, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 LEVEL = 6
@@ -140,8 +141,11 @@ def parse(data: bytes) -> tuple:
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """Whole records (kind ``record``), and pieces of members cut by a false magic."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").option("recursiveFileLookup", "true").text(path)
+    small_batches(spark)
+    # the reader must not inflate files named .gz: members are told apart here
+    as_is = spark.sparkContext._jvm.org.apache.hadoop.io.compress.PassthroughCodec
+    reader = spark.read.option("io.compression.codecs", as_is.CLASSNAME).option(as_is.OPT_EXTENSION, ".gz")
+    lines = reader.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").option("recursiveFileLookup", "true").text(path)
     lines = lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

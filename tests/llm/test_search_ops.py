@@ -154,6 +154,27 @@ def test_warc_survives_false_magic(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
 
 
+@pytest.mark.parametrize("name", ["x.warc", "x.warc.gz"])
+def test_warc_reads_foreign_archives(spark, tmp_path, name):
+    """Members that another writer made, in one file that is cut into ranges unless its name forbids it."""
+    import gzip
+
+    payloads = [f"<p>page {i}</p>".encode() * (1 + 40 * (i % 7)) for i in range(20)]
+    data = b""
+    for i, p in enumerate(payloads):
+        http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + p
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\nWARC-Target-URI: http://e.org/{i}\r\nContent-Length: {len(http)}\r\n\r\n"
+        data += gzip.compress(head.encode() + http + b"\r\n\r\n")
+    (tmp_path / name).write_bytes(data)
+    had = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = warc.read(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", had)
+    assert sorted((r.url, bytes(r.payload)) for r in got) == sorted((f"http://e.org/{i}", p) for i, p in enumerate(payloads))
+
+
 def check_shards(docs, got, shards):
     size = lambda t: len((t or "").encode()) + 16
     crc = lambda t: zlib.crc32((t or "").encode())
@@ -187,6 +208,52 @@ def test_sharding_odd_rows(spark):
     assert order != sorted(order)
 
 
+def plain_shard(doc_id, shards, seed=sharding.SEED):
+    """The shard whose hash of (id, shard, seed) is highest, by xxhash itself; a null id leaves the hash as it is."""
+    import struct
+
+    import xxhash
+
+    def step(fmt, v, h):
+        return h if v is None else xxhash.xxh64(struct.pack(fmt, v), seed=h).intdigest()
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    scores = [signed(step("<i", seed, step("<i", j, step("<q", doc_id, 42)))) for j in range(shards)]
+    return scores.index(max(scores))
+
+
+def test_sharding_law_matches_a_plain_version(spark):
+    ids = [None, 0, 1, -5, 2**62, *range(100, 400)]
+    docs = spark.createDataFrame([(i, "t") for i in ids], "doc_id long, text string")
+    path = staging_path(spark, "shards")
+    sharding.write_shards(docs, path, 7)
+    for r in sharding.read_shards(spark, path).collect():
+        assert (r.shard, r.grown_shard) == (plain_shard(r.doc_id, 7), plain_shard(r.doc_id, 8))
+
+
+def test_sharding_hot_record_fills_no_bucket(spark):
+    rows = [(1, "hot text")] * 3000 + [(None, None)] * 1500 + [(i, "x" * 30) for i in range(10, 600)]
+    path = staging_path(spark, "shards")
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, 3, bucket_bytes=4000)
+    got = sharding.read_shards(spark, path).collect()
+    check_shards(rows, got, 3)
+    sizes = Counter()
+    for r in got:
+        sizes[r.bucket] += r.size
+    assert len(sizes) > 10 and max(sizes.values()) < 8 * 4000
+
+
+def test_sharding_shuffles_evenly(spark):
+    """Places after the shuffle say nothing about ids: ranks of ids by slot correlate no more than by chance."""
+    path = staging_path(spark, "shards")
+    sharding.write_shards(spark.range(6000).selectExpr("id AS doc_id", "cast(id AS string) AS text"), path, 2, bucket_bytes=20_000)
+    got = sharding.read_shards(spark, path).collect()
+    for s in (0, 1):
+        ids = np.array([r.doc_id for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)])
+        assert abs(np.corrcoef(ids, np.arange(len(ids)))[0, 1]) < 4 / len(ids) ** 0.5
+        assert abs(np.corrcoef(ids[:-1], ids[1:])[0, 1]) < 4 / len(ids) ** 0.5
+
+
 def brute_join(docs, num, den, k):
     sets = []
     for _, t in docs:
