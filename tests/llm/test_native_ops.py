@@ -402,3 +402,26 @@ def test_pipeline_odd_rows(spark):
     assert {(r.doc_id, r.text, r.n_chars) for r in docs.collect()} == {(3, rows[2][1], 33), (None, rows[4][1], None), (5, "[SECRET] is here", 16)}
     assert docs.count() == 3
     assert corpus_pipeline.run(spark, d).count() == 3
+
+
+def test_pipeline_keeps_extra_columns_and_tells_rows_apart(spark):
+    names = ["score", "spans", "_text", "n_hit", "base", "lang_pred", "k_0", "_key", "c1", "item_ids"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names)
+    extra = lambda i: [f"{n}{i}" for n in names]
+    text = lambda i: f"number{i} " + " ".join(f"word{i}{j}" for j in range(12))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(4)), (9, "token=abcdefgh " + text(5)), (10, "bench mark item text " + text(6)), (11, "éé " * 40_000)]
+    rows = [(i, t, "en", *extra(k)) for k, (i, t) in enumerate(rows)]
+    d = "/tmp/jobloom-test3"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([("a", "bench mark item text")], "item_id string, text string").write.mode("overwrite").parquet(f"{d}/benchmark.parquet")
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = step(spark, docs, d).cache()
+        assert docs.dtypes == spark.createDataFrame([], schema).dtypes
+    got = sorted((tuple(r) for r in docs.collect()), key=str)
+    want = [rows[0], rows[1], rows[3], rows[4], (9, "[SECRET] " + text(5), *rows[6][2:]), rows[8]]
+    same = lambda r: [r[0], r[1]]
+    assert [same(r) for r in got] == [same(r) for r in sorted(want, key=str)]
+    assert {r[3:] for r in got if r[1] != text(2)} <= {r[3:] for r in rows}
+    _, last = corpus_pipeline.STAGES[-1]
+    assert {r.doc_id for r in last(spark, docs, d).collect()} == {None, 7, 9, 11}
+    assert corpus_pipeline.STAGES[1][1](spark, docs.limit(0), d).count() == 0
