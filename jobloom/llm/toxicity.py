@@ -25,7 +25,6 @@ are scored each for itself.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -36,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import map_arrow, text_bytes, words_of
+from jobloom.llm.common import map_arrow, text_bytes, trim, words_of
 
 SAMPLE_ROWS = 12_000
 #: A term in so many examples and of so high a chi-squared (1 degree of freedom) weighs its chi-squared, others 1.
@@ -136,8 +135,14 @@ class Examples:
     def dense(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of each frequent term (others: -1), their weights by example and their largest weights by block."""
         if "_dense" not in self.__dict__:
-            place, table = _frequent(self.lists, len(self.ids))
-            table = np.concatenate([table, np.zeros((-len(table) % BLOCK, table.shape[1]), np.float32)])
+            n, size = len(self.ids), np.diff(self.lists.first)
+            often = np.flatnonzero(size > FREQUENT * n)
+            place = np.full(len(size), -1)
+            place[often] = np.arange(len(often))
+            table = np.zeros((-(-n // BLOCK) * BLOCK, len(often)), np.float32)
+            for i, t in enumerate(often):
+                rows, weights, _ = self.lists[t]
+                table[rows, i] = weights
             self._dense = place, table, table.reshape(len(table) // BLOCK, BLOCK, table.shape[1]).max(1)
         return self._dense
 
@@ -226,13 +231,16 @@ def _log_odds(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def calibrate(index: Examples, texts: list[list[bytes]], rows: list[int]) -> None:
+def calibrate(index: Examples, texts: list[bytes], rows: list[int]) -> None:
     """Fit slope and bias (Platt) to the votes of the other examples on each of these ``rows`` of the index."""
     z, y = [], []
-    for (v, _), row in zip(index.votes(texts, without=rows), rows):
-        if v is not None:
-            z.append(_log_odds(v))
-            y.append(index.toxic[row])
+    for lo in range(0, len(rows), TEXTS):
+        part = rows[lo : lo + TEXTS]
+        for (v, _), row in zip(index.votes([words_of(t) for t in texts[lo : lo + TEXTS]], without=part), part):
+            if v is not None:
+                z.append(_log_odds(v))
+                y.append(index.toxic[row])
+    del index._dense
     z, y = np.array(z), np.array(y)
     pos = y.sum()
     if not 0 < pos < len(y):
@@ -251,19 +259,6 @@ def calibrate(index: Examples, texts: list[list[bytes]], rows: list[int]) -> Non
         index.slope, index.bias = float(w[0]), float(w[1])
 
 
-def _frequent(lists: Lists, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each frequent term (others: -1), and their weights by example."""
-    size = np.diff(lists.first)
-    often = np.flatnonzero(size > FREQUENT * n)
-    place = np.full(len(size), -1)
-    place[often] = np.arange(len(often))
-    table = np.zeros((n, len(often)), np.float32)
-    for i, t in enumerate(often):
-        rows, weights, _ = lists[t]
-        table[rows, i] = weights
-    return place, table
-
-
 def _arranged(table: np.ndarray) -> np.ndarray:
     """An order of the examples in which like ones are neighbours: spherical k-means on the frequent terms."""
     n = len(table)
@@ -289,22 +284,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def weigh_terms(examples: list[tuple[int, bytes, int]]) -> tuple[list[bytes], np.ndarray]:
     """All terms of the examples and their weights."""
     n, toxic = len(examples), sum(y for _, _, y in examples)
-    df, pos = Counter(), Counter()
-    for _, text, y in examples:
-        own = features(set(words_of(text)))
-        df.update(own)
-        if y:
-            pos.update(own)
-    terms = sorted(df)
-    weights = np.ones(len(terms))
-    for i, w in enumerate(terms):
-        a, d = pos[w], df[w]
-        if d < TERM_ROWS or a * n <= d * toxic or d == n or toxic == n:
-            continue
-        chi = n * (a * n - d * toxic) ** 2 / (d * (n - d) * toxic * (n - toxic))
-        if chi >= TERM_CHI:
-            weights[i] = chi
-    return terms, weights
+    place: dict[bytes, int] = {}
+    found = [np.fromiter((place.setdefault(t, len(place)) for t in features(set(words_of(text)))), np.int32) for _, text, _ in examples]
+    terms = sorted(place)
+    order = np.fromiter(map(place.__getitem__, terms), np.int64, len(terms))
+    del place
+    none = [np.zeros(0, np.int32)]
+    df, pos = (np.bincount(np.concatenate(none + own), minlength=len(terms))[order].astype(float) for own in (found, [f for f, e in zip(found, examples) if e[2]]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = n * (pos * n - df * toxic) ** 2 / (df * (n - df) * toxic * (n - toxic))
+    told = (df >= TERM_ROWS) & (pos * n > df * toxic) & (df < n) & (toxic < n) & (chi >= TERM_CHI)
+    return terms, np.where(told, chi, 1.0)
 
 
 def document_counts(docs: DataFrame, terms: list[bytes], text_col: str = "text") -> tuple[int, np.ndarray]:
@@ -337,8 +327,8 @@ def build(examples: list[tuple[int, bytes, int]], terms: list[bytes], total: int
     index = Examples(Terms(terms), idf, np.zeros(0, np.int64), np.zeros(0), 0.0, none, bool(examples))
     telling = np.broadcast_to(np.asarray(weights) > 1, len(terms))
     sizes, at, xs, bare = [], [], [], np.ones(len(examples), bool)
-    for lo in range(0, len(examples), TEXTS):
-        first, own, x = index.vectors([words_of(t) for _, t, _ in examples[lo : lo + TEXTS]])
+    for lo in range(0, len(examples), COUNTED):
+        first, own, x = index.vectors([words_of(t) for _, t, _ in examples[lo : lo + COUNTED]])
         sizes.append(np.diff(first))
         at.append(own.astype(np.int32))
         xs.append(x.astype(np.float32))
@@ -349,31 +339,45 @@ def build(examples: list[tuple[int, bytes, int]], terms: list[bytes], total: int
     if not examples:
         return index
     sizes, flat, x = np.concatenate(sizes), np.concatenate(at), np.concatenate(xs)
+    del at, xs
     kept = np.flatnonzero(sizes)
 
-    def lists(rank: np.ndarray) -> Lists:
-        rows = np.repeat(rank, sizes[kept]).astype(np.int32)
-        order = np.lexsort((rows, flat))
-        return Lists(np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(terms)))]), rows[order], x[order])
-
     if len(kept):
-        order = _arranged(_frequent(lists(np.arange(len(kept))), len(kept))[1])
-        rank = np.empty(len(kept), np.int64)
-        rank[order] = np.arange(len(kept))
-        index.lists = lists(rank)
+        n, sizes = len(kept), sizes[kept]
+        size = np.bincount(flat, minlength=len(terms))
+        place = np.full(len(terms), -1, np.int32)
+        often = np.flatnonzero(size > FREQUENT * n)
+        place[often] = np.arange(len(often))
+        rows = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        own = np.flatnonzero(place[flat] >= 0)
+        table = np.zeros((n, len(often)), np.float32)
+        table[rows[own], place[flat[own]]] = x[own]
+        order = _arranged(table)
+        del table, own
+        rank = np.empty(n, np.int32)
+        rank[order] = np.arange(n)
+        rows = rank[rows]
+        by = np.lexsort((rows, flat))
+        del flat
+        index.lists = Lists(np.concatenate([[0], np.cumsum(size)]), rows[by], x[by])
         kept = kept[order]
+        del x, rows, by
+    trim()
     index.ids = np.array([examples[i][0] for i in kept], np.int64)
     index.toxic = toxic[kept]
     if len(kept) > 1 and calibration:
         rows = np.arange(0, len(kept), max(1, -(-len(kept) // calibration)))
-        calibrate(index, [words_of(examples[i][1]) for i in kept[rows]], rows.tolist())
+        calibrate(index, [examples[i][1] for i in kept[rows]], rows.tolist())
+        trim()
     return index
 
 
 def fit(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Examples:
     """Index the labelled rows of ``train``; counts are over all of ``docs``."""
     examples = labelled_sample(train, labels, id_col, text_col, label_col)
+    trim()
     terms, weights = weigh_terms(examples)
+    trim()
     return build(examples, terms, *document_counts(docs, terms, text_col), weights)
 
 
