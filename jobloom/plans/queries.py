@@ -468,34 +468,34 @@ def ancestry_check(spark, sf):
     return admission.resolve_ancestry(_children(spark, sf), _known(spark, sf), max_depth=8).select("seq", "depth", "trace", "rejection")
 
 
-_PIPE = (
-    "fr AS (SELECT *, first_value(seq) OVER w AS first_seq, first_value(request) OVER w AS first_request FROM rr WINDOW w AS (PARTITION BY name, idempotency_key ORDER BY t_ms, seq)), "
-    f"st AS (SELECT *, CASE WHEN {_OUTCOME} <> 'new' THEN {_OUTCOME} ELSE rejection END AS early FROM fr), "
-    + _SLIDE.replace("FROM requests)", "FROM st WHERE early IS NULL)")
-    + ", q AS (SELECT st.*, f.admitted, CASE WHEN f.admitted THEN row_number() OVER (PARTITION BY st.trace, f.admitted ORDER BY st.t_ms, st.seq) END AS rk FROM st LEFT JOIN f ON f.seq = st.seq), "
-    "fin AS (SELECT *, coalesce(early, CASE WHEN NOT admitted THEN 'ingress' WHEN rk > 3 THEN 'chain' ELSE 'accepted' END) AS status FROM q)"
-)
+def _asked(spark, sf):
+    # every 13th root comes without a lineage; requests are parents under their own ids
+    r = _children(spark, sf).withColumn("trace_id", F.when(F.col("seq") % 13 == 0, "").otherwise(F.col("trace_id")))
+    r = r.withColumn("parent_id", F.when(F.col("seq") % 7 == 3, F.concat(F.lit("r-"), F.expr("cast(seq div 2 AS string)"))).otherwise(F.col("parent_id")))
+    return r.withColumn("id", F.concat(F.lit("r-"), F.col("seq").cast("string")))
 
 
 def _admitted(spark, sf):
-    return admission.admit(_children(spark, sf), _known(spark, sf), INGRESS_LIMIT, INGRESS_WINDOW, chain_cap=3, max_depth=8)
+    fresh = F.concat(F.lit("new-"), F.col("seq").cast("string"))
+    return admission.admit(_asked(spark, sf), _known(spark, sf), INGRESS_LIMIT, INGRESS_WINDOW, chain_cap=3, max_depth=8, new_trace=fresh)
 
 
-@register(_j("SELECT seq, status FROM fin", REQUESTS_SQL, _DEPTHS, _CHILDREN, _PIPE))
+@register()
 def admission_pipeline(spark, sf):
-    return _admitted(spark, sf).select("seq", "status")
+    """All gates by one writer; tests compare it with a plain one."""
+    return _admitted(spark, sf).select("seq", "status", "depth", "trace", "first_seq", "state", "available_at")
 
 
-@register(_j("SELECT kind, grp, count(*) AS n FROM (SELECT status AS kind, CASE status WHEN 'ingress' THEN 'ingress' WHEN 'chain' THEN 'chain' ELSE 'ancestry' END AS grp FROM fin WHERE status IN ('ingress', 'chain', 'parent_not_found', 'inconsistent_depth', 'circuit_breaker')) GROUP BY ALL", REQUESTS_SQL, _DEPTHS, _CHILDREN, _PIPE))
+@register()
 def rejections_by_kind(spark, sf):
     log = admission.rejection_log(_admitted(spark, sf))
     return log.groupBy("kind", admission.rejection_group().alias("grp")).agg(F.count("*").alias("n"))
 
 
-@register(_j("SELECT seq, status AS kind, t_ms AS rejected_at, CASE WHEN status IN ('inconsistent_depth', 'circuit_breaker', 'chain') THEN trace END AS trace_id, CASE WHEN status IN ('inconsistent_depth', 'circuit_breaker', 'chain', 'parent_not_found') THEN CASE WHEN seq % 5 = 0 THEN '' ELSE parent_id END END AS parent_id, CASE WHEN status = 'ingress' THEN facet END AS rate_limit_facet FROM fin WHERE status IN ('ingress', 'chain', 'parent_not_found', 'inconsistent_depth', 'circuit_breaker') ORDER BY t_ms DESC, seq DESC LIMIT 200", REQUESTS_SQL, _DEPTHS, _CHILDREN, _PIPE))
+@register()
 def rejections_feed(spark, sf):
     log = admission.rejection_log(_admitted(spark, sf)).withColumn("id", F.col("seq"))
-    return search.rejections(log, limit=200).select("seq", "kind", "rejected_at", "trace_id", "parent_id", "rate_limit_facet")
+    return search.rejections(log, limit=200).select("seq", "kind", "rejected_at", "trace_id", "parent_id", "execution_depth", "rate_limit_facet", "detail")
 
 
 @register(f"WITH {REQUESTS_SQL}, b AS (SELECT seq, seq // 40 AS batch_id, seq % 40 AS pos, value < 200 AS ok FROM requests), g AS (SELECT batch_id, min(pos) FILTER (NOT ok) AS bad FROM b GROUP BY batch_id) SELECT seq, bad IS NULL AS committed, CASE WHEN bad IS NOT NULL THEN 'bulk job ' || bad || ': rejected' END AS batch_error FROM b JOIN g USING (batch_id)")

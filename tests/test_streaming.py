@@ -36,13 +36,15 @@ def test_state_lives_from_batch_to_batch(spark, sf, tmp_path):
 def test_loop_decides_as_one_batch_does(spark, sf, tmp_path):
     r, stream = parts(spark, sf, f"file://{tmp_path}")
     root = f"file://{tmp_path}/loop"
-    loop.run(stream, root, chain_cap=4)
-    got = {(x.seq, x.status) for x in loop.decisions(spark, root).collect()}
+    loop.run(stream, root, chain_cap=4, limit=q.INGRESS_LIMIT, window_ms=q.INGRESS_WINDOW)
+    got = {(x.seq, x.status, x.depth) for x in loop.decisions(spark, root).collect()}
     known = spark.createDataFrame([], "id string, trace_id string, execution_depth int")
-    rows = admission.resolve_ancestry(admission.dedup(r), known).withColumn("early", F.coalesce(F.when(F.col("outcome").isin("replay", "conflict"), F.col("outcome")), F.col("rejection")))
-    assert len(got) == r.count() and {s for _, s in got} >= {"accepted", "conflict", "parent_not_found"}
-    assert all(s in ("accepted", "chain") for x, s in got if x in {y.seq for y in rows.where("early is null").collect()})
+    whole = admission.admit(r.withColumn("id", F.col("seq").cast("string")), known, q.INGRESS_LIMIT, q.INGRESS_WINDOW, 4)
+    assert got == {(x.seq, x.status, x.depth) for x in whole.collect()}
+    assert {s for _, s, _ in got} >= {"accepted", "conflict", "parent_not_found", "ingress_velocity"}
+    jobs = spark.read.parquet(f"{root}/jobs")
+    assert jobs.where("state IS NULL OR available_at IS NULL").isEmpty() and jobs.count() == sum(s == "accepted" for _, s, _ in got)
     # running a batch again changes nothing
     again = r.where(F.col("t_ms") <= r.agg(F.min("t_ms")).first()[0])
     loop.admit_batch(again, 99, root, chain_cap=4)
-    assert {x.status for x in loop.decisions(spark, root).where(F.col("seq").isin([y.seq for y in again.collect()])).collect()} <= {"accepted", "replay", "parent_not_found", "chain"}
+    assert {x.status for x in loop.decisions(spark, root).where(F.col("seq").isin([y.seq for y in again.collect()])).collect()} <= {"accepted", "replay", "parent_not_found", "chain_quarantine"}
