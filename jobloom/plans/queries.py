@@ -468,6 +468,10 @@ def ancestry_check(spark, sf):
     return admission.resolve_ancestry(_children(spark, sf), _known(spark, sf), max_depth=8).select("seq", "depth", "trace", "rejection")
 
 
+#: So few that every gate of the pipeline refuses some request.
+ADMIT_LIMIT = 2
+
+
 def _asked(spark, sf):
     # every 13th root comes without a lineage; requests are parents under their own ids
     r = _children(spark, sf).withColumn("trace_id", F.when(F.col("seq") % 13 == 0, "").otherwise(F.col("trace_id")))
@@ -477,7 +481,7 @@ def _asked(spark, sf):
 
 def _admitted(spark, sf):
     fresh = F.concat(F.lit("new-"), F.col("seq").cast("string"))
-    return admission.admit(_asked(spark, sf), _known(spark, sf), INGRESS_LIMIT, INGRESS_WINDOW, chain_cap=3, max_depth=8, new_trace=fresh)
+    return admission.admit(_asked(spark, sf), _known(spark, sf), ADMIT_LIMIT, INGRESS_WINDOW, chain_cap=3, max_depth=8, new_trace=fresh)
 
 
 @register()

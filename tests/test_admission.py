@@ -118,7 +118,7 @@ def test_admission_query_matches_a_plain_writer(spark):
     sf = "/root/testdata/sf0.01"
     got = q.admission_pipeline(spark, sf).collect()
     known = {r.id: (r.trace_id, r.execution_depth) for r in q._known(spark, sf).collect()}
-    want = dict(plain_writer(q._asked(spark, sf).collect(), known, q.INGRESS_LIMIT, q.INGRESS_WINDOW, 3, 8))
+    want = dict(plain_writer(q._asked(spark, sf).collect(), known, q.ADMIT_LIMIT, q.INGRESS_WINDOW, 3, 8))
     assert {r.seq: r.status for r in got} == want
     assert set(want.values()) >= {"accepted", "replay", "conflict", "ingress_velocity", "parent_not_found", "inconsistent_depth", "chain_quarantine"}
     kinds = {r.kind: r.n for r in q.rejections_by_kind(spark, sf).collect()}
