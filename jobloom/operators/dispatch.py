@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.operators.limits import blocked_facets
+from jobloom.operators.limits import blocked_facets, small
+
+#: Spans of age in which jobs are ranked, and turns of a rotation that are counted together.
+SLOTS = 4096
+SPAN = 4096
 
 
 def due(now_ms: int) -> Column:
@@ -19,13 +25,31 @@ def runnable(jobs: DataFrame, now_ms: int, rules: DataFrame | None = None, count
     if names:
         out = out.where(F.col("name").isin(names))
     if rules is not None:
-        out = out.join(F.broadcast(blocked_facets(rules, counters, now_ms)), "rate_limit_facet", "left_anti")
+        out = out.join(small(blocked_facets(rules, counters, now_ms)), "rate_limit_facet", "left_anti")
     return out
 
 
 def fifo(jobs: DataFrame) -> DataFrame:
-    """``position`` by priority, age and id."""
-    return jobs.withColumn("position", F.row_number().over(Window.orderBy("priority", "created_at", "id")))
+    """``position`` by priority, age and id.
+
+    Jobs are ranked within their priority and one of ``SLOTS`` spans of age, and placed
+    behind the earlier spans by running counts, of which there are ``SLOTS`` a priority.
+    """
+    ends = jobs.agg(F.min("created_at").alias("lo"), F.max("created_at").alias("hi")).first()
+    lo, width = ends.lo or 0, ((ends.hi or 0) - (ends.lo or 0)) // SLOTS + 1
+    rows = jobs.withColumn("_slot", F.expr(f"(created_at - {lo}L) div {width}L"))
+    rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("priority", "_slot").orderBy("created_at", "id")))
+    rows = _behind(rows, rows, ["priority", "_slot"])
+    return rows.withColumn("position", (F.col("_base") + F.col("_at")).cast("int")).drop("_slot", "_at", "_base")
+
+
+def _behind(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``_base``: how many of ``counted`` have smaller ``keys``; null keys count as the smallest."""
+    counts = counted.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)  # over counts only
+    base = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(base, reduce(lambda a, b: a & b, same)).drop(*(f"_k{i}" for i in range(len(keys))))
 
 
 def claim_next(jobs: DataFrame) -> DataFrame:
@@ -37,7 +61,7 @@ def throttled(jobs: DataFrame, now_ms: int, rules: DataFrame, counters: DataFram
     """Whether any due job is held back by a limit. Without rules the backlog isn't read."""
     if rules.isEmpty():
         return False
-    return not jobs.where(due(now_ms)).join(F.broadcast(blocked_facets(rules, counters, now_ms)), "rate_limit_facet", "left_semi").isEmpty()
+    return not jobs.where(due(now_ms)).join(small(blocked_facets(rules, counters, now_ms)), "rate_limit_facet", "left_semi").isEmpty()
 
 
 def fair(jobs: DataFrame, served: DataFrame | None = None) -> DataFrame:
@@ -63,10 +87,13 @@ def fair(jobs: DataFrame, served: DataFrame | None = None) -> DataFrame:
     turns = heads.groupBy(F.lit(0).alias("_all")).applyInPandas(_turns, "priority int, facet string, turn long")
     rows = rows.join(turns, ["priority", "facet"])
     rows = rows.withColumn("_at", F.row_number().over(Window.partitionBy("priority", "rn").orderBy("turn")))
-    counts = rows.groupBy("priority", "rn").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("priority", "rn").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("priority", "rn", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return rows.join(base, ["priority", "rn"]).withColumn("position", F.col("_base") + F.col("_at")).drop("_at", "_base", "rn", "turn")
+    # turns in spans of SPAN: counts before the span, and before the turn within it
+    rows = rows.withColumn("_span", F.expr(f"rn div {SPAN}"))
+    counts = rows.groupBy("priority", "_span", "rn").agg(F.count("*").alias("_n"))
+    within = Window.partitionBy("priority", "_span").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("priority", "rn", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_in"))
+    rows = _behind(rows, rows, ["priority", "_span"]).join(counts, ["priority", "rn"])
+    return rows.withColumn("position", F.col("_base") + F.col("_in") + F.col("_at")).drop("_at", "_base", "_in", "_span", "rn", "turn")
 
 
 def _turns(heads: pd.DataFrame) -> pd.DataFrame:

@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.sources.paths import cut
+
 MAX_HEIGHT = 10
 MAX_NODES = 1000
 
 
 def depths(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_height: int = MAX_HEIGHT) -> DataFrame:
-    """``depth`` (roots: 0) and ``root`` of every node that a root reaches within ``max_height`` levels."""
-    n = nodes.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
-    level = n.where("parent is null").select("id", F.lit(0).alias("depth"), F.col("id").alias("root"))
-    out = level
-    for d in range(1, max_height + 1):
-        up = level.select(F.col("id").alias("parent"), "root")
-        level = n.join(up, "parent").select("id", F.lit(d).alias("depth"), "root")
-        out = out.unionByName(level)
-    return out
+    """``depth`` (roots: 0) and ``root`` of every node; null where no root is within ``max_height`` levels.
+
+    Every node points at an ancestor and knows how far away it is; a round replaces the
+    ancestor by the one it points at, so rounds grow with the logarithm of the height.
+    """
+    parent = F.col(parent_col)
+    at = nodes.select(F.col(id_col).alias("id"), F.coalesce(parent, F.col(id_col)).alias("root"), F.when(parent.isNull(), 0).otherwise(1).alias("depth"), parent.isNull().alias("done"))
+    for _ in range(max(0, max_height - 1).bit_length() + 1):
+        at = cut(at, "pointers")
+        far = at.select(F.col("id").alias("_id"), F.col("root").alias("_root"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        step = at.where("not done").join(far, F.col("root") == F.col("_id"), "left")
+        step = step.select("id", F.col("_root").alias("root"), (F.col("depth") + F.col("_depth")).alias("depth"), F.coalesce("_done", F.lit(False)).alias("done"))
+        at = at.where("done").unionByName(step)
+    found = F.col("done") & (F.col("depth") <= max_height)
+    return at.select("id", F.when(found, F.col("depth")).alias("depth"), F.when(found, F.col("root")).alias("root"))
 
 
 def lineage(nodes: DataFrame, start: list[str], max_height: int = MAX_HEIGHT) -> DataFrame:
@@ -26,9 +34,12 @@ def lineage(nodes: DataFrame, start: list[str], max_height: int = MAX_HEIGHT) ->
     spark = nodes.sparkSession
     up = nodes.select("id", "parent_id")
     level = spark.createDataFrame([(s,) for s in start], "start string").join(up, F.col("start") == F.col("id")).select("start", F.lit(0).alias("step"), "id", "parent_id")
-    out = level
+    out = level = cut(level, "lineage")
     for d in range(1, max_height + 1):
         level = level.where("parent_id is not null").select("start", F.lit(d).alias("step"), F.col("parent_id").alias("_p")).join(up, F.col("_p") == F.col("id")).select("start", "step", "id", "parent_id")
+        level = cut(level, "lineage")
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.select("start", "step", "id")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.scheduling import backoff_ms, jittered_ms, sat_add
+from jobloom.sources.paths import cut
 
 LEASE_MS = 30_000
 EXPIRED = "Worker lease expired"
@@ -112,7 +113,9 @@ def fail_parents(nodes: DataFrame, failed: DataFrame, max_height: int = 10) -> D
     step = failed.join(tree.select("id", "parent_id", "fail_parent_on_failure"), "id").where("fail_parent_on_failure and parent_id is not null").select(F.col("parent_id").alias("pid"), F.col("id").alias("cause"))
     levels = []
     for _ in range(max_height):  # a tree is no higher
-        hit = step.join(parents, "pid").where(~F.col("pstate").isin("Completed", "Failed")).groupBy("pid", "ppid", "pflag").agg(F.min("cause").alias("cause"))
+        hit = cut(step.join(parents, "pid").where(~F.col("pstate").isin("Completed", "Failed")).groupBy("pid", "ppid", "pflag").agg(F.min("cause").alias("cause")), "cascade")
+        if levels and hit.isEmpty():
+            break
         levels.append(hit.select(F.col("pid").alias("id"), "cause"))
         step = hit.where("pflag and ppid is not null").select(F.col("ppid").alias("pid"), "cause")
     out = levels[0]

@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Narrow rows that may be broadcast.
+BROADCAST_ROWS = 100_000
+
 
 @dataclass
 class SlidingBucket:
@@ -142,6 +145,11 @@ def blocked_facets(rules: DataFrame, counters: DataFrame, now_ms: int) -> DataFr
     return c.where(blocked(now_ms)).select(F.col("facet_pattern").alias("rate_limit_facet"))
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` to be broadcast if they are at most ``BROADCAST_ROWS``, as a look at them shows; others are joined as they come."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def valid_rule(facet: Column, window_ms: Column) -> Column:
     """An exact facet: not blank, no outer white space, no wildcard; and a window over 0."""
     return F.coalesce((F.trim(facet) != "") & (F.trim(facet) == facet) & ~facet.rlike("[*?]") & (window_ms > 0), F.lit(False))

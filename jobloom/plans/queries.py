@@ -126,7 +126,7 @@ def job_detail(spark, sf):
 _DEPTHS = """depths(id, depth, root) AS (SELECT id, 0, id FROM job_all WHERE parent_id IS NULL UNION ALL SELECT j.id, d.depth + 1, d.root FROM depths d JOIN job_all j ON j.parent_id = d.id WHERE d.depth < 12)"""
 
 
-@register(_j("SELECT id, depth, root FROM depths", _DEPTHS))
+@register(_j("SELECT j.id, d.depth, d.root FROM job_all j LEFT JOIN depths d ON d.id = j.id", _DEPTHS))
 def lineage_depth(spark, sf):
     return flows.depths(fx.job_all(spark, sf), max_height=12)
 
@@ -234,19 +234,14 @@ def parent_release(spark, sf):
     _j(
         """SELECT id, min(cause) AS cause, 'failParentOnFailure: child ' || min(cause) || ' failed' AS last_error FROM up GROUP BY id""",
         _WAITING,
-        """f AS (SELECT id FROM wp WHERE k % 1000 = 11),
+        """wf AS (SELECT wp.* REPLACE (CASE WHEN j.state = 'Failed' THEN 'Failed' ELSE wp.state END AS state) FROM wp JOIN job_all j USING (id)),
+f AS (SELECT id FROM job_all WHERE state = 'Failed'),
 up(id, cause, flag, parent_id, step) AS (
-  SELECT p.id, c.id, p.flag, p.parent_id, 1 FROM f JOIN wp c ON c.id = f.id JOIN wp p ON p.id = c.parent_id WHERE c.flag AND p.state NOT IN ('Completed', 'Failed')
-  UNION ALL SELECT p.id, up.cause, p.flag, p.parent_id, step + 1 FROM up JOIN wp p ON p.id = up.parent_id WHERE up.flag AND p.state NOT IN ('Completed', 'Failed') AND step < 10)""",
+  SELECT p.id, c.id, p.flag, p.parent_id, 1 FROM f JOIN wf c ON c.id = f.id JOIN wf p ON p.id = c.parent_id WHERE c.flag AND p.state NOT IN ('Completed', 'Failed')
+  UNION ALL SELECT p.id, up.cause, p.flag, p.parent_id, step + 1 FROM up JOIN wf p ON p.id = up.parent_id WHERE up.flag AND p.state NOT IN ('Completed', 'Failed') AND step < 10)""",
     )
 )
 def fail_parent_cascade(spark, sf):
-    nodes = _waiting_parents(spark, sf)
-    return lifecycle.fail_parents(nodes, nodes.where("k % 1000 = 11").select("id"))
-
-
-@register()
-def fail_parent_cascade_all(spark, sf):
     """Every failed job takes its parents along."""
     failed = fx.job_all(spark, sf).where("state = 'Failed'").select("id")
     nodes = _waiting_parents(spark, sf).join(failed.withColumn("_failed", F.lit(True)), "id", "left").withColumn("state", F.when(F.col("_failed"), "Failed").otherwise(F.col("state"))).drop("_failed")
@@ -348,7 +343,7 @@ _BLOCKED = f"blocked AS (SELECT facet_pattern FROM rules LEFT JOIN counters ON f
 @register(_j(f"SELECT rate_limit_facet, count(*) AS held_back FROM jobs WHERE {DUE} AND rate_limit_facet IN (SELECT facet_pattern FROM blocked) GROUP BY rate_limit_facet", RULES_SQL, _BLOCKED))
 def throttled_facets(spark, sf):
     rules, counters, _ = fx.rate_rules(spark)
-    held = fx.jobs(spark, sf).where(dispatch.due(NOW_MS)).join(F.broadcast(limits.blocked_facets(rules, counters, NOW_MS)), "rate_limit_facet", "left_semi")
+    held = fx.jobs(spark, sf).where(dispatch.due(NOW_MS)).join(limits.small(limits.blocked_facets(rules, counters, NOW_MS)), "rate_limit_facet", "left_semi")
     return held.groupBy("rate_limit_facet").agg(F.count("*").alias("held_back"))
 
 
@@ -364,7 +359,7 @@ def rate_limit_status(spark, sf):
     return limits.fixed_status(rules, counters, NOW_MS)
 
 
-_INGRESS_COUNTERS = "ic AS (SELECT event_type AS facet_key, min(epoch_us(ts) // 1000) AS current_window_start, count(*) FILTER (user_id % 2 = 0) AS current_count, count(*) FILTER (user_id % 2 = 1) AS previous_count FROM events WHERE user_id < 20 GROUP BY event_type)"
+_INGRESS_COUNTERS = "ic AS (SELECT event_type AS facet_key, min(epoch_us(ts) // 1000) AS current_window_start, count(*) FILTER (user_id % 2 = 0) AS current_count, count(*) FILTER (user_id % 2 = 1) AS previous_count FROM events GROUP BY event_type)"
 _STATUS_AT = 1_704_078_000_000
 
 
@@ -376,19 +371,9 @@ e AS (SELECT *, CASE WHEN window_start IS NULL THEN 0 ELSE prev * greatest(0.0::
 SELECT facet_pattern, max_jobs, w AS window_duration_ms, window_start, round(est)::BIGINT AS estimated_count, max_jobs <= 0 OR est >= max_jobs AS throttled FROM e"""
 )
 def ingress_status(spark, sf):
-    return _ingress_status(spark, sf, "user_id < 20")
-
-
-@register()
-def ingress_status_all(spark, sf):
-    """Counters of all events."""
-    return _ingress_status(spark, sf, "true")
-
-
-def _ingress_status(spark, sf, counted):
     e = fx.load(spark, sf, "events")
     odd = F.when(F.col("user_id") % 2 == 1, 1)
-    counters = e.where(counted).groupBy(F.col("event_type").alias("facet_key")).agg(F.min(fx.epoch_ms("ts")).alias("current_window_start"), F.count(F.when(F.col("user_id") % 2 == 0, 1)).alias("current_count"), F.count(odd).alias("previous_count"))
+    counters = e.groupBy(F.col("event_type").alias("facet_key")).agg(F.min(fx.epoch_ms("ts")).alias("current_window_start"), F.count(F.when(F.col("user_id") % 2 == 0, 1)).alias("current_count"), F.count(odd).alias("previous_count"))
     rules = e.select(F.col("event_type").alias("facet_pattern")).distinct().withColumn("max_jobs", F.lit(12).cast("long")).unionByName(spark.createDataFrame([("none", 0)], "facet_pattern string, max_jobs long")).withColumn("window_duration_ms", F.lit(43_200_000).cast("long"))
     return limits.sliding_status(rules, counters, _STATUS_AT)
 
@@ -455,7 +440,7 @@ def _children(spark, sf):
 
 
 def _known(spark, sf):
-    return flows.depths(fx.job_all(spark, sf), max_height=12).select("id", F.concat(F.lit("t-"), "root").alias("trace_id"), F.col("depth").alias("execution_depth"))
+    return flows.depths(fx.job_all(spark, sf), max_height=12).where("depth is not null").select("id", F.concat(F.lit("t-"), "root").alias("trace_id"), F.col("depth").alias("execution_depth"))
 
 
 _CHILDREN = """rc AS (SELECT *, CASE WHEN seq % 5 = 0 THEN NULL WHEN seq % 17 = 1 THEN 'none-' || seq ELSE (seq % 3000)::VARCHAR END AS parent_id, CASE WHEN seq % 4 = 0 THEN 2 ELSE 0 END AS given FROM requests),
@@ -711,11 +696,11 @@ def scheduler_fire(spark, sf):
 
 @register(
     _j(
-        "SELECT coalesce(c.trace_id, n.trace_id) AS trace_id, coalesce(c.job_count, 0) + coalesce(n.n, 0) AS job_count FROM (SELECT trace_id, count(*) AS job_count FROM jobs WHERE k % 2 = 0 GROUP BY trace_id) c FULL JOIN (SELECT 'trace-' || (user_id % 120) AS trace_id, count(*) AS n FROM events GROUP BY ALL) n ON c.trace_id = n.trace_id"
+        "SELECT coalesce(c.trace_id, n.trace_id) AS trace_id, coalesce(c.job_count, 0) + coalesce(n.n, 0) AS job_count FROM (SELECT trace_id, count(*) AS job_count FROM jobs GROUP BY trace_id) c FULL JOIN (SELECT 'trace-' || (user_id % 120) AS trace_id, count(*) AS n FROM events GROUP BY ALL) n ON c.trace_id = n.trace_id"
     )
 )
 def upsert_counters(spark, sf):
-    have = fx.jobs(spark, sf).where("k % 2 = 0").groupBy("trace_id").agg(F.count("*").alias("job_count"))
+    have = fx.jobs(spark, sf).groupBy("trace_id").agg(F.count("*").alias("job_count"))
     new = fx.load(spark, sf, "events").groupBy(F.concat(F.lit("trace-"), (F.col("user_id") % 120).cast("string")).alias("trace_id")).agg(F.count("*").alias("n"))
     changes = new.join(have, "trace_id", "left").select("trace_id", (F.coalesce("job_count", F.lit(0)) + F.col("n")).alias("job_count"))
     return limits.upsert(have, changes, ["trace_id"])
@@ -747,24 +732,14 @@ def flow_validate(spark, sf):
 @register(
     _j(
         """SELECT t.id AS target_id, CASE WHEN j.state IS NULL THEN 'not live' WHEN j.state = 'Active' THEN 'active' WHEN j.depth + 2 > 8 THEN 'too high' WHEN have + 3 > 400 THEN 'too many nodes' END AS error
-FROM (SELECT id FROM job_all WHERE k % 50 = 1) t LEFT JOIN (SELECT jobs.id, state, depth, root FROM jobs JOIN depths USING (id)) j ON t.id = j.id LEFT JOIN (SELECT root, count(*) AS have FROM jobs JOIN depths USING (id) GROUP BY root) h ON h.root = j.root""",
+FROM (SELECT id FROM job_all) t LEFT JOIN (SELECT jobs.id, state, depth, root FROM jobs JOIN depths USING (id)) j ON t.id = j.id LEFT JOIN (SELECT root, count(*) AS have FROM jobs JOIN depths USING (id) GROUP BY root) h ON h.root = j.root""",
         _DEPTHS,
     )
 )
 def flow_merge(spark, sf):
-    return _flow_merge(spark, sf, "k % 50 = 1")
-
-
-@register()
-def flow_merge_all(spark, sf):
-    """Every job as a target."""
-    return _flow_merge(spark, sf, "true")
-
-
-def _flow_merge(spark, sf, wanted):
-    d = flows.depths(fx.job_all(spark, sf), max_height=12)
+    d = flows.depths(fx.job_all(spark, sf), max_height=12).where("depth is not null")
     live = fx.jobs(spark, sf).join(d, "id").select("id", "state", F.col("root").alias("tree_id"), F.col("depth").alias("tree_depth"))
-    targets = fx.job_all(spark, sf).where(wanted).select(F.col("id").alias("target_id"))
+    targets = fx.job_all(spark, sf).select(F.col("id").alias("target_id"))
     added = targets.select("target_id", F.explode(F.array(F.lit(1), F.lit(1), F.lit(2))).alias("rel_depth"))
     return flows.validate_merge(targets, live, added, max_height=8, max_nodes=400)
 

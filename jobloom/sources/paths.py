@@ -6,15 +6,18 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the session's ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """A new path below the session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="jobloom-")
     path = f"{root.rstrip('/')}/jobloom/{name}-{uuid.uuid4().hex}"
     if not _MADE:
@@ -23,6 +26,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear() -> None:
     """Delete all paths handed out; results that still read them become invalid."""
     while _MADE:

@@ -257,7 +257,7 @@ def test_whole_merge_status_and_cascade(spark, sf):
     for i in jobs:
         r = jobs[i]
         want[i] = "not live" if i not in live else "active" if r.state == "Active" else "too high" if len(ways[i]) + 1 > 8 else "too many nodes" if have[ways[i][-1]] + 3 > 400 else None
-    assert {r.target_id: r.error for r in q.flow_merge_all(spark, sf).collect()} == want
+    assert {r.target_id: r.error for r in q.flow_merge(spark, sf).collect()} == want
 
     state = {i: "Failed" if r.state == "Failed" else "Completed" if r.k % 5 == 0 else "Waiting" for i, r in jobs.items()}
     cause = {}
@@ -265,11 +265,11 @@ def test_whole_merge_status_and_cascade(spark, sf):
         at = i
         while jobs[at].k % 3 and (up := jobs[at].parent_id) in jobs and state[up] == "Waiting":
             cause[up], at = min(cause.get(up, i), i), up
-    assert cause and {r.id: r.cause for r in q.fail_parent_cascade_all(spark, sf).collect()} == cause
+    assert cause and {r.id: r.cause for r in q.fail_parent_cascade(spark, sf).collect()} == cause
 
     events = fx.load(spark, sf, "events").select("event_type", "user_id", fx.epoch_ms("ts").alias("ms")).collect()
     now, w = 1_704_078_000_000, 43_200_000
-    got = {r.facet_pattern: r for r in q.ingress_status_all(spark, sf).collect()}
+    got = {r.facet_pattern: r for r in q.ingress_status(spark, sf).collect()}
     assert got.keys() == {e.event_type for e in events} | {"none"}
     for f in got.keys() - {"none"}:
         own = [e for e in events if e.event_type == f]

@@ -44,3 +44,27 @@ def test_aggregates_combine_before_they_shuffle(spark, sf):
 def test_blocked_facets_read_rules_only(spark):
     rules, counters, _ = fx.rate_rules(spark)
     assert limits.blocked_facets(rules, counters, NOW_MS).columns == ["rate_limit_facet"]
+
+
+def test_trees_join_once_a_round(spark, sf):
+    """Pointers double, and each round reads what the one before has written."""
+    assert plan(q.lineage_depth(spark, sf)).count("Join") <= 3
+    assert plan(q.fail_parent_cascade(spark, sf)).count("Join") == 0
+
+
+def test_orders_of_dispatch_are_ranked_in_parallel(spark, sf):
+    for name in ("dispatch_fifo", "dispatch_fair"):
+        lines = plan(q.QUERIES[name](spark, sf)).splitlines()
+        for i, line in enumerate(lines):
+            if "SinglePartition" in line:  # only aggregated counts and heads come together
+                assert any("HashAggregate" in x or "SortAggregate" in x or "Project" in x or "Window" in x for x in lines[i + 1 : i + 3]), name
+        assert "CartesianProduct" not in "".join(lines)
+
+
+def test_nodes_out_of_reach_have_no_depth(spark):
+    from jobloom.operators import flows
+
+    chain = [("a", None)] + [(f"c{i}", f"c{i - 1}" if i else "a") for i in range(6)]
+    rows = spark.createDataFrame([*chain, ("lost", "nowhere"), ("x", "y"), ("y", "x")], "id string, parent_id string")
+    got = {r.id: (r.depth, r.root) for r in flows.depths(rows, max_height=4).collect()}
+    assert got == {"a": (0, "a"), **{f"c{i}": (i + 1, "a") if i < 4 else (None, None) for i in range(6)}, "lost": (None, None), "x": (None, None), "y": (None, None)}

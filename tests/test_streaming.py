@@ -36,10 +36,10 @@ def test_state_lives_from_batch_to_batch(spark, sf, tmp_path):
 def test_loop_decides_as_one_batch_does(spark, sf, tmp_path):
     r, stream = parts(spark, sf, f"file://{tmp_path}")
     root = f"file://{tmp_path}/loop"
-    loop.run(stream, root, chain_cap=4, limit=q.INGRESS_LIMIT, window_ms=q.INGRESS_WINDOW)
+    loop.run(stream, root, chain_cap=4, limit=1, window_ms=q.INGRESS_WINDOW)
     got = {(x.seq, x.status, x.depth) for x in loop.decisions(spark, root).collect()}
     known = spark.createDataFrame([], "id string, trace_id string, execution_depth int")
-    whole = admission.admit(r.withColumn("id", F.col("seq").cast("string")), known, q.INGRESS_LIMIT, q.INGRESS_WINDOW, 4)
+    whole = admission.admit(r.withColumn("id", F.col("seq").cast("string")), known, 1, q.INGRESS_WINDOW, 4)
     assert got == {(x.seq, x.status, x.depth) for x in whole.collect()}
     assert {s for _, s, _ in got} >= {"accepted", "conflict", "parent_not_found", "ingress_velocity"}
     jobs = spark.read.parquet(f"{root}/jobs")
