@@ -38,7 +38,7 @@ from jobloom.llm.common import map_arrow, stage
 QUERY_ROWS = 4096
 BLOCK_ROWS = 8192
 #: Depths of the steps, as shares of the lists.
-DEPTHS = (1 / 32, 1 / 4, 1 / 2, 11 / 16, 13 / 16, 7 / 8, 15 / 16, 1)
+DEPTHS = (1 / 2, 3 / 4, 7 / 8, 15 / 16, 1)
 #: Reading stops when so many times k candidates are left.
 CONTENDERS = 4
 
@@ -160,8 +160,9 @@ class Lists:
         depth = 0
         for share in DEPTHS:
             to = max(depth + 1, int(n * share))
-            at = np.where(falling, order[n - to : n - depth], order[depth:to])
-            add = np.where(falling, values[n - to : n - depth], values[depth:to]) * q
+            at, add = order[depth:to].copy(), values[depth:to].copy()
+            at[:, falling], add[:, falling] = order[n - to : n - depth, falling], values[n - to : n - depth, falling]
+            add *= q
             if len(left) < n // 2:
                 still = np.nonzero(alive[at])
                 at, add, to_dims = at[still], add[still], still[1]
