@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.operators.limits import blocked_facets, small
+from jobloom.operators.limits import blocked_facets, small, upsert
 
 #: Spans of age in which jobs are ranked, and turns of a rotation that are counted together.
 SLOTS = 4096
@@ -57,6 +57,45 @@ def claim_next(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy("priority", "created_at", "id").limit(1)
 
 
+def within_limits(jobs: DataFrame, now_ms: int, rules: DataFrame, counters: DataFrame) -> DataFrame:
+    """Of runnable jobs, those that claims at this instant can reach before their facet's window is full.
+
+    A facet's jobs are claimed in the order of the queue, so what its window still
+    allows is a prefix of them. Facets without a rule are left as they are.
+    """
+    c = rules.join(counters, rules["facet_pattern"] == counters["facet_key"], "left")
+    used = F.when(F.coalesce(F.col("window_expires_at") > now_ms, F.lit(False)), F.col("current_count")).otherwise(0)
+    room = small(c.select(F.col("facet_pattern").alias("rate_limit_facet"), F.greatest(F.col("max_jobs") - used, F.lit(0)).alias("_room")))
+    out = jobs.join(room, "rate_limit_facet", "left")
+    ruled = out.where(F.col("_room").isNotNull())
+    w = Window.partitionBy("rate_limit_facet").orderBy("priority", "created_at", "id")
+    ruled = ruled.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= F.col("_room")).drop("_nth")
+    return out.where(F.col("_room").isNull()).unionByName(ruled).drop("_room")
+
+
+def claim_batch(jobs: DataFrame, now_ms: int, n: int, rules: DataFrame, counters: DataFrame, served: DataFrame | None = None, rotate: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``n`` polls at one instant claim: (id, position), the counters after, and the facets' turns after.
+
+    A claim counts in its facet's window, which opens with it where none is live, and
+    gives its facet the latest turn. A job that polls can't reach for a limit is passed over.
+    """
+    open_ = within_limits(runnable(jobs, now_ms), now_ms, rules, counters)
+    placed = fair(open_, served) if rotate else fifo(open_).withColumn("facet", F.coalesce("rate_limit_facet", F.lit("")))
+    taken = placed.where(F.col("position") <= n).select("id", "facet", "position")
+    per = taken.groupBy("facet").agg(F.count("*").alias("_n"), F.max("position").alias("_last"))
+    ruled = rules.join(per, rules["facet_pattern"] == per["facet"]).drop("facet").join(counters, F.col("facet_pattern") == F.col("facet_key"), "left")
+    live = F.coalesce(F.col("window_expires_at") > now_ms, F.lit(False))
+    used = ruled.select(
+        F.col("facet_pattern").alias("facet_key"),
+        (F.when(live, F.col("current_count")).otherwise(0) + F.col("_n")).alias("current_count"),
+        F.when(live, F.col("window_expires_at")).otherwise(F.lit(now_ms) + F.col("window_duration_ms")).alias("window_expires_at"),
+    )
+    had = served if served is not None else jobs.sparkSession.createDataFrame([], "facet_key string, last_served_seq long, last_served_at long")
+    latest = had.agg(F.coalesce(F.max("last_served_seq"), F.lit(0)).alias("_seq"))  # one row
+    turns = per.join(F.broadcast(latest)).select(F.col("facet").alias("facet_key"), (F.col("_seq") + F.col("_last")).alias("last_served_seq"), F.lit(now_ms).alias("last_served_at"))
+    return taken.select("id", "position"), upsert(counters, used, ["facet_key"]), upsert(had, turns, ["facet_key"])
+
+
 def throttled(jobs: DataFrame, now_ms: int, rules: DataFrame, counters: DataFrame) -> bool:
     """Whether any due job is held back by a limit. Without rules the backlog isn't read."""
     if rules.isEmpty():

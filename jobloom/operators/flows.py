@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.schemas import conform
 from jobloom.sources.paths import cut
 
 MAX_HEIGHT = 10
@@ -85,12 +86,74 @@ def validate_flows(nodes: DataFrame, receipts: DataFrame | None = None, max_heig
 def validate_merge(targets: DataFrame, jobs: DataFrame, added: DataFrame, max_height: int = MAX_HEIGHT, max_nodes: int = MAX_NODES) -> DataFrame:
     """(target_id, error) for subtrees (target_id, rel_depth of each node; direct children: 1) added to live jobs."""
     per = added.groupBy("target_id").agg(F.max("rel_depth").alias("_h"), F.count("*").alias("_new"))
-    live = jobs.groupBy("tree_id").agg(F.count("*").alias("_have"))
-    t = targets.join(jobs.select(F.col("id").alias("target_id"), "state", "tree_id", "tree_depth"), "target_id", "left").join(live, "tree_id", "left").join(per, "target_id", "left")
+    tree = F.coalesce("tree_id", "id").alias("tree_id")  # a job of its own is the root of a tree to come
+    live = jobs.groupBy(tree).agg(F.count("*").alias("_have"))
+    t = targets.join(jobs.select(F.col("id").alias("target_id"), "state", tree, "tree_depth"), "target_id", "left").join(live, "tree_id", "left").join(per, "target_id", "left")
     error = F.when(F.col("state").isNull(), "not live").when(F.col("state") == "Active", "active").when(F.col("tree_depth") + F.col("_h") > max_height, "too high").when(F.col("_have") + F.col("_new") > max_nodes, "too many nodes")
     return t.select("target_id", error.alias("error"))
 
 
+def insert(nodes: DataFrame, receipts: DataFrame, now_ms: int, whole: bool = False, max_height: int = MAX_HEIGHT, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, receipts, verdicts) of new trees; refused ones make nothing, with ``whole`` no tree does if any is refused.
+
+    ``nodes`` has flow_no, node_no, parent_node_no, id, name, idempotency_key, delay_ms and
+    what else a job holds. The root's id is the tree and the lineage of all its nodes.
+    """
+    verdicts = cut(validate_flows(nodes, receipts, max_height, max_nodes), "flows")
+    good = nodes.join(verdicts.where("error is null"), "flow_no", "left_semi")
+    if whole and not verdicts.where("error is not null").isEmpty():
+        good = good.limit(0)
+    up = good.select("flow_no", F.col("node_no").alias("parent_node_no"), F.col("id").alias("parent_id"))
+    placed = initial_states(good, now_ms).join(up, ["flow_no", "parent_node_no"], "left")
+    reach = depths(placed.select("id", "parent_id"), max_height=max_height).select("id", F.col("root").alias("tree_id"), F.col("depth").alias("tree_depth"))
+    made = placed.join(reach, "id")
+    return _jobs(made, now_ms), _receipts(made, now_ms), verdicts
+
+
+def _jobs(made: DataFrame, now_ms: int) -> DataFrame:
+    own = made.withColumns({"trace_id": F.col("tree_id"), "execution_depth": F.col("tree_depth"), "created_at": F.lit(now_ms), "updated_at": F.lit(now_ms)})
+    if "rate_limit_facet" in own.columns:
+        own = own.withColumn("rate_limit_facet", F.nullif("rate_limit_facet", F.lit("")))
+    return conform(own, "jobs")
+
+
+def _receipts(made: DataFrame, now_ms: int) -> DataFrame:
+    keyed = made.where(F.coalesce("idempotency_key", F.lit("")) != "")
+    return conform(keyed.select(F.col("name").alias("queue_name"), "idempotency_key", F.col("id").alias("job_id"), F.col("state").alias("initial_state"), F.lit(now_ms).alias("created_at")), "enqueue_receipts")
+
+
+def merge(jobs: DataFrame, receipts: DataFrame, added: DataFrame, now_ms: int, max_height: int = MAX_HEIGHT, max_nodes: int = MAX_NODES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, receipts, verdicts) after subtrees are attached to the jobs that receipts name.
+
+    ``added`` has target_name, target_key, node_no, parent_node_no (null: a child of the
+    target), id, name, idempotency_key, delay_ms. A target that could run waits for its
+    children again; one that waits already waits for more. A refused subtree changes nothing.
+    """
+    key = ["target_name", "target_key"]
+    known = receipts.select(F.col("queue_name").alias("target_name"), F.col("idempotency_key").alias("target_key"), F.col("job_id").alias("target_id"))
+    added = cut(added.join(known, key, "left").withColumn("flow_no", F.concat_ws("\x00", *key)), "merge")
+    up = added.select("flow_no", F.col("node_no").alias("parent_node_no"), F.col("id").alias("parent_id"))
+    rows = initial_states(added, now_ms).join(up, ["flow_no", "parent_node_no"], "left")
+    reach = depths(rows.select("id", "parent_id"), max_height=max_height).select("id", F.col("depth").alias("_below"))
+    rows = cut(rows.join(reach, "id"), "merge")
+    shape = rows.select("target_id", F.coalesce(F.col("_below") + 1, F.lit(max_height + 1)).alias("rel_depth"))
+    fits = validate_merge(added.select("target_id").where("target_id is not null").distinct(), jobs, shape, max_height, max_nodes)
+    keys = validate_flows(added, receipts, max_height, max_nodes).select("flow_no", F.col("error").alias("_keys"))
+    verdicts = added.select("flow_no", *key, "target_id").distinct().join(fits, "target_id", "left").join(keys, "flow_no")
+    verdicts = cut(verdicts.select("flow_no", *key, "target_id", F.when(F.col("target_id").isNull(), "not found").otherwise(F.coalesce("error", "_keys")).alias("error")), "merge")
+    good = rows.join(verdicts.where("error is null"), "flow_no", "left_semi")
+    place = jobs.select(F.col("id").alias("target_id"), F.coalesce("tree_id", "id").alias("tree_id"), F.col("tree_depth").alias("_at"))
+    made = good.join(place, "target_id").withColumns({"tree_depth": (F.col("_at") + F.col("_below") + 1).cast("int"), "parent_id": F.coalesce("parent_id", "target_id")})
+    more = good.where("parent_node_no is null").groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("_more"))
+    hit = F.col("_more").isNotNull()
+    gated = jobs.join(more, "id", "left").withColumns({
+        "pending_children": (F.col("pending_children") + F.coalesce("_more", F.lit(0))).cast("int"),
+        "state": F.when(hit, "WaitingChildren").otherwise(F.col("state")),
+        "tree_id": F.when(hit, F.coalesce("tree_id", "id")).otherwise(F.col("tree_id")),
+    }).select(*jobs.columns)
+    return gated.unionByName(_jobs(made, now_ms), allowMissingColumns=True), receipts.unionByName(_receipts(made, now_ms), allowMissingColumns=True), verdicts.select(*key, "target_id", "error")
+
+
 def fan_out_keys(parents: DataFrame) -> DataFrame:
     """One row for each child name in ``children``, with its default key parent:child:index."""
     out = parents.select("parent_id", F.posexplode("children").alias("index", "child"))

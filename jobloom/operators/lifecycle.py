@@ -122,3 +122,36 @@ def fail_parents(nodes: DataFrame, failed: DataFrame, max_height: int = 10) -> D
     for x in levels[1:]:
         out = out.unionByName(x)
     return out.groupBy("id").agg(F.min("cause").alias("cause")).withColumn("last_error", F.concat(F.lit("failParentOnFailure: child "), F.col("cause"), F.lit(" failed")))
+
+
+def finish(jobs: DataFrame, history: DataFrame, receipts: DataFrame, calls: DataFrame, now_ms: int, draw=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, history, receipts) after a batch of completions and failures, as one transition.
+
+    ``calls`` has id, worker_id, attempt, failed, retryable, error and result; those that
+    hold no claim change nothing. A failure with attempts left goes back to the queue
+    without owner and lease. What ends goes to history and frees its receipt; a
+    completed child counts down its parent, a flagged failed one takes it along.
+    """
+    held = current_claim(jobs, calls, now_ms).where("held").select("id", "failed", "retryable", "error", F.col("result").alias("_result"))
+    own = cut(jobs.join(held, "id"), "finish")
+    bad = cut(retry(own.where("failed"), now_ms, draw, ~F.coalesce("retryable", F.lit(True))), "finish")
+    again = bad.where("state <> 'Failed'").select("id", F.col("state").alias("_state"), F.col("available_at").alias("_at"), F.col("error").alias("_error"))
+    lost = bad.where("state = 'Failed'")
+    done = own.where("not failed")
+    parents = cut(fail_parents(jobs, lost.select("id")), "finish")
+    ended = done.select("id", F.lit("Completed").alias("state"), F.coalesce("error", "last_error").alias("last_error"), F.col("_result").alias("result"))
+    ended = ended.unionByName(lost.select("id", F.lit("Failed").alias("state"), F.coalesce("error", "last_error").alias("last_error"), F.col("_result").alias("result")))
+    ended = ended.unionByName(parents.select("id", F.lit("Failed").alias("state"), "last_error", F.lit(None).cast("binary").alias("result")))
+    ended = cut(ended.withColumn("finished_at", F.lit(now_ms)), "finish")
+    hit = F.col("_state").isNotNull()
+    queued = jobs.join(again, "id", "left").withColumns({
+        "state": F.coalesce("_state", "state"),
+        "available_at": F.when(hit, F.col("_at")).otherwise(F.col("available_at")),
+        "last_error": F.when(hit, F.col("_error")).otherwise(F.col("last_error")),
+        "worker_id": F.when(~hit, F.col("worker_id")),
+        "lease_expires_at_ms": F.when(~hit, F.col("lease_expires_at_ms")),
+    }).select(*jobs.columns)
+    live, past = archive(queued, history, ended)
+    freed = parent_release(live, done, now_ms)
+    live = live.join(freed.select("id"), "id", "left_anti").unionByName(freed)
+    return live, past, release_receipts(receipts, ended)

@@ -12,6 +12,8 @@ from jobloom.operators.lifecycle import expired
 #: Upper bounds of the buckets, in ms and in microseconds.
 DELAY_BOUNDS = (1, 10, 100, 500, 1_000, 5_000, 15_000, 60_000, 300_000, 3_600_000)
 RPC_BOUNDS = (1_000, 5_000, 10_000, 50_000, 100_000, 1_000_000, 5_000_000)
+#: The events that are counted over all queues.
+EVENTS = ("enqueued", "claimed", "completed", "failed", "retried", "lease_expired")
 KINDS = ("waiting", "delayed", "active", "due", "unscheduled", "expired_leases")
 
 
@@ -77,6 +79,49 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("name", "event").agg(F.count("*").alias("n"))
 
 
+def transitions(log: DataFrame) -> DataFrame:
+    """The events that committed transitions count, as (name, event, everywhere, named).
+
+    ``log`` has (name, event, retried): ``failed`` is an accepted failure, ``lease_expired``
+    a recovered job; either may be retried. All of them count ``everywhere``, with a
+    ``retried`` beside them; by name, only a terminal one is ``failed``, a retried one is
+    ``retried``, and an expired lease has no series of its own.
+    """
+    again = F.coalesce(F.col("retried"), F.lit(False))
+    ended = F.col("event").isin("failed", "lease_expired")
+    own = F.struct(F.col("event").alias("event"), F.lit(True).alias("everywhere"), (F.col("event") != "lease_expired") & ~(ended & again))
+    retry = F.struct(F.lit("retried").alias("event"), F.lit(True).alias("everywhere"), F.lit(True))
+    final = F.struct(F.lit("failed").alias("event"), F.lit(False).alias("everywhere"), F.lit(True))
+    cells = F.when(ended & again, F.array(own, retry)).when(F.col("event") == "lease_expired", F.array(own, final)).otherwise(F.array(own))
+    kind = "array<struct<event:string,everywhere:boolean,named:boolean>>"
+    return log.select("name", F.explode(cells.cast(kind)).alias("c")).select("name", "c.*")
+
+
+def transition_counts(log: DataFrame, preset: tuple[str, ...] = EVENTS) -> DataFrame:
+    """(name, event, n): the counters over all queues (name null), zeros included, and those by name."""
+    t = transitions(log)
+    every = log.sparkSession.range(1).select(F.explode(F.array(*(F.lit(e) for e in preset))).alias("event"))
+    total = every.join(t.where("everywhere").groupBy("event").agg(F.count("*").alias("n")), "event", "left")
+    total = total.select(F.lit(None).cast("string").alias("name"), "event", F.coalesce("n", F.lit(0)).alias("n"))
+    return total.unionByName(t.where("named").groupBy("name", "event").agg(F.count("*").alias("n")))
+
+
+def histogram_lines(cells: DataFrame, metric: str, label: str, unit: float = 1e6) -> DataFrame:
+    """Lines of a ``histogram``: buckets with bounds in seconds, count and sum, by one label."""
+    own = F.concat(F.lit(f'{label}="'), escape_label(F.col(label)), F.lit('"'))
+    bound = F.coalesce(_number(F.col("le") / unit), F.lit("+Inf"))
+    bucket = cells.select(F.concat(F.lit(f"{metric}_bucket{{"), own, F.lit(',le="'), bound, F.lit('"} '), F.col("n").cast("string")).alias("line"))
+    whole = cells.where("le is null")
+    count = whole.select(F.concat(F.lit(f"{metric}_count{{"), own, F.lit("} "), F.col("count").cast("string")).alias("line"))
+    total = whole.select(F.concat(F.lit(f"{metric}_sum{{"), own, F.lit("} "), _number(F.round("total", 6))).alias("line"))
+    return bucket.unionByName(count).unionByName(total)
+
+
+def _number(value: Column) -> Column:
+    """A decimal without a trailing ``.0`` and without an exponent."""
+    return F.regexp_replace(F.regexp_replace(value.cast("decimal(30, 6)").cast("string"), "0+$", ""), "\\.$", "")
+
+
 def bounded_names(events: DataFrame, cap: int, preset: tuple[str, ...] = (), order: str = "ts", name: str = "name") -> DataFrame:
     """Named series up to a cap: preset names first, then names as they appear; others are counted as dropped.
 
@@ -97,3 +142,22 @@ def exposition(samples: DataFrame, metric: str, labels: list[str], value: str =
     top = samples.sparkSession.createDataFrame([(f"# TYPE {metric} {kind}",)], "line string")
     return top.unionByName(body)
 
+
+#: The series that a client shows, their kinds and where their values come from.
+CLIENT_SERIES = {
+    "jobs_processed_total": ("counter", "processed"),
+    "jobs_failed_total": ("counter", "failed"),
+    "jobs_retried_total": ("counter", "retried"),
+    "poll_failures_total": ("counter", "poll_failures"),
+    "reconnects_total": ("counter", "reconnects"),
+    "jobs_active": ("gauge", "active"),
+    "connection_up": ("gauge", "connection_up"),
+}
+
+
+def client_lines(clients: DataFrame, prefix: str, labels: list[str]) -> DataFrame:
+    """(series, kind, line) of every client, its labels in the given order; without labels, bare names."""
+    pairs = [F.concat(F.lit(f'{c}="'), escape_label(F.coalesce(F.col(c), F.lit(""))), F.lit('"')) for c in labels]
+    tags = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if labels else F.lit("")
+    cells = F.array(*(F.struct(F.lit(s).alias("series"), F.lit(kind).alias("kind"), F.concat(F.lit(prefix + s), tags, F.lit(" "), F.col(c).cast("string")).alias("line")) for s, (kind, c) in CLIENT_SERIES.items()))
+    return clients.select(F.explode(cells).alias("c")).select("c.*")

@@ -15,6 +15,9 @@ KEEP_PER_NAME = 1000
 RECEIPT_AGE_MS = 7 * 24 * 3_600_000
 BATCH = 1000
 LEASE_MS = 30_000
+#: Labels of the deletion counters.
+TARGETS = ("completed", "failed", "receipt")
+REASONS = ("age", "count", "orphan")
 
 
 def effective_age(age_ms: int) -> int:
@@ -69,3 +72,35 @@ def sweep(history: DataFrame, live: DataFrame, receipt_table: DataFrame, now_ms:
             history = history.join(gone.select("id"), "id", "left_anti")
             deleted = gone if deleted is None else deleted.unionByName(gone)
     return deleted, receipts(receipt_table, live, history, now_ms, receipt_age_ms, batch)
+
+
+def full_sweep(history: DataFrame, live: DataFrame, receipt_table: DataFrame, chains: DataFrame, turns: DataFrame, refused: DataFrame, now_ms: int, age_ms: int = HISTORY_AGE_MS, keep: int = KEEP_PER_NAME, receipt_age_ms: int = RECEIPT_AGE_MS, turn_age_ms: int = 60_000, batch: int = BATCH) -> dict[str, DataFrame]:
+    """What each of the eight dimensions deletes, in their order: both states by age, both by count, receipts, chains, turns, refusals."""
+    gone, orphans = sweep(history, live, receipt_table, now_ms, age_ms, keep, receipt_age_ms, batch)
+    out = {f"{state.lower()}_{reason}": gone.where((F.col("state") == state) & (F.col("reason") == reason)) for reason in ("age", "count") for state in ("Completed", "Failed")}
+    return out | {
+        "receipts": orphans,
+        "chain_counters": chain_counters(chains, now_ms, age_ms, batch),
+        "facet_dispatch": facet_dispatch(turns, live, now_ms, turn_age_ms, batch),
+        "rejections": rejections(refused, now_ms, age_ms, batch),
+    }
+
+
+def swept(dimensions: dict[str, DataFrame]) -> DataFrame:
+    """(dimension, deleted) of a full sweep, zeros included."""
+    out = None
+    for name, rows in dimensions.items():
+        n = rows.agg(F.count("*").alias("deleted")).select(F.lit(name).alias("dimension"), "deleted")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+def deleted_matrix(dimensions: DataFrame) -> DataFrame:
+    """(target, reason, deleted) for every target and reason of the counters, from (dimension, deleted).
+
+    Receipts go as orphans; what can't happen stays 0.
+    """
+    split = {"completed_age": ("completed", "age"), "failed_age": ("failed", "age"), "completed_count": ("completed", "count"), "failed_count": ("failed", "count"), "receipts": ("receipt", "orphan")}
+    cells = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.lit(r).alias("reason"), F.lit(next((d for d, x in split.items() if x == (t, r)), None)).alias("dimension")) for t in TARGETS for r in REASONS)))
+    every = dimensions.sparkSession.range(1).select(cells.alias("c")).select("c.*")
+    return every.join(dimensions, "dimension", "left").select("target", "reason", F.coalesce("deleted", F.lit(0)).alias("deleted"))

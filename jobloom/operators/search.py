@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.text import contains_ci, match_terms
+from jobloom.functions.text import blob_view, contains_ci, match_terms
 from jobloom.schemas import live_and_history
 
 LIMIT, MOST = 100, 1000
-FAILURE_COLUMNS = ["id", "name", "attempts", "finished_at", "last_error", "trace_id"]
-SEARCH_COLUMNS = ["id", "name", "state", "attempts", "finished_at", "last_error", "trace_id"]
+FAILURE_COLUMNS = ["id", "name", "attempts", "finished_at", "last_error", "trace_id", "execution_depth"]
+SEARCH_COLUMNS = ["id", "name", "state", "attempts", "created_at", "finished_at", "last_error", "trace_id", "execution_depth"]
+#: A job's own columns in its detail; ``source`` and both blobs with their encodings come on top.
+DETAIL_COLUMNS = ["id", "name", "state", "priority", "attempts", "max_attempts", "created_at", "finished_at", "parent_id", "trace_id", "execution_depth", "rate_limit_facet", "last_error", "worker_id", "lease_expires_at_ms", "available_at"]
+SCHEDULER_COLUMNS = ["id", "job_name", "payload", "cron", "timezone", "produced_count", "next_run_at", "last_job_id", "priority", "max_attempts", "retry_backoff_ms", "retry_backoff_max_ms", "retry_jitter", "rate_limit_facet", "created_at", "updated_at"]
 LIKE_COLUMNS = ["id", "name", "trace_id", "last_error"]
 TEXT_COLUMNS = ["name", "trace_id", "last_error"]
 
@@ -58,15 +61,32 @@ def search(history: DataFrame, q: str | None = None, name: str | None = None, st
 
 
 def job_detail(jobs: DataFrame, history: DataFrame, job_id: str) -> DataFrame:
-    """The job from the live table, else from history. Live rows show no end, error or result."""
+    """The job from the live table (``source`` live), else from history.
+
+    Live rows show no end, error or result; rows of history no lease and no due time.
+    ``payload`` and ``result`` are JSON text where their bytes hold that, else base64, as
+    their encoding says; a missing blob has neither. An unknown id gives no row.
+    """
     if not job_id.strip():
         raise ValueError("a job id must be given")
-    live = jobs.where(F.col("id") == job_id)
-    for c in ("finished_at", "last_error", "result"):
-        if c in live.columns:
-            live = live.withColumn(c, F.lit(None).cast(live.schema[c].dataType))
-    both = live_and_history(live, history.where(F.col("id") == job_id))
-    return both.orderBy(F.when(F.col("source") == "jobs", 0).otherwise(1)).limit(1)
+    live, past = (_hide(t.where(F.col("id") == job_id), c) for t, c in ((jobs, ("finished_at", "last_error", "result")), (history, ("lease_expires_at_ms", "available_at"))))
+    both = live_and_history(live, past)
+    for blob in ("payload", "result"):
+        if blob in both.columns:
+            text, encoding = blob_view(F.col(blob))
+            both = both.withColumns({f"{blob}_encoding": encoding, blob: text})
+    wanted = [*DETAIL_COLUMNS, "source", "payload", "payload_encoding", "result", "result_encoding"]
+    return both.orderBy(F.desc("source")).limit(1).select(*[c for c in wanted if c in both.columns])
+
+
+def _hide(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in cols if c in df.columns})
+
+
+def scheduler_list(table: DataFrame, scheduler_id: str | None = None) -> DataFrame:
+    """All schedulers by id, or the one asked for."""
+    own = _where(table, _equal(id=scheduler_id))
+    return own.orderBy("id").select(*[c for c in SCHEDULER_COLUMNS if c in table.columns])
 
 
 def lineage_view(history: DataFrame, trace_id: str, depths: DataFrame, limit: int | None = None) -> DataFrame:

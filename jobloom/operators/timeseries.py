@@ -56,7 +56,7 @@ def deriv(samples: DataFrame, by: list[str], window_ms: int) -> DataFrame:
     return samples.withColumn("deriv", F.regr_slope("value", F.col("ts") / 1000.0).over(w))
 
 
-def alert(evaluations: DataFrame, holds: Column, for_ms: int, by: list[str]) -> DataFrame:
+def alert(evaluations: DataFrame, holds: Column, for_ms: int | Column, by: list[str]) -> DataFrame:
     """``firing``: the predicate has held without a break for ``for_ms`` up to this evaluation."""
     w = Window.partitionBy(*by).orderBy("ts")
     e = evaluations.withColumn("_holds", F.coalesce(holds, F.lit(False)))
@@ -65,6 +65,36 @@ def alert(evaluations: DataFrame, holds: Column, for_ms: int, by: list[str]) ->
     return e.withColumn("firing", F.col("_holds") & (F.col("ts") - since >= for_ms)).drop("_holds", "_breaks")
 
 
+#: How old a pressure sample may be, and the shipped rules' thresholds and durations.
+SAMPLE_AGE_S = 30
+DUE_AGE_S, GROWTH_PER_S = 60, 1
+MINUTE_MS = 60_000
+RULES_FOR_MS = {"sample_stale": MINUTE_MS, "due_aging": 5 * MINUTE_MS, "backlog_growing": 10 * MINUTE_MS, "expired_claims": 2 * MINUTE_MS, "recovery_errors": 0}
+
+
+def pressure_alerts(evaluations: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ts, alert) of the alerts that fire.
+
+    ``evaluations`` has, by labels and ``ts``: ``sample_ts`` of the newest pressure sample,
+    ``oldest_due_age_s``, ``due``, ``expired_leases`` and the counter ``recovery_errors``. But
+    for the first and the last, a rule holds only while the sample is fresh.
+    """
+    age = F.col("ts") / 1000 - F.col("sample_ts") / 1000
+    is_fresh = age < SAMPLE_AGE_S
+    e = deriv(evaluations.withColumn("value", F.col("due").cast("double")), by, 10 * MINUTE_MS)
+    e = increase(e.withColumn("value", F.col("recovery_errors").cast("double")), by, 5 * MINUTE_MS)
+    holds = {
+        "sample_stale": age > SAMPLE_AGE_S,
+        "due_aging": (F.col("oldest_due_age_s") > DUE_AGE_S) & is_fresh,
+        "backlog_growing": (F.col("deriv") > GROWTH_PER_S) & is_fresh,
+        "expired_claims": (F.col("expired_leases") > 0) & is_fresh,
+        "recovery_errors": F.col("increase") > 0,
+    }
+    cells = F.explode(F.array(*(F.struct(F.lit(n).alias("alert"), F.lit(RULES_FOR_MS[n]).alias("for_ms"), h.alias("holds")) for n, h in holds.items())))
+    rows = e.select(*by, "ts", cells.alias("c")).select(*by, "ts", "c.*")
+    return alert(rows, F.col("holds"), F.col("for_ms"), [*by, "alert"]).where("firing").select(*by, "ts", "alert")
+
+
 def fresh(evaluations: DataFrame, samples: DataFrame, by: list[str], max_age_ms: int) -> DataFrame:
     """Evaluations whose labels have a sample no older than ``max_age_ms``."""
     s = samples.select(*by, F.col("ts").alias("_s"))

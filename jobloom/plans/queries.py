@@ -67,23 +67,27 @@ def backlog_pressure_allowlist(spark, sf):
 
 # ---- feeds and search
 
-_FAIL = "id, name, attempts, finished_at, last_error, trace_id"
-_SEARCH = "id, name, state, attempts, finished_at, last_error, trace_id"
+_FAIL = "id, name, attempts, finished_at, last_error, trace_id, (k % 12)::INTEGER AS execution_depth"
+_SEARCH = "id, name, state, attempts, created_at, finished_at, last_error, trace_id, (k % 12)::INTEGER AS execution_depth"
+
+
+def _history(spark, sf):
+    return fx.details(fx.job_history(spark, sf))
 
 
 @register(_j(f"SELECT {_FAIL} FROM job_history WHERE state = 'Failed' ORDER BY finished_at DESC, id DESC LIMIT 100"))
 def failures_feed(spark, sf):
-    return search.failures(fx.job_history(spark, sf))
+    return search.failures(_history(spark, sf))
 
 
 @register(_j(f"SELECT {_FAIL} FROM job_history WHERE state = 'Failed' AND name = 'q2' AND finished_at >= 800000000000 ORDER BY finished_at DESC, id DESC LIMIT 50"))
 def failures_feed_filtered(spark, sf):
-    return search.failures(fx.job_history(spark, sf), name="q2", since_ms=800_000_000_000, limit=50)
+    return search.failures(_history(spark, sf), name="q2", since_ms=800_000_000_000, limit=50)
 
 
 @register(_j(f"SELECT {_SEARCH} FROM job_history WHERE id ILIKE '%100\\%%' ESCAPE '\\' OR name ILIKE '%100\\%%' ESCAPE '\\' OR trace_id ILIKE '%100\\%%' ESCAPE '\\' OR last_error ILIKE '%100\\%%' ESCAPE '\\' ORDER BY finished_at DESC, id DESC LIMIT 1000"))
 def search_like(spark, sf):
-    return search.search(fx.job_history(spark, sf), q="100%", limit=5000)
+    return search.search(_history(spark, sf), q="100%", limit=5000)
 
 
 def _tok(c: str) -> str:
@@ -96,17 +100,17 @@ def _any(needle: str) -> str:
 
 @register(_j(f"SELECT {_SEARCH} FROM job_history WHERE {_any(' upstream service ')} ORDER BY finished_at DESC, id DESC LIMIT 1000"))
 def search_fts_phrase(spark, sf):
-    return search.search(fx.job_history(spark, sf), q="upstream-service", limit=1000, full_text=True)
+    return search.search(_history(spark, sf), q="upstream-service", limit=1000, full_text=True)
 
 
 @register(_j(f"SELECT {_SEARCH} FROM job_history WHERE {_any(' unavail')} AND {_any(' depend')} ORDER BY finished_at DESC, id DESC LIMIT 200"))
 def search_fts_prefix(spark, sf):
-    return search.search(fx.job_history(spark, sf), q="unavail* depend*", limit=200, full_text=True)
+    return search.search(_history(spark, sf), q="unavail* depend*", limit=200, full_text=True)
 
 
 @register(_j(f"SELECT {_SEARCH} FROM job_history WHERE {_any(' payload ')} AND name = 'q1' AND state = 'Failed' AND finished_at >= 750000000000 ORDER BY finished_at DESC, id DESC LIMIT 100"))
 def search_fts_and_filters(spark, sf):
-    return search.search(fx.job_history(spark, sf), q='"Payload"', name="q1", state="Failed", since_ms=750_000_000_000, full_text=True)
+    return search.search(_history(spark, sf), q='"Payload"', name="q1", state="Failed", since_ms=750_000_000_000, full_text=True)
 
 
 @register("SELECT doc_id, lang FROM documents WHERE contains((' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), ' ') || ' '), ' the of ')")
@@ -117,10 +121,27 @@ def documents_phrase(spark, sf):
     return docs.where(token_text(F.col("text")).contains(" the of ")).select("doc_id", "lang")
 
 
-@register(_j("SELECT id, name, state, attempts, created_at, CASE WHEN source = 'job_history' THEN finished_at END AS finished_at, CASE WHEN source = 'job_history' THEN last_error END AS last_error, source FROM (SELECT *, 'jobs' AS source FROM jobs UNION ALL SELECT *, 'job_history' FROM job_history) WHERE id = '7'"))
+def _blob_sql(blob: str, is_json: str) -> str:
+    return f"CASE WHEN {is_json} THEN decode({blob}) ELSE base64({blob}) END AS {blob}, CASE WHEN {blob} IS NULL THEN NULL WHEN {is_json} THEN 'json' ELSE 'base64' END AS {blob}_encoding"
+
+
+_DETAIL_IDS = ("2", "3", "7", "9", "14", "38")
+
+
+@register(
+    _j(
+        f"""SELECT id, name, state, source, priority, attempts, max_attempts, created_at, CASE WHEN past THEN finished_at END AS finished_at, parent_id, trace_id, execution_depth, rate_limit_facet, CASE WHEN past THEN last_error END AS last_error, worker_id,
+  CASE WHEN NOT past THEN lease_expires_at_ms END AS lease_expires_at_ms, CASE WHEN NOT past THEN available_at END AS available_at, {_blob_sql("payload", "k % 3 <> 0")}, {_blob_sql("result", "result IS NOT NULL")}
+FROM (SELECT *, state IN ('Completed', 'Failed') AS past, CASE WHEN state IN ('Completed', 'Failed') THEN 'history' ELSE 'live' END AS source FROM details) WHERE id IN {_DETAIL_IDS}""",
+        fx.DETAIL_SQL,
+    )
+)
 def job_detail(spark, sf):
-    got = search.job_detail(fx.jobs(spark, sf), fx.job_history(spark, sf), "7")
-    return got.select("id", "name", "state", "attempts", "created_at", "finished_at", "last_error", "source")
+    live, out = fx.details(fx.jobs(spark, sf)), None
+    for job_id in _DETAIL_IDS:
+        one = search.job_detail(live, _history(spark, sf), job_id)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _DEPTHS = """depths(id, depth, root) AS (SELECT id, 0, id FROM job_all WHERE parent_id IS NULL UNION ALL SELECT j.id, d.depth + 1, d.root FROM depths d JOIN job_all j ON j.parent_id = d.id WHERE d.depth < 12)"""
@@ -207,6 +228,37 @@ def sweep_outcome(spark, sf):
     return gone.groupBy("state", "reason").agg(F.count("*").alias("deleted"))
 
 
+_CHAINS = "SELECT trace_id FROM (SELECT trace_id, max(created_at) AS updated_at FROM job_all GROUP BY trace_id) WHERE updated_at < " + str(NOW_MS - 200 * 86_400_000) + " ORDER BY updated_at, trace_id LIMIT 1000"
+_LOG = f"SELECT id FROM job_all WHERE state = 'Failed' AND finished_at < {_AGE} ORDER BY finished_at, id LIMIT 1000"
+_DIMENSIONS = f"""
+h4 AS (SELECT * FROM h3 ANTI JOIN a4 USING (id)),
+dims(dimension, deleted) AS (SELECT 'completed_age', (SELECT count(*) FROM a1) UNION ALL SELECT 'failed_age', (SELECT count(*) FROM a2) UNION ALL SELECT 'completed_count', (SELECT count(*) FROM a3) UNION ALL SELECT 'failed_count', (SELECT count(*) FROM a4)
+  UNION ALL SELECT 'receipts', (SELECT count(*) FROM (SELECT 1 FROM receipts r WHERE created_at < {NOW_MS - retention.RECEIPT_AGE_MS} AND NOT EXISTS (SELECT 1 FROM h4 WHERE h4.id = r.job_id) AND NOT EXISTS (SELECT 1 FROM jobs WHERE jobs.id = r.job_id) LIMIT 1000))
+  UNION ALL SELECT 'chain_counters', (SELECT count(*) FROM ({_CHAINS})) UNION ALL SELECT 'facet_dispatch', (SELECT count(*) FROM facet_dispatch f WHERE last_served_at < {NOW_MS - 60_000} AND NOT EXISTS (SELECT 1 FROM jobs j WHERE coalesce(j.rate_limit_facet, '') = f.facet_key))
+  UNION ALL SELECT 'rejections', (SELECT count(*) FROM ({_LOG})))"""
+
+
+def _dimensions(spark, sf):
+    chains = fx.job_all(spark, sf).groupBy("trace_id").agg(F.max("created_at").alias("updated_at"))
+    refused = fx.job_history(spark, sf).where("state = 'Failed'").select("id", F.col("finished_at").alias("rejected_at"))
+    return retention.swept(retention.full_sweep(fx.job_history(spark, sf), fx.jobs(spark, sf), fx.receipts(spark, sf), chains, fx.rate_rules(spark)[2], refused, NOW_MS, 200 * 86_400_000, 100))
+
+
+@register(_j("SELECT dimension, deleted FROM dims", _SWEEP, RECEIPTS_SQL, RULES_SQL, _DIMENSIONS))
+def sweep_dimensions(spark, sf):
+    return _dimensions(spark, sf)
+
+
+@register(
+    _j(
+        "SELECT target, reason, coalesce(deleted, 0) AS deleted FROM (VALUES ('completed'), ('failed'), ('receipt')) t(target), (VALUES ('age'), ('count'), ('orphan')) r(reason) LEFT JOIN dims ON dimension = CASE WHEN target = 'receipt' AND reason = 'orphan' THEN 'receipts' ELSE target || '_' || reason END",
+        _SWEEP, RECEIPTS_SQL, RULES_SQL, _DIMENSIONS,
+    )
+)
+def deleted_matrix(spark, sf):
+    return retention.deleted_matrix(_dimensions(spark, sf))
+
+
 # ---- lifecycle
 
 
@@ -316,9 +368,9 @@ def dispatch_fifo(spark, sf):
     return dispatch.fifo(dispatch.runnable(fx.jobs(spark, sf), NOW_MS)).select("id", "position")
 
 
-def _fair_sql() -> str:
+def _fair_sql(body: str | None = None, source: str = f"jobs WHERE {DUE}", *more: str) -> str:
     """The tiers chained: ranks within a facet (r), positions (o), the turns that they leave (s)."""
-    ctes = [RULES_SQL, f"d AS (SELECT id, priority, created_at, coalesce(rate_limit_facet, '') AS facet FROM jobs WHERE {DUE})", "s0 AS (SELECT facet_key AS facet, last_served_seq AS seq FROM facet_dispatch)", "n0 AS (SELECT 0::BIGINT AS n)"]
+    ctes = [RULES_SQL, *more, f"d AS (SELECT id, priority, created_at, coalesce(rate_limit_facet, '') AS facet FROM {source})", "s0 AS (SELECT facet_key AS facet, last_served_seq AS seq FROM facet_dispatch)", "n0 AS (SELECT 0::BIGINT AS n)"]
     parts = []
     for p in range(1, 6):
         ctes += [
@@ -328,7 +380,7 @@ def _fair_sql() -> str:
             f"n{p} AS (SELECT n + (SELECT count(*) FROM o{p}) AS n FROM n{p - 1})",
         ]
         parts.append(f"SELECT id, facet, position FROM o{p}")
-    return _j(" UNION ALL ".join(parts), *ctes)
+    return _j(" UNION ALL ".join(parts) if body is None else body, *ctes, "placed AS (" + " UNION ALL ".join(parts) + ")")
 
 
 @register(_fair_sql())
@@ -353,6 +405,44 @@ def claim_next(spark, sf):
     return dispatch.claim_next(dispatch.runnable(fx.jobs(spark, sf), NOW_MS, rules, counters, ["q1", "q5"])).select("id", "priority", "created_at")
 
 
+#: Polls at one instant, and rules of which one blocks, one has room left, one's window is over and one is never full.
+POLLS = 400
+CLAIM_RULES = [("tenant:building", 0, 60_000), ("tenant:machinery", 25, 60_000), ("tenant:automobile", 40, 30_000), ("tenant:household", 1_000_000, 60_000)]
+CLAIM_COUNTERS = [("tenant:machinery", 5, NOW_MS + 1), ("tenant:automobile", 40, NOW_MS - 1), ("tenant:gone", 7, NOW_MS + 9)]
+_ROOM = f"""
+crules(facet, max_jobs, window_ms) AS (VALUES {", ".join(f"('{f}', {m}::BIGINT, {w}::BIGINT)" for f, m, w in CLAIM_RULES)}),
+ccounters(facet, used, until) AS (VALUES {", ".join(f"('{f}', {n}::BIGINT, {u}::BIGINT)" for f, n, u in CLAIM_COUNTERS)}),
+room AS (SELECT facet, greatest(max_jobs - CASE WHEN coalesce(until > {NOW_MS}, false) THEN used ELSE 0 END, 0) AS room FROM crules LEFT JOIN ccounters USING (facet)),
+reachable AS (SELECT * FROM (SELECT j.*, row_number() OVER (PARTITION BY rate_limit_facet ORDER BY priority, created_at, id) AS nth, room FROM jobs j LEFT JOIN room ON facet = rate_limit_facet WHERE {DUE}) WHERE room IS NULL OR nth <= room)"""
+_TAKEN = f"taken AS (SELECT id, coalesce(rate_limit_facet, '') AS facet, row_number() OVER (ORDER BY priority, created_at, id) AS position FROM reachable QUALIFY position <= {POLLS})"
+
+
+def _claimed(spark, sf, rotate):
+    rules = spark.createDataFrame(CLAIM_RULES, "facet_pattern string, max_jobs long, window_duration_ms long")
+    counters = spark.createDataFrame(CLAIM_COUNTERS, "facet_key string, current_count long, window_expires_at long")
+    return dispatch.claim_batch(fx.jobs(spark, sf), NOW_MS, POLLS, rules, counters, fx.rate_rules(spark)[2], rotate)
+
+
+@register(_j("SELECT id, position::INTEGER AS position FROM taken", _ROOM, _TAKEN))
+def claim_batch(spark, sf):
+    return _claimed(spark, sf, False)[0].select("id", "position")
+
+
+@register(_j(f"SELECT coalesce(c.facet, t.facet) AS facet_key, CASE WHEN n IS NULL THEN used WHEN coalesce(until > {NOW_MS}, false) THEN used + n ELSE n END AS current_count, CASE WHEN n IS NULL OR coalesce(until > {NOW_MS}, false) THEN until ELSE {NOW_MS} + window_ms END AS window_expires_at FROM ccounters c FULL JOIN (SELECT facet, window_ms, count(*) AS n FROM taken JOIN crules USING (facet) GROUP BY ALL) t ON c.facet = t.facet", _ROOM, _TAKEN))
+def claim_counters(spark, sf):
+    return _claimed(spark, sf, False)[1]
+
+
+@register(_fair_sql(f"SELECT id, position FROM placed WHERE position <= {POLLS}", "reachable", _ROOM))
+def claim_rotation(spark, sf):
+    return _claimed(spark, sf, True)[0]
+
+
+@register(_fair_sql(f"SELECT coalesce(f.facet_key, t.facet) AS facet_key, coalesce((SELECT max(last_served_seq) FROM facet_dispatch) + t.last, f.last_served_seq)::BIGINT AS last_served_seq, CASE WHEN t.last IS NULL THEN f.last_served_at ELSE {NOW_MS} END AS last_served_at FROM facet_dispatch f FULL JOIN (SELECT facet, max(position) AS last FROM placed WHERE position <= {POLLS} GROUP BY facet) t ON f.facet_key = t.facet", "reachable", _ROOM))
+def claim_turns(spark, sf):
+    return _claimed(spark, sf, True)[2]
+
+
 @register(f"WITH {RULES_SQL} SELECT facet_pattern, max_jobs::BIGINT AS max_jobs, window_duration_ms::BIGINT AS window_duration_ms, CASE WHEN live THEN current_count ELSE 0 END::BIGINT AS current_count, CASE WHEN live THEN window_expires_at END AS window_expires_at, max_jobs <= 0 OR (live AND current_count >= max_jobs) AS throttled FROM (SELECT *, coalesce(window_expires_at > {NOW_MS}, false) AS live FROM rules LEFT JOIN counters ON facet_pattern = facet_key)")
 def rate_limit_status(spark, sf):
     rules, counters, _ = fx.rate_rules(spark)
@@ -595,6 +685,26 @@ def alerts_firing(spark, sf):
     return timeseries.alert(g.withColumn("grows", F.col("value") > before), F.col("grows"), 3 * HOUR, ["name"]).select("name", "ts", "firing")
 
 
+# a minute of the evaluations is an hour of events
+_PRESSURE = f"""{LIFECYCLE_SQL}, m AS (SELECT name, (ts // 60) // 60000 * 60000 + 60000 AS ts, max(ts // 60) AS sample_ts, count(*) * 30 AS oldest_due_age_s, sum(CASE event WHEN 'enqueued' THEN 200 WHEN 'completed' THEN -100 ELSE 0 END) AS d, count(*) FILTER (event = 'failed') AS expired_leases, count(*) FILTER (event = 'retried') AS r FROM lifecycle_events GROUP BY 1, 2),
+p AS (SELECT *, sum(d) OVER o AS due, sum(r) OVER o AS recovery_errors FROM m WINDOW o AS (PARTITION BY name ORDER BY ts)),
+q AS (SELECT *, ts / 1000 - sample_ts / 1000 AS age, CASE WHEN count(*) OVER t > 1 THEN regr_slope(due, ts / 1000) OVER t END AS growth, recovery_errors - lag(recovery_errors) OVER (PARTITION BY name ORDER BY ts) AS delta FROM p WINDOW t AS (PARTITION BY name ORDER BY ts RANGE BETWEEN 599999 PRECEDING AND CURRENT ROW)),
+rules AS (SELECT name, ts, unnest([{{'alert': 'sample_stale', 'for_ms': 60000, 'holds': age > 30}}, {{'alert': 'due_aging', 'for_ms': 300000, 'holds': oldest_due_age_s > 60 AND age < 30}}, {{'alert': 'backlog_growing', 'for_ms': 600000, 'holds': growth > 1 AND age < 30}},
+  {{'alert': 'expired_claims', 'for_ms': 120000, 'holds': expired_leases > 0 AND age < 30}}, {{'alert': 'recovery_errors', 'for_ms': 0, 'holds': coalesce(sum(delta) OVER (PARTITION BY name ORDER BY ts RANGE BETWEEN 299999 PRECEDING AND CURRENT ROW), 0) > 0}}]) AS c FROM q),
+e AS (SELECT name, ts, c.alert AS alert, c.for_ms AS for_ms, coalesce(c.holds, false) AS holds FROM rules),
+i AS (SELECT *, sum((NOT holds)::INTEGER) OVER (PARTITION BY name, alert ORDER BY ts) AS breaks FROM e)"""
+
+
+@register(f"WITH {_PRESSURE} SELECT name, ts, alert FROM (SELECT *, min(ts) FILTER (holds) OVER (PARTITION BY name, alert, breaks) AS since FROM i) WHERE holds AND ts - since >= for_ms")
+def alert_rules(spark, sf):
+    e = fx.lifecycle_events(spark, sf).withColumn("t", F.expr("ts div 60"))
+    net = F.when(F.col("event") == "enqueued", 200).when(F.col("event") == "completed", -100).otherwise(0)
+    count_if = lambda k: F.count(F.when(F.col("event") == k, 1))
+    m = e.groupBy("name", F.expr("t div 60000 * 60000 + 60000").alias("ts")).agg(F.max("t").alias("sample_ts"), (F.count("*") * 30).alias("oldest_due_age_s"), F.sum(net).alias("d"), count_if("failed").alias("expired_leases"), count_if("retried").alias("r"))
+    w = Window.partitionBy("name").orderBy("ts")
+    return timeseries.pressure_alerts(m.withColumns({"due": F.sum("d").over(w), "recovery_errors": F.sum("r").over(w)}), ["name"])
+
+
 @register(f"WITH {LIFECYCLE_SQL}, c AS (SELECT name, event, count(*)::DOUBLE AS value FROM lifecycle_events WHERE NOT (name = 'q3' AND event = 'failed') GROUP BY ALL) SELECT name, max(value) FILTER (event = 'enqueued') AS enqueued, max(value) FILTER (event = 'completed') AS completed, max(value) FILTER (event = 'failed') AS failed FROM c GROUP BY name")
 def function_overview(spark, sf):
     c = metrics.event_counts(fx.lifecycle_events(spark, sf).where("not (name = 'q3' and event = 'failed')")).withColumn("value", F.col("n").cast("double"))
@@ -606,6 +716,38 @@ def event_counters(spark, sf):
     return metrics.event_counts(fx.lifecycle_events(spark, sf))
 
 
+_TRANSITIONS = f"""{LIFECYCLE_SQL}, log AS (SELECT name, CASE event WHEN 'retried' THEN 'lease_expired' ELSE event END AS event, event_id % 3 = 0 AS again FROM lifecycle_events),
+every AS (SELECT event FROM log UNION ALL SELECT 'retried' FROM log WHERE again AND event IN ('failed', 'lease_expired')),
+named AS (SELECT name, CASE WHEN event NOT IN ('failed', 'lease_expired') THEN event WHEN again THEN 'retried' ELSE 'failed' END AS event FROM log)"""
+
+
+@register(f"WITH {_TRANSITIONS} SELECT NULL AS name, k.event, count(e.event) AS n FROM (VALUES ('enqueued'), ('claimed'), ('completed'), ('failed'), ('retried'), ('lease_expired')) k(event) LEFT JOIN every e ON e.event = k.event GROUP BY k.event UNION ALL SELECT name, event, count(*) FROM named GROUP BY name, event")
+def transition_counts(spark, sf):
+    e = fx.lifecycle_events(spark, sf)
+    log = e.select("name", F.when(F.col("event") == "retried", "lease_expired").otherwise(F.col("event")).alias("event"), (F.col("event_id") % 3 == 0).alias("retried"))
+    return metrics.transition_counts(log)
+
+
+@register(
+    "WITH b AS (" + _hist_sql("SELECT event_type AS method, floor(value * 1000)::BIGINT AS v FROM events", metrics.RPC_BOUNDS, "method", 1e6) + """)
+SELECT 'rpc_bucket{method="' || method || '",le="' || CASE WHEN le IS NULL THEN '+Inf' WHEN le % 1000000 = 0 THEN (le // 1000000)::VARCHAR ELSE rtrim((le / 1000000)::DECIMAL(30, 6)::VARCHAR, '0') END || '"} ' || n AS line FROM b
+UNION ALL SELECT 'rpc_count{method="' || method || '"} ' || count FROM b WHERE le IS NULL
+UNION ALL SELECT 'rpc_sum{method="' || method || '"} ' || rtrim(rtrim(round(total, 6)::DECIMAL(30, 6)::VARCHAR, '0'), '.') FROM b WHERE le IS NULL"""
+)
+def histogram_exposition(spark, sf):
+    return metrics.histogram_lines(rpc_latency_histogram(spark, sf), "rpc", "method")
+
+
+_CLIENT_VALUES = {"processed": "event_id % 1000", "failed": "event_id % 7", "retried": "event_id % 5", "poll_failures": "event_id % 3", "reconnects": "user_id % 4", "active": "user_id % 11", "connection_up": "event_id % 2"}
+
+
+@register(" UNION ALL ".join(f"""SELECT '{s}' AS series, '{kind}' AS kind, 'c_{s}{{queue="' || event_type || '",worker="w\\"' || user_id || '"}} ' || ({_CLIENT_VALUES[c]}) AS line FROM events""" for s, (kind, c) in metrics.CLIENT_SERIES.items()))
+def client_metrics(spark, sf):
+    e = fx.load(spark, sf, "events")
+    c = e.select(F.col("event_type").alias("queue"), F.concat(F.lit('w"'), F.col("user_id").cast("string")).alias("worker"), *(F.expr(x).alias(n) for n, x in _CLIENT_VALUES.items()))
+    return metrics.client_lines(c, "c_", ["queue", "worker"])
+
+
 @register(f"WITH {LIFECYCLE_SQL}, s AS (SELECT name, count(*) AS n, min(ts) AS t, arg_min(event_id, ts::HUGEINT * 100000000 + event_id) AS e FROM lifecycle_events GROUP BY name), r AS (SELECT *, row_number() OVER (ORDER BY CASE name WHEN 'q6' THEN 0 WHEN 'q2' THEN 1 ELSE 2 END, t, e) AS k FROM s) SELECT CASE WHEN k <= 5 THEN name END AS name, sum(n)::BIGINT AS n FROM r GROUP BY 1")
 def bounded_series(spark, sf):
     return metrics.bounded_names(fx.lifecycle_events(spark, sf), 5, ("q6", "q2"))
@@ -670,7 +812,7 @@ SCHEDULERS = [("s1", "report", "0 3 * * *", None, 0), ("s2", "report", "30 2 * *
 def _schedulers(spark):
     rows = [(i, n, c, z, 3, t, "old", 10, 20) for i, n, c, z, t in SCHEDULERS]
     s = spark.createDataFrame(rows, "id string, job_name string, cron string, timezone string, produced_count long, next_run_at long, last_job_id string, created_at long, updated_at long")
-    return s.withColumns({"payload": F.lit("{}").cast("binary"), "priority": F.lit(None).cast("int"), "retry_jitter": F.lit(0.0), "retry_backoff_ms": F.lit(0), "retry_backoff_max_ms": F.lit(0)})
+    return s.withColumns({"max_attempts": F.lit(3), "rate_limit_facet": F.concat(F.lit("tenant:"), "job_name"), "payload": F.lit("{}").cast("binary"), "priority": F.lit(None).cast("int"), "retry_jitter": F.lit(0.0), "retry_backoff_ms": F.lit(0), "retry_backoff_max_ms": F.lit(0)})
 
 
 @register()
@@ -786,9 +928,18 @@ def series_staleness(spark, sf):
     return client.staleness(fx.lifecycle_events(spark, sf), F.lit(1_706_745_600_000), ["name", "event"])
 
 
-@register("SELECT id, job_name, cron FROM (VALUES " + ", ".join(f"('{i}', '{n}', '{c}')" for i, n, c, _, _ in SCHEDULERS) + ") s(id, job_name, cron) ORDER BY id")
+_NULL = "NULL"
+_LISTED = "SELECT id, job_name, '{}' AS payload, cron, timezone, 3::BIGINT AS produced_count, next_run_at, 'old' AS last_job_id, NULL::INTEGER AS priority, 3 AS max_attempts, 0 AS retry_backoff_ms, 0 AS retry_backoff_max_ms, 0.0::DOUBLE AS retry_jitter, 'tenant:' || job_name AS rate_limit_facet, 10::BIGINT AS created_at, 20::BIGINT AS updated_at FROM (VALUES " + ", ".join(f"('{i}', '{n}', '{c}', {_NULL if z is None else repr(z)}, {t}::BIGINT)" for i, n, c, z, t in SCHEDULERS) + ") s(id, job_name, cron, timezone, next_run_at)"
+
+
+@register(_LISTED + " ORDER BY id")
 def scheduler_list(spark, sf):
-    return _schedulers(spark).orderBy("id").select("id", "job_name", "cron")
+    return search.scheduler_list(_schedulers(spark)).withColumn("payload", F.col("payload").cast("string"))
+
+
+@register(_LISTED + " WHERE id = 's2'")
+def scheduler_get(spark, sf):
+    return search.scheduler_list(_schedulers(spark), "s2").withColumn("payload", F.col("payload").cast("string"))
 
 
 @register(_j("SELECT facet_key, last_served_seq FROM facet_dispatch WHERE facet_key <> 'tenant:furniture' UNION ALL SELECT 'tenant:furniture', (SELECT max(last_served_seq) + 1 FROM facet_dispatch)", RULES_SQL))

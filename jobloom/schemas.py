@@ -59,4 +59,4 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 def live_and_history(jobs: DataFrame, history: DataFrame) -> DataFrame:
     """Both tables under one schema, with ``source`` telling them apart."""
-    return jobs.withColumn("source", F.lit("jobs")).unionByName(history.withColumn("source", F.lit("job_history")), allowMissingColumns=True)
+    return jobs.withColumn("source", F.lit("live")).unionByName(history.withColumn("source", F.lit("history")), allowMissingColumns=True)

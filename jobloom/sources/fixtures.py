@@ -70,6 +70,19 @@ def job_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job_all(spark, sf_dir).where(F.col("state").isin("Completed", "Failed"))
 
 
+def details(rows: DataFrame) -> DataFrame:
+    """Jobs with depth, payload, result and worker: payloads are JSON or other bytes."""
+    k, ended = F.col("k"), F.col("state").isin("Active", "Completed", "Failed")
+    payload = F.when(k % 3 == 0, F.concat(F.lit("raw "), F.col("id"))).otherwise(F.concat(F.lit('{"order":'), F.col("id"), F.lit("}")))
+    result = F.when((F.col("state") == "Completed") & (k % 2 == 0), F.concat(F.lit("["), F.col("id"), F.lit("]")))
+    return rows.withColumns({"execution_depth": (k % 12).cast("int"), "payload": payload.cast("binary"), "result": result.cast("binary"), "worker_id": F.when(ended, F.concat(F.lit("w"), (k % 8).cast("string")))})
+
+
+DETAIL_SQL = """
+details AS (SELECT *, (k % 12)::INTEGER AS execution_depth, CASE WHEN k % 3 = 0 THEN encode('raw ' || id) ELSE encode('{"order":' || id || '}') END AS payload,
+  CASE WHEN state = 'Completed' AND k % 2 = 0 THEN encode('[' || id || ']') END AS result, CASE WHEN state IN ('Active', 'Completed', 'Failed') THEN 'w' || (k % 8) END AS worker_id FROM job_all)"""
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enqueue requests, one per event, in the order (t_ms, seq)."""
     e = load(spark, sf_dir, "events")
