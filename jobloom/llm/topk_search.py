@@ -37,6 +37,9 @@ from jobloom.llm.common import map_arrow, stage
 #: Queries that are sent to the tasks at once; candidates whose lists are read together.
 QUERY_ROWS = 4096
 BLOCK_ROWS = 8192
+#: Values of such a block, so that long vectors make smaller ones; queries that take a step together.
+BLOCK_VALUES = 1 << 20
+TOGETHER = 64
 #: Depths of the steps, as shares of the lists.
 DEPTHS = (1 / 2, 3 / 4, 7 / 8, 15 / 16, 1)
 #: Reading stops when so many times k candidates are left.
@@ -107,26 +110,28 @@ class Best:
         if not parts or not len(self.ids):
             return
         ids, v = (np.concatenate(x) for x in zip(*parts))
+        block_rows = max(1, min(block_rows, BLOCK_VALUES // v.shape[1]))
         for lo in range(0, len(ids), block_rows):
             self._block(ids[lo : lo + block_rows], v[lo : lo + block_rows])
 
     def _block(self, ids: np.ndarray, v: np.ndarray) -> None:
         reach = float(np.abs(v.astype(float)).max(initial=0)) * float(np.abs(self.v.astype(float)).max(initial=0)) * v.shape[1]
-        lists = Lists(v) if reach < 2**52 else None  # floats hold these integers and their sums exactly
+        exact = reach < 2**52  # floats hold these integers and their sums
+        if exact:
+            had = np.full((len(self.ids), self.k), -np.inf)
+            for i, (_, score) in enumerate(self.found):
+                had[i, : len(score)] = score
+            left_of = Lists(ids, v).contenders(self.ids, self.v, had, self.k)
         for i, one in enumerate(self.ids):
-            had, score = self.found[i]
-            others = ids != one
-            if lists is None:
-                left = np.flatnonzero(others)
-                got = v[left].astype(object) @ self.v[i].astype(object)
-                got = np.array([max(-(2**63), min(2**63 - 1, x)) for x in got], np.int64)
-            else:
-                left, reads = lists.contenders(self.v[i], others, score, self.k)
-                got = (lists.rows[left] @ self.v[i].astype(float)).astype(np.int64)
-                self.reads += reads
+            had_ids, score = self.found[i]
+            left, reads = left_of[i] if exact else (np.flatnonzero(ids != one), 0)
+            kind = float if exact else object
+            got = v[left].astype(kind) @ self.v[i].astype(kind)
+            got = got.astype(np.int64) if exact else np.array([max(-(2**63), min(2**63 - 1, x)) for x in got], np.int64)
+            self.reads += reads
             self.resolved += len(left)
-            ids_, got = np.concatenate([had, ids[left]]), np.concatenate([score, got])
-            order = np.lexsort((ids_, -got.astype(object) if lists is None else -got))[: self.k]
+            ids_, got = np.concatenate([had_ids, ids[left]]), np.concatenate([score, got])
+            order = np.lexsort((ids_, -got if exact else -got.astype(object)))[: self.k]
             self.found[i] = ids_[order], got[order]
 
     def table(self) -> pa.RecordBatch:
@@ -138,47 +143,53 @@ class Best:
 class Lists:
     """Every dimension of a block of candidates as a sorted list."""
 
-    def __init__(self, v: np.ndarray) -> None:
-        self.rows = v.astype(float)
+    def __init__(self, ids: np.ndarray, v: np.ndarray) -> None:
+        self.ids, self.rows = ids, v.astype(float)
         self.order = np.argsort(self.rows, axis=0, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.rows, self.order, 0)
 
-    def contenders(self, query: np.ndarray, allowed: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-        """The candidates that may be among the ``k`` best, beside ``scores`` found before, and the entries read."""
+    def _known(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """What reading to ``depth`` tells of each row, the most and the least: for lists read from their high ends, then from their low ends."""
+        n, dims = self.rows.shape
+        high, low = np.zeros((2, n, dims), bool)
+        high[self.order[n - depth :], np.arange(dims)] = True
+        low[self.order[:depth], np.arange(dims)] = True
+        most = np.concatenate([np.maximum(self.rows, self.values[n - depth]), np.minimum(self.rows, self.values[depth - 1])], 1)
+        least = np.concatenate([np.where(high, self.rows, self.values[0]), np.where(low, self.rows, self.values[-1])], 1)
+        return np.ascontiguousarray(most.T), np.ascontiguousarray(least.T)
+
+    def contenders(self, query_ids: np.ndarray, queries: np.ndarray, scores: np.ndarray, k: int) -> list[tuple[np.ndarray, int]]:
+        """Per query the candidates that may be among the ``k`` best, beside its ``scores`` found before (padded with -inf), and the entries read.
+
+        Queries that prefer the same end of a list share its reading, so a step is
+        taken for all that haven't stopped.
+        """
         n = len(self.rows)
-        own = np.flatnonzero(query)  # other dimensions add nothing
-        q = query[own].astype(float)
-        falling = q > 0
         few = CONTENDERS * k
-        left, alive = np.flatnonzero(allowed), allowed.copy()
-        if len(left) <= few or not len(own):
-            return left, 0
-        order, values = self.order[:, own], self.values[:, own]
-        least = np.where(falling, values[0], values[-1]) * q  # the other end of each list
-        total, seen = np.zeros(n), np.zeros((n, len(own)))
-        dims = np.arange(len(own))
-        depth = 0
+        if n <= few:
+            return [(np.flatnonzero(self.ids != one), 0) for one in query_ids]
+        q = queries.astype(float)
+        signed = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], 1)  # by the end they prefer
+        lists = np.count_nonzero(q, 1)  # others add nothing
+        out: list = [None] * len(q)
+        pending, depth = np.arange(len(q)), 0
         for share in DEPTHS:
-            to = max(depth + 1, int(n * share))
-            at, add = order[depth:to].copy(), values[depth:to].copy()
-            at[:, falling], add[:, falling] = order[n - to : n - depth, falling], values[n - to : n - depth, falling]
-            add *= q
-            if len(left) < n // 2:
-                still = np.nonzero(alive[at])
-                at, add, to_dims = at[still], add[still], still[1]
-            else:
-                to_dims = dims
-            total += np.bincount(at.ravel(), add.ravel(), minlength=n)
-            seen[at, to_dims] = 1.0
-            depth = to
-            last = np.where(falling, values[n - depth], values[depth - 1]) * q
-            unread = np.stack([last, least], 1)
-            upper, lower = total[left] + (unread.sum(0) - (seen if len(left) == n else seen[left]) @ unread).T
-            lower = np.concatenate([scores, lower])
-            needed = np.partition(lower, len(lower) - k)[len(lower) - k]
-            kept = upper >= needed
-            alive[left[~kept]] = False
-            left = left[kept]
-            if len(left) <= few or depth == n:
+            depth = min(n, max(depth + 1, int(n * share)))
+            most, least = self._known(depth)
+            going = []
+            for at in range(0, len(pending), TOGETHER):
+                part = pending[at : at + TOGETHER]
+                upper, lower = signed[part] @ most, signed[part] @ least
+                itself = query_ids[part][:, None] == self.ids
+                lower[itself] = -np.inf
+                lower = np.concatenate([scores[part], lower], 1)
+                needed = np.partition(lower, lower.shape[1] - k, 1)[:, lower.shape[1] - k]
+                kept = (upper >= needed[:, None]) & ~itself
+                stops = (kept.sum(1) <= few) | (depth == n)
+                for j in np.flatnonzero(stops):
+                    out[part[j]] = np.flatnonzero(kept[j]), depth * int(lists[part[j]])
+                going.append(part[~stops])
+            pending = np.concatenate(going)
+            if not len(pending):
                 break
-        return left, depth * len(own)
+        return out
