@@ -12,7 +12,9 @@ the vote, calibrated by logistic regression on the votes that examples get from
 others.
 
 The examples are a bounded sample: at most ``SAMPLE_ROWS`` labelled rows, those with
-the smallest hash of their id. Each one that holds a word is in the index.
+the smallest hash of their id. Each one that holds a word is in the index. One task
+reads them and makes the index; the driver passes terms, their counts and the packed
+index on, and holds neither examples nor their words.
 
 Defined results: the evidence of a score is its neighbours if one of them is toxic,
 and empty otherwise; null and empty texts, and texts without a word of the examples,
@@ -25,7 +27,8 @@ are scored each for itself.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -35,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import map_arrow, text_bytes, trim, words_of
+from jobloom.llm.common import map_arrow, release, stage, text_bytes, trim, words_of
 
 SAMPLE_ROWS = 12_000
 #: A term in so many examples and of so high a chi-squared (1 degree of freedom) weighs its chi-squared, others 1.
@@ -46,6 +49,8 @@ FREQUENT = 0.05
 #: Texts counted at once, texts scored at once, and more than the rounding of their first scores.
 COUNTED = 512
 TEXTS = 64
+#: Bytes of a packed index that travel as one row.
+PIECE = 4 << 20
 SLACK = 1e-4
 #: Blocks of the highest bounds that are read first.
 BEGIN = 4
@@ -69,7 +74,8 @@ def features(words: set[bytes]) -> set[bytes]:
 class Terms:
     """Finds the terms in lists of words."""
 
-    def __init__(self, terms: list[bytes]) -> None:
+    def __init__(self, terms: list[bytes] | pa.Array) -> None:
+        terms = terms.to_pylist() if isinstance(terms, pa.Array) else terms
         self.words = {t: i for i, t in enumerate(terms) if not t.endswith(_MARK)}
         self.stems = {t[:STEM]: i for i, t in enumerate(terms) if t.endswith(_MARK)}
         self.size = len(terms)
@@ -226,6 +232,46 @@ class Examples:
         return 1 / (1 + math.exp(-self.slope * _log_odds(vote) - self.bias))
 
 
+class Packed:
+    """An index in the pieces that a task made of it.
+
+    Workers read it as ``Examples``; on the driver it is unpacked only if an attribute is asked for.
+    """
+
+    def __init__(self, pieces: pa.ChunkedArray) -> None:
+        self._pieces = pieces
+
+    def __reduce__(self) -> tuple:
+        return unpacked, (self._pieces,)
+
+    def __getattr__(self, name: str) -> object:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if "_index" not in self.__dict__:
+            self._index = unpacked(self._pieces)
+        return getattr(self._index, name)
+
+
+def unpacked(pieces: pa.ChunkedArray) -> Examples:
+    return pickle.loads(b"".join(p.as_buffer() for p in pieces))
+
+
+def packed(index: Examples) -> Iterator[pa.RecordBatch]:
+    data = memoryview(pickle.dumps(index, pickle.HIGHEST_PROTOCOL))
+    for lo in range(0, len(data), PIECE):
+        yield pa.RecordBatch.from_arrays([pa.array([data[lo : lo + PIECE]], pa.binary())], ["piece"])
+
+
+class Sent:
+    """Pickles as ``make(*args)``, which then runs where it is read."""
+
+    def __init__(self, make: Callable, *args: object) -> None:
+        self.call = make, args
+
+    def __reduce__(self) -> tuple:
+        return self.call
+
+
 def _log_odds(p: float) -> float:
     p = min(max(p, 1e-6), 1 - 1e-6)
     return math.log(p / (1 - p))
@@ -271,14 +317,26 @@ def _arranged(table: np.ndarray) -> np.ndarray:
     return np.argsort(own, kind="stable")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> list[tuple[int, bytes, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
     """At most ``rows`` examples (id, text, label) from the labelled documents, by hash of the id."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     marks = marks.join(docs.where(F.col(text_col).isNotNull()).select(id_col).distinct(), id_col, "left_semi")
     picked = marks.orderBy(F.xxhash64(F.col(id_col), F.lit(10)), id_col).limit(rows)
     # at most ``rows`` rows of two columns
-    got = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, text_col).agg(F.max("_label").alias("_label")).toArrow()
-    return sorted(zip(got.column(0).to_pylist(), text_bytes(got.column(1)), got.column(2).to_pylist()))
+    got = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col, text_col).agg(F.max("_label").alias("_label"))
+    return got.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("_label").alias("label"))
+
+
+def over_examples(sample: DataFrame, make: Callable[[list[tuple[int, bytes, int]]], Iterator[pa.RecordBatch]], schema: str) -> pa.Table:
+    """What one task makes of all examples, which are a bounded sample, in order of id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples: list[tuple[int, bytes, int]] = []
+        for b in batches:
+            examples += zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist())
+        yield from make(sorted(examples))
+
+    return map_arrow(sample.coalesce(1), run, schema).toArrow()
 
 
 def weigh_terms(examples: list[tuple[int, bytes, int]]) -> tuple[list[bytes], np.ndarray]:
@@ -297,13 +355,13 @@ def weigh_terms(examples: list[tuple[int, bytes, int]]) -> tuple[list[bytes], np
     return terms, np.where(told, chi, 1.0)
 
 
-def document_counts(docs: DataFrame, terms: list[bytes], text_col: str = "text") -> tuple[int, np.ndarray]:
+def document_counts(docs: DataFrame, terms: pa.Array, text_col: str = "text") -> tuple[int, np.ndarray]:
     """(documents, documents that hold each term), over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))  # bounded by the sample
+    shared, size = docs.sparkSession.sparkContext.broadcast(Sent(Terms, terms)), len(terms)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shared.value, 0
-        sums = np.zeros(len(terms), np.int64)
+        sums = np.zeros(size, np.int64)
         for b in batches:
             texts = text_bytes(b.column(0))
             total += len(texts)
@@ -313,7 +371,7 @@ def document_counts(docs: DataFrame, terms: list[bytes], text_col: str = "text")
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([total, *sums[at].tolist()], pa.int64())], ["term", "n"])
 
-    out = np.zeros(len(terms) + 1, np.int64)  # the last one is the number of documents
+    out = np.zeros(size + 1, np.int64)  # the last one is the number of documents
     got = map_arrow(docs.select(text_col), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     shared.destroy()
@@ -372,16 +430,32 @@ def build(examples: list[tuple[int, bytes, int]], terms: list[bytes], total: int
     return index
 
 
-def fit(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Examples:
+def fit(docs: DataFrame, train: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Examples | Packed:
     """Index the labelled rows of ``train``; counts are over all of ``docs``."""
-    examples = labelled_sample(train, labels, id_col, text_col, label_col)
-    trim()
-    terms, weights = weigh_terms(examples)
-    trim()
-    return build(examples, terms, *document_counts(docs, terms, text_col), weights)
+    spark = docs.sparkSession
+    sample = stage(labelled_sample(train, labels, id_col, text_col, label_col), "toxicity-examples")
+
+    def weighed(examples: list[tuple[int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        terms, weights = weigh_terms(examples)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(weights, pa.float64())], ["term", "weight"])
+
+    got = over_examples(sample, weighed, "term binary, weight double")
+    terms, weights = got.column(0).combine_chunks(), got.column(1).to_numpy()
+    total, df = document_counts(docs, terms, text_col)
+    shared = spark.sparkContext.broadcast((terms, total, df, weights))  # bounded by the sample
+
+    def built(examples: list[tuple[int, bytes, int]]) -> Iterator[pa.RecordBatch]:
+        terms, *counted = shared.value
+        yield from packed(build(examples, terms.to_pylist(), *counted))
+
+    pieces = over_examples(sample, built, "piece binary").column(0)
+    shared.destroy()
+    release(spark, sample)
+    # without examples no task may have run
+    return Packed(pieces) if len(pieces) else build([], [], total, df)
 
 
-def score(docs: DataFrame, index: Examples, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, index: Examples | Packed, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``docs`` with ``score``, ``predicted`` and ``evidence`` (ids of the neighbours)."""
     made = ["score", "predicted", "evidence"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
